@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op2_viterbi_token_counts": "unigram",
     "op6_unigram_round_trip": "unigram",
+    "op8_bottom_k_near_dedup": "neardup",
     "op9_offset_preserving_pii": "pii",
     "op10_string_tiling": "tiling",
 }

@@ -7,7 +7,9 @@ from importlib import import_module
 #: query name -> module and function of this package
 _QUERIES = {
     "op2_viterbi_token_counts": "unigram",
+    "op3_hilbert_shards": "hilbert",
     "op6_unigram_round_trip": "unigram",
+    "op7_order_minhash": "omh",
     "op8_bottom_k_near_dedup": "neardup",
     "op9_offset_preserving_pii": "pii",
     "op10_string_tiling": "tiling",

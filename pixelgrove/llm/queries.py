@@ -9,6 +9,7 @@ _QUERIES = {
     "op2_viterbi_token_counts": "unigram",
     "op3_hilbert_shards": "hilbert",
     "op4_licence_scan": "licences",
+    "op5_noisy_channel_toxicity": "toxicity",
     "op6_unigram_round_trip": "unigram",
     "op7_order_minhash": "omh",
     "op8_bottom_k_near_dedup": "neardup",

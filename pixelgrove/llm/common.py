@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
+    """The rows of docs whose text passes what make() returns (called once a task); all columns stay, without a shuffle."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        passes = make()
+        for b in batches:
+            kept = b.filter(pa.array([passes(t) for t in b.column(at).to_pylist()], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, names=names)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module and function of this package
 _QUERIES = {
+    "op1_masked_pseudo_likelihood": "masked_lm",
     "op2_viterbi_token_counts": "unigram",
     "op3_hilbert_shards": "hilbert",
     "op4_licence_scan": "licences",

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, id_text, mix, table
+from .common import col, filter_texts, id_text, mix, table
 
 #: Every byte that separates tokens becomes a space.
 _SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -185,13 +185,11 @@ def contamination(
     without an id is left out. A repeated document row gives repeated result rows; repeated items
     count one by one. Other columns are not read.
     """
-    spark = docs.sparkSession
     items = items.select(col(item_id_col).cast("long").alias("item_id"), col(item_text_col).alias("item_text"))
     docs = id_text(docs, id_col, text_col)
-    size = items.agg(F.sum(F.octet_length("item_text") + 16).alias("n")).first()["n"] or 0
-    if size > max_broadcast_bytes:
+    shared = _shared_items(items, min_match, max_broadcast_bytes)
+    if shared is None:
         return _by_seed_join(docs, items, min_match, min_coverage)
-    shared = spark.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.orderBy("item_id", "item_text").collect()], min_match))
 
     def scan(batches):
         known = shared.value
@@ -202,6 +200,27 @@ def contamination(
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan, RESULT)
 
 
+def _shared_items(items: DataFrame, min_match: int, max_bytes: int):
+    """The items as a broadcast variable, or None if they are too large for one."""
+    size = items.agg(F.sum(F.octet_length("item_text") + 16).alias("n")).first()["n"] or 0
+    if size > max_bytes:
+        return None
+    return items.sparkSession.sparkContext.broadcast(Items([(r[0], r[1]) for r in items.orderBy("item_id", "item_text").collect()], min_match))
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = 4, min_coverage: float = 0.5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of docs that cover no test item, as :func:`contamination` has it, with all columns.
+
+    Rows with a null id stay only in the broadcast form if their text is clean; the join form keeps them all.
+    """
+    slim = items.select(col(item_id_col).cast("long").alias("item_id"), col(item_text_col).alias("item_text"))
+    shared = _shared_items(slim, min_match, max_broadcast_bytes)
+    if shared is None:
+        gone = contamination(docs, items, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, min_match=min_match, min_coverage=min_coverage, max_broadcast_bytes=0).select(F.col("doc_id").alias("__gone")).distinct()
+        return docs.join(gone, col(id_col) == gone["__gone"], "left_anti")
+    return filter_texts(docs, text_col, lambda: lambda t: next(shared.value.matches(t, min_coverage), None) is None)
+
+
 def _token_hashes(text: str | None) -> np.ndarray:
     """The same numbers in every process, where no common vocabulary is at hand."""
     return np.array([xxhash.xxh3_64_intdigest(w) >> 1 for w in tokens(text)], dtype=np.int64)

@@ -251,7 +251,10 @@ def digests(found: DataFrame) -> DataFrame:
     def joined(c: str):
         return F.concat_ws(",", F.transform(col(c), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
-    counts = [F.size(F.filter(F.col("spans"), lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    def count(kind: str):
+        return F.size(F.filter(F.col("spans"), lambda s: s["kind"] == kind)).cast("long")
+
+    counts = [count(k).alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 

@@ -1,11 +1,15 @@
-"""Every registered query of the image operators, with its SQL."""
+"""Every registered query of the image operators, with the SQL that another engine checks it by."""
 
 from __future__ import annotations
 
+from . import batch, pixels, rules, sizes
+
+_MODULES = (sizes, rules, batch, pixels)
+
 
 def queries() -> dict:
-    return {}
+    return {name: q for m in _MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}

@@ -5,9 +5,11 @@ Documents of equal sets become one representative, so that copies cost nothing f
 
 1. inverted lists of retained values. Two sets of similarity J share each of the union's k smallest
    values with chance J, so linked sets share at least ``needed`` of k but for a chance of 1e-7 (for
-   sets that lie whole in their sketches: for certain). A sketch therefore enters only its
-   ``size - needed + 1`` globally rarest values; what many documents hold (a common line, a
-   passage) is in few of these lists.
+   sets that lie whole in their sketches: for certain, and more). With values in a common order, the
+   commonest last, the first value that two linked sketches share stands near the front of both: each
+   sketch enters only its first values, and a shared value makes a candidate only if enough values can
+   follow it on both sides. What many documents hold (a common line, the text that a large group has
+   copied and changed) is at the back, where it makes no candidates.
 2. pivots. In each list, every member is compared with the list's most central member (the one
    whose values are the commonest), not with all others: a group of n near copies costs n
    comparisons.
@@ -17,23 +19,27 @@ Documents of equal sets become one representative, so that copies cost nothing f
    similarity of both full sets after that. Only exact links count.
 5. components by min-label propagation with pointer jumping, cut at each round.
 
-Nothing is capped or sampled, and no list is expanded into all of its pairs unless all of its
-members are still apart.
+The order is by counts of values in a fixed number of hash buckets: any order gives the same links,
+a better one fewer candidates. Nothing is capped or sampled.
 """
 
 from __future__ import annotations
 
-from math import comb
+from functools import lru_cache
+from math import exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Memo, col, cut, id_text, mix, table
 
 _MISS = 1e-7
+_BUCKETS = 1 << 18
+#: Ids of copies are broadcast up to this number (8 MB), and joined beyond it.
+_MOST_SENT = 1_000_000
 
 
 class Shingler:
@@ -56,49 +62,128 @@ class Shingler:
         return np.unique((out >> np.uint64(1)).astype(np.int64))
 
 
+@lru_cache
 def needed(k: int, percent: int) -> int:
     """The largest t such that fewer than t of k values are shared with a chance of 1e-7 at most."""
     j, below = percent / 100, 0.0
     for t in range(k + 1):
-        below += comb(k, t) * j**t * (1 - j) ** (k - t)
+        below += exp(lgamma(k + 1) - lgamma(t + 1) - lgamma(k - t + 1) + t * log(j) + (k - t) * log1p(-j))
         if below > _MISS:
             return t
     return k
 
 
-def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
-    """doc_id, n (set size), key (of the set; null if empty), sketch for each row of doc_id, text."""
+def keys(docs: DataFrame, words: int) -> DataFrame:
+    """doc_id, n (set size), key (of the set; null if empty) for each row of doc_id, text."""
 
     def run(batches):
         shingles = Shingler(words)
         for b in batches:
             sets = [shingles(t) for t in b.column(1).to_pylist()]
-            sizes = [len(s) for s in sets]
-            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            tops = [s[:k] for s in sets]
-            ends = pa.array(np.cumsum([0] + [len(s) for s in tops]), pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(tops) if tops else np.zeros(0, np.int64)))], names=["doc_id", "n", "key", "sketch"])
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary())], names=["doc_id", "n", "key"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, key binary, sketch array<long>")
+    return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, n long, key binary")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
-    """Those of the pairs (a, b) of representatives that are linked: an estimate, then both full sets."""
+def value_counts(docs: DataFrame, words: int, k: int) -> np.ndarray:
+    """How many retained values fall into each of 2**18 hash buckets, over all documents."""
+
+    def run(batches):
+        shingles, total = Shingler(words), np.zeros(_BUCKETS, dtype=np.int64)
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                values = [shingles(t)[:k] for t in b.column(1).slice(at, 1000).to_pylist()]
+                total += np.bincount(np.concatenate(values) % _BUCKETS, minlength=_BUCKETS)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "m"])
+
+    found = docs.mapInArrow(run, "bucket int, m long").groupBy("bucket").agg(F.sum("m").alias("m")).toArrow()
+    out = np.zeros(_BUCKETS, dtype=np.int64)
+    out[found.column("bucket").to_numpy()] = found.column("m").to_numpy()
+    return out
+
+
+def inverted_lists(reps: DataFrame, counts: np.ndarray, words: int, percent: int, k: int) -> DataFrame:
+    """v, rep, n, at (place of v in rep's order), pivot: what each sketch enters, in lists of several members."""
+    t, shared = needed(k, percent), reps.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches):
+        shingles, counts = Shingler(words), shared.value
+        common = np.log2(counts + 1.0)
+        for b in batches:
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                whole = shingles(text)
+                n, sketch = len(whole), whole[:k]
+                if not n:
+                    continue
+                # Partners of a set so small lie whole in their sketches: they share this part of it for certain.
+                least = -(-n * percent // 100) if n * 100 <= k * percent else min(t, n * t // k)
+                bucket = sketch % _BUCKETS
+                order = np.lexsort((sketch, counts[bucket]))[: len(sketch) - least + 1]
+                m = len(order)
+                row = sketch[order], np.full(m, rep), np.full(m, n, np.int32), np.arange(m, dtype=np.int32), np.full(m, common[bucket].mean(), np.float32)
+                for c, x in zip(columns, row, strict=True):
+                    c.append(x)
+            kinds = np.int64, np.int64, np.int32, np.int32, np.float32
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, kind), *c])) for c, kind in zip(columns, kinds, strict=True)], names=["v", "rep", "n", "at", "weight"])
+
+    rows = reps.mapInArrow(run, "v long, rep long, n int, at int, weight float")
+    members = Window.partitionBy("v")
+    central = F.struct("weight", F.negative("rep").alias("r"), "rep", "n", "at")
+    listed = rows.withColumn("members", F.count("*").over(members)).filter("members > 1").withColumn("pivot", F.max(central).over(members))
+    return listed.select("v", "rep", "n", "at", "pivot.rep", "pivot.n", "pivot.at").toDF("v", "rep", "n", "at", "p", "p_n", "p_at")
+
+
+def _may_link(n: Column, at: Column, m: Column, place: Column, percent: int, k: int) -> Column:
+    """Whether sets of sizes n and m can be linked if the first value they share is at these places."""
     t = needed(k, percent)
-    side = lambda x: reps.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    common = F.array_intersect("s_a", "s_b")
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, k)
-    whole = (F.col("n_a") <= k) & (F.col("n_b") <= k)
-    # Of sets within their sketches the estimate is the similarity itself.
-    exact = F.size(common) * 100 >= percent * (F.col("n_a") + F.col("n_b") - F.size(common))
-    near = F.size(F.array_intersect(common, union)) >= t
-    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    likely = both.filter(least * 100 >= most * percent).filter(F.when(whole, exact).otherwise(near)).select("a", "b")
-    likely = cut(likely)
-    used = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    whole = (n <= k) & (m <= k)
+    total = F.ceil((n + m) * percent / (100 + percent))
+    least = F.when(whole, total).otherwise(F.least(F.lit(t), F.floor(F.least(n, m) * t / k)))
+    follow = F.least(F.least(n, F.lit(k)) - at, F.least(m, F.lit(k)) - place)
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (follow >= least)
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _pivot_pairs(lists: DataFrame, percent: int, k: int) -> DataFrame:
+    c = F.col
+    return lists.filter((c("rep") != c("p")) & _may_link(c("n"), c("at"), c("p_n"), c("p_at"), percent, k)).select(*_pair("rep", "p")).distinct()
+
+
+def _cross_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame, percent: int, k: int) -> DataFrame:
+    """Candidates of one list that are in different components and were not compared yet."""
+    c = F.col
+    placed = lists.select("v", "rep", "n", "at").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", "at", F.coalesce("component", "rep").alias("comp"))
+    sizes = placed.groupBy("v", "comp").agg(F.count("*").alias("m"))
+    mixed = sizes.groupBy("v").agg(F.max_by("comp", F.struct("m", F.negative("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
+    placed = cut(placed.join(mixed, "v"))
+    others = placed.filter("comp <> main").select("v", c("rep").alias("x"), c("n").alias("n_x"), c("at").alias("at_x"), c("comp").alias("c_x"))
+    every = placed.select("v", c("rep").alias("y"), c("n").alias("n_y"), c("at").alias("at_y"), c("comp").alias("c_y"), (c("comp") == c("main")).alias("in_main"))
+    near = (c("c_x") != c("c_y")) & (c("in_main") | (c("x") < c("y"))) & _may_link(c("n_x"), c("at_x"), c("n_y"), c("at_y"), percent, k)
+    pairs = others.join(every, "v").filter(near).select(*_pair("x", "y")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti")
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int, k: int) -> bool:
+    """An estimate from the union's sketch, then the similarity itself."""
+    if max(len(x), len(y)) > k:
+        union = np.union1d(x[:k], y[:k])[:k]
+        if np.isin(union, x[:k], assume_unique=True).astype(int) @ np.isin(union, y[:k], assume_unique=True) < needed(k, percent):
+            return False
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    return shared > 0 and shared * 100 >= percent * (len(x) + len(y) - shared)
+
+
+def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int, k: int) -> DataFrame:
+    """Those of the pairs (a, b) of documents that are linked. Only texts of pairs are moved."""
+    used = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = docs.join(used, "doc_id", "left_semi")
-    joined = likely.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
+    joined = pairs.join(texts.toDF("a", "text_a"), "a").join(texts.toDF("b", "text_b"), "b")
 
     def compare(batches):
         shingles, last = Shingler(words), (None, None)
@@ -107,12 +192,10 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, words: int, per
             for a, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b")), strict=True):
                 if last[0] != (a, ta):
                     last = (a, ta), shingles(ta)
-                x, y = last[1], shingles(tb)
-                shared = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(shared > 0 and shared * 100 >= percent * (len(x) + len(y) - shared))
+                keep.append(similar(last[1], shingles(tb), percent, k))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, likely.schema)
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(compare, pairs.schema)
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -130,41 +213,7 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _lists(reps: DataFrame, percent: int, k: int) -> DataFrame:
-    """v, rep, n, weight: the inverted lists of what each sketch must enter, of two members and more."""
-    t = needed(k, percent)
-    flat = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    counts = flat.groupBy("v").agg(F.count("*").alias("df")).filter("df > 1")
-    held = flat.join(counts, "v").groupBy("rep", "n").agg(F.array_sort(F.collect_list(F.struct("df", "v"))).alias("held"), F.sum(F.log2("df")).alias("weight"))
-    size = F.least("n", F.lit(k))
-    # Sets whose partners also lie whole in their sketches share their part for certain; others that lie whole share at least so much of what the partner's sketch left.
-    least = F.when(F.col("n") * 100 <= k * percent, F.ceil(F.col("n") * percent / 100)).otherwise(F.least(F.floor(size * t / k), F.lit(t)))
-    rare = size - F.size("held")
-    enter = F.greatest(F.lit(0), size - least + 1 - rare).cast("int")
-    out = held.select("rep", "n", "weight", F.explode(F.slice("held", F.lit(1), F.least(enter, F.size("held")))).alias("x")).select(F.col("x.v").alias("v"), "rep", "n", "weight")
-    return cut(out)
-
-
-def _pivot_pairs(lists: DataFrame) -> DataFrame:
-    pivots = lists.groupBy("v").agg(F.max_by("rep", F.struct("weight", F.negative("rep"))).alias("pivot"), F.count("*").alias("m")).filter("m > 1").drop("m")
-    pairs = lists.join(pivots, "v").filter("rep <> pivot")
-    return pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
-
-
-def _cross_pairs(lists: DataFrame, labels: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one list that are in different components and were not compared yet."""
-    placed = lists.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("v", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-    sizes = placed.groupBy("v", "comp").agg(F.count("*").alias("m"))
-    mixed = sizes.groupBy("v").agg(F.max_by("comp", F.struct("m", F.negative("comp"))).alias("main"), F.count("*").alias("comps")).filter("comps > 1").drop("comps")
-    placed = cut(placed.join(mixed, "v"))
-    others = placed.filter("comp <> main").select("v", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
-    every = placed.select("v", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    near = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (F.col("ca") != F.col("cb")) & (F.col("in_main") | (F.col("a") < F.col("b")))
-    pairs = others.join(every, "v").filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
-def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach), kept for each row of docs.
 
     Words are runs of other than ASCII white space, A-Z lowered; a text of fewer than ``words`` words
@@ -174,15 +223,18 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, k: in
     Other columns are not read.
     """
     docs = id_text(docs, id_col, text_col)
-    all_docs = cut(sketches(docs, words, k))
-    reps = cut(all_docs.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    slim = reps.select("rep", "n", "sketch")
-    lists = _lists(slim, percent, k)
+    all_docs = cut(keys(docs, words))
+    reps = cut(all_docs.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").cast("long").alias("rep")))
+    copies = all_docs.join(reps, "key").filter("doc_id <> rep").select("doc_id").distinct()
     with_text = docs.filter("doc_id is not null")
-    tested = cut(_pivot_pairs(lists))
-    links = cut(verified(tested, slim, with_text, words, percent, k))
+    if copies.limit(_MOST_SENT + 1).count() <= _MOST_SENT:
+        copies = F.broadcast(copies)
+    counts = value_counts(docs, words, k)
+    lists = cut(inverted_lists(with_text.join(copies, "doc_id", "left_anti"), counts, words, percent, k))
+    tested = cut(_pivot_pairs(lists, percent, k))
+    links = cut(verified(tested, with_text, words, percent, k))
     labels = connected(links)
-    more = cut(verified(_cross_pairs(lists, labels, tested, percent), slim, with_text, words, percent, k))
+    more = cut(verified(cut(_cross_pairs(lists, labels, tested, percent, k)), with_text, words, percent, k))
     if not more.isEmpty():
         labels = connected(links.union(more))
     classes = reps.select("key", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("class"))

@@ -39,7 +39,8 @@ def folder_plan(spark: SparkSession, root: str, profile: str = "desktop") -> Dat
 def decoded(spark: SparkSession, root: str) -> DataFrame:
     """path, width, height, channels, data of what Spark's image source can decode; others have width -1."""
     df = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
-    return df.select(F.col("image.origin").alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
+    path = F.regexp_replace("image.origin", "^file:///", "file:/")  # as the binary source writes it
+    return df.select(path.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
 def gif_frames(df: DataFrame, content: str = "content") -> DataFrame:

@@ -31,68 +31,70 @@ def tokens(text: str | None) -> list[bytes]:
     return text.lower().encode("utf-8", "replace").translate(_SEPARATE).split() if text else []
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+class _Side:
+    """One side's tokens, which of them are free, and Karp-Rabin hashes of all windows of any length."""
+
+    def __init__(self, tokens: np.ndarray):
+        self.tokens, self.free = tokens, tokens >= 0
+        n = len(tokens)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _BASE)]))
+        self.back = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, _INVERSE)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((tokens.astype(np.uint64) + np.uint64(2)) * power[:-1])])
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, hashes) of the windows of free tokens."""
+        taken = np.concatenate([[0], np.cumsum(~self.free)])
+        starts = np.flatnonzero(taken[length:] == taken[:-length]) if length <= len(self.tokens) else np.zeros(0, np.int64)
+        return starts, (self.sums[starts + length] - self.sums[starts]) * self.back[starts]
+
+
 def greedy_tiles(pattern: np.ndarray, text: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
-    """Running Karp-Rabin greedy string tiling: (pattern start, text start, length) of each tile.
+    """Greedy string tiling by Karp-Rabin hashes: (pattern start, text start, length) of each tile.
 
-    Negative tokens match nothing. Search lengths fall from long to ``min_match``; at each, windows
-    of unmarked tokens are hashed on the text's side, looked up from the pattern's, extended as far
-    as they go, and marked from the longest on.
+    Negative tokens match nothing. Again and again the longest length of a window that is free and
+    equal on both sides is found by bisection over lengths (a shared window holds shorter shared ones), and
+    all such windows are marked, from the left, until none of ``min_match`` tokens is left. The
+    cost of a round is that of sorting both sides, however often tokens repeat.
     """
-    p, t = pattern.tolist(), text.tolist()
-    free_p, free_t = [x >= 0 for x in p], [x >= 0 for x in t]
-    tiles: list[tuple[int, int, int]] = []
-    length = max(min_match, min(20, len(p)))
-
-    def windows(seq: list[int], free: list[bool], s: int) -> Iterator[tuple[int, int]]:
-        """(start, rolling hash) of each window of s unmarked tokens."""
-        base, mod = 1_000_003, (1 << 61) - 1
-        top = pow(base, s, mod)
-        run = h = 0
-        for i, x in enumerate(seq):
-            if not free[i]:
-                run = h = 0
+    p, t, tiles = _Side(pattern), _Side(text), []
+    longest = min(len(pattern), len(text))
+
+    def shared(length: int) -> bool:
+        return bool(np.isin(p.windows(length)[1], t.windows(length)[1]).any())
+
+    while longest >= min_match and shared(min_match):
+        low, high = min_match, longest
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if shared(middle) else (low, middle - 1)
+        longest = low
+        (starts, hashes), (places, others) = p.windows(low), t.windows(low)
+        order = np.argsort(others, kind="stable")
+        others, places = others[order], places[order]
+        both = np.isin(hashes, others)
+        next_of: dict[int, int] = {}
+        marked = False
+        for i, h in zip(starts[both].tolist(), hashes[both].tolist(), strict=True):
+            if not p.free[i : i + low].all():
                 continue
-            h = (h * base + x + 1) % mod
-            run += 1
-            if run > s:
-                h = (h - (seq[i - s] + 1) * top) % mod
-            if run >= s:
-                yield i - s + 1, h
-
-    while True:
-        places: dict[int, list[int]] = defaultdict(list)
-        for j, h in windows(t, free_t, length):
-            places[h].append(j)
-        found: list[tuple[int, int, int]] = []
-        longest = 0
-        for i, h in windows(p, free_p, length):
-            for j in places.get(h, ()):
-                # A match that could start one token earlier is found from there.
-                if i and j and free_p[i - 1] and free_t[j - 1] and p[i - 1] == t[j - 1]:
-                    continue
-                k = 0
-                while i + k < len(p) and j + k < len(t) and free_p[i + k] and free_t[j + k] and p[i + k] == t[j + k]:
-                    k += 1
-                if k >= length:
-                    found.append((-k, i, j))
-                    longest = max(longest, k)
-        if longest > 2 * length:
-            length = longest
-            continue
-        again = False
-        for k, i, j in sorted(found):
-            k = -k
-            if all(free_p[i : i + k]) and all(free_t[j : j + k]):
-                free_p[i : i + k] = [False] * k
-                free_t[j : j + k] = [False] * k
-                tiles.append((i, j, k))
-            else:
-                again = True  # what a longer tile left of it may still be a match
-        if again:
-            continue
-        if length == min_match:
-            return tiles
-        length = max(min_match, length // 2)
+            at = next_of.get(h, -1)
+            at = int(np.searchsorted(others, np.uint64(h))) if at < 0 else at
+            while at < len(others) and others[at] == h:
+                j = int(places[at])
+                if t.free[j : j + low].all() and (p.tokens[i : i + low] == t.tokens[j : j + low]).all():
+                    p.free[i : i + low] = t.free[j : j + low] = False
+                    tiles.append((i, j, low))
+                    marked = True
+                    break
+                at += 1
+            next_of[h] = at
+        if not marked:  # equal hashes of unequal windows
+            longest -= 1
+    return tiles
 
 
 class Items:
@@ -101,15 +103,16 @@ class Items:
     def __init__(self, rows: list[tuple[int, str | None]], min_match: int):
         self.min_match = min_match
         self.ids: dict[bytes, int] = {}
-        self.items: list[tuple[int, np.ndarray]] = []
+        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # id, tokens, seeds by place
         seeds: dict[int, list[int]] = defaultdict(list)
         for item_id, text in rows:
             words = np.array([self.ids.setdefault(w, len(self.ids)) for w in tokens(text)], dtype=np.int64)
             if item_id is None or len(words) < min_match:
                 continue
-            for h in np.unique(seed_hashes(words, min_match)).tolist():
+            own = seed_hashes(words, min_match)
+            for h in np.unique(own).tolist():
                 seeds[h].append(len(self.items))
-            self.items.append((item_id, words))
+            self.items.append((item_id, words, own))
         self.hashes = np.array(sorted(seeds), dtype=np.uint64)
         self.holders = [seeds[h] for h in self.hashes.tolist()]
 
@@ -129,12 +132,15 @@ class Items:
         at = np.searchsorted(self.hashes, h)
         at[at == len(self.hashes)] = 0
         hit = self.hashes[at] == h
-        by_item: dict[int, list[int]] = defaultdict(list)
+        found, by_item = np.unique(h[hit]), defaultdict(list)
         for start, seed in zip(starts[hit].tolist(), at[hit].tolist(), strict=True):
             for item in self.holders[seed]:
                 by_item[item].append(start)
         for item, places in sorted(by_item.items()):
-            item_id, pattern = self.items[item]
+            item_id, pattern, seeds = self.items[item]
+            # Tiles lie within seeds that both hold: what those cover is the most there can be.
+            if _inside(np.flatnonzero(np.isin(seeds, found)), m, len(pattern)).sum() < min_coverage * len(pattern):
+                continue
             row = tile(pattern, words, places, m)
             if row[3] >= min_coverage:
                 yield item_id, len(pattern), *row
@@ -147,12 +153,14 @@ def seed_hashes(words: np.ndarray, m: int) -> np.ndarray:
     return h
 
 
+def _inside(places: np.ndarray, m: int, n: int) -> np.ndarray:
+    """Which of n tokens lie in a window of m that starts at one of the places."""
+    return np.cumsum(np.bincount(places, minlength=n + m + 1)[:n] - np.bincount(places + m, minlength=n + m + 1)[:n]) > 0
+
+
 def tile(pattern: np.ndarray, words: np.ndarray, places: list[int], m: int) -> tuple[int, int, int, float]:
     """covered, tiles, longest, coverage; only tokens within a seed of the item can lie in a tile."""
-    inside = np.zeros(len(words) + 1, dtype=np.int64)
-    np.add.at(inside, places, 1)
-    np.add.at(inside, np.asarray(places) + m, -1)
-    near = np.cumsum(inside[:-1]) > 0
+    near = _inside(np.asarray(places), m, len(words))
     # Runs between seeds shrink to one token that matches nothing.
     keep = near | np.concatenate([[True], near[:-1]])
     tiles = greedy_tiles(pattern, np.where(near, words, -1)[keep], m)
@@ -209,14 +217,11 @@ def _shared_items(items: DataFrame, min_match: int, max_bytes: int):
 
 
 def uncontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", min_match: int = 4, min_coverage: float = 0.5, max_broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """The rows of docs that cover no test item, as :func:`contamination` has it, with all columns.
-
-    Rows with a null id stay only in the broadcast form if their text is clean; the join form keeps them all.
-    """
+    """The rows of docs that cover no test item, as :func:`contamination` has it, with all columns."""
     slim = items.select(col(item_id_col).cast("long").alias("item_id"), col(item_text_col).alias("item_text"))
     shared = _shared_items(slim, min_match, max_broadcast_bytes)
     if shared is None:
-        gone = contamination(docs, items, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, min_match=min_match, min_coverage=min_coverage, max_broadcast_bytes=0).select(F.col("doc_id").alias("__gone")).distinct()
+        gone = contamination(docs.filter(col(id_col).isNotNull()), items, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, min_match=min_match, min_coverage=min_coverage, max_broadcast_bytes=0).select(F.col("doc_id").alias("__gone")).distinct()
         return docs.join(gone, col(id_col) == gone["__gone"], "left_anti")
     return filter_texts(docs, text_col, lambda: lambda t: next(shared.value.matches(t, min_coverage), None) is None)
 

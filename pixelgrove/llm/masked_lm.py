@@ -113,10 +113,19 @@ class Lexicon:
 
 
 def lexicon(docs: DataFrame, *, vocabulary: int = 20_000, classes: int = 64, own: int = 40) -> Lexicon:
-    """From the counts of all words. Ties of counts go by the word."""
+    """From the counts of all words: at most ``vocabulary`` of them, the commonest; their ties go by the word."""
     counts = cut(word_counts(docs))
     total = counts.agg(F.sum("n").alias("n")).first()["n"] or 0
-    top = [(r["word"], r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
+    # Words of the highest counts: whole ranges of counts, down to what the vocabulary still holds, so that no
+    # more than the vocabulary reaches the driver, from however many partitions.
+    height = F.floor(F.log2("n") * 16).cast("int")
+    least, held = None, 0
+    for r in sorted(counts.groupBy(height.alias("height")).agg(F.count("*").alias("words")).collect(), reverse=True):
+        held += r["words"]
+        if held > vocabulary:
+            break
+        least = r["height"]
+    top = [] if least is None else sorted(((r["word"], r["n"]) for r in counts.filter(height >= least).collect()), key=lambda x: (-x[1], x[0]))
     class_of, mass = {}, np.zeros(classes)
     for i, (w, _) in enumerate(top[:own]):
         class_of[w] = i

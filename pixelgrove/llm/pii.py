@@ -5,8 +5,8 @@ characters away, spelled digits to digits, "[at]" and "(dot)" to @ and .) while
 rewritten character, the span of source characters it came from. The base patterns run over the
 source and over the rewritten text; what they find in the latter is mapped back to source offsets.
 
-Base spans always stay. An added span contains at least one rewritten character and overlaps no
-base span.
+Base spans always stay. An added span contains at least one rewritten character, or a neighbour of
+one that was left out, and reaches beyond every base span: it may contain or overlap one.
 """
 
 from __future__ import annotations
@@ -47,12 +47,12 @@ _SPELLED = "|".join(DIGITS)
 _DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|[0-9]+)(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9]+))+(?![A-Za-z])", re.IGNORECASE)
 _DIGIT_WORD = re.compile(rf"{_SPELLED}|[0-9]+", re.IGNORECASE)
 _BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punkt|punto|point|arroba)\s*[\])}>]\s*", re.IGNORECASE)
-#: Bare words count only together: a name, at, labels with dots between them.
-_BARE = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+( +at +)[A-Za-z0-9-]+((?: +dot +[A-Za-z0-9-]+)+)(?![A-Za-z0-9-])", re.IGNORECASE)
+#: A name, a bare at or @, and labels with dots or bare dots between them; the labels can begin a name themselves, but not the name before an @.
+_BARE = re.compile(r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( +at +)|(?<=[A-Za-z0-9._%+-])@)(?=([A-Za-z0-9-]++(?:(?:\.| +dot +)[A-Za-z0-9-]++)++)(?![A-Za-z0-9._%+-]*+@))", re.IGNORECASE)
 _BARE_DOT = re.compile(r" +dot +", re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ -]+(?=[0-9])", re.IGNORECASE)
 #: What any of the transducers could act on; texts without it are read by the base patterns alone.
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|punkt|punto|point|arroba)\s*[\])}}>]| dot |(?<![A-Za-z])(?:{_SPELLED})[ ,-]|[0-9][ ,-]{{1,2}}(?:{_SPELLED})", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|punkt|punto|point|arroba)\s*[\])}}>]| dot |(?<![A-Za-z])(?:{_SPELLED})[ ,-]|[0-9][ ,-]{{1,2}}(?:{_SPELLED})|{_PLUS.pattern}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -96,7 +96,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 class _Tape:
-    """A text under rewriting: for each character its source span, and whether it was rewritten."""
+    """A text under rewriting: for each character its source span, and whether it or what stood beside it was rewritten."""
 
     def __init__(self, text: str):
         self.text = text
@@ -107,7 +107,7 @@ class _Tape:
         """Each (from, to, what) of this tape, ascending and apart; what replaces takes the whole span."""
         if not edits:
             return
-        text, start, end, new, at = [], [], [], bytearray(), 0
+        text, start, end, new, at, gaps = [], [], [], bytearray(), 0, []
         for a, b, what in edits:
             text.append(self.text[at:a])
             start += self.start[at:a]
@@ -117,9 +117,13 @@ class _Tape:
             start += [self.start[a]] * len(what)
             end += [self.end[b - 1]] * len(what)
             new += b"\1" * len(what)
+            if not what:
+                gaps.append(len(new))
             at = b
         self.text = "".join([*text, self.text[at:]])
         self.start, self.end, self.new = start + self.start[at:], end + self.end[at:], new + self.new[at:]
+        for g in gaps:  # what is left out shows at both neighbours
+            self.new[max(0, g - 1) : g + 1] = b"\1" * len(self.new[max(0, g - 1) : g + 1])
 
 
 _PLAIN: dict[str, str] = {}
@@ -155,8 +159,13 @@ def rewritten(text: str) -> _Tape | None:
     tape.replace([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba") else ".") for m in _BRACKETED.finditer(tape.text)])
     edits = []
     for m in _BARE.finditer(tape.text):
-        edits.append((m.start(1), m.end(1), "@"))
-        edits += [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2))]
+        dots = [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2))]
+        if m.group(1):
+            # A bare at counts only with a bare or a bracketed dot.
+            if not dots and not any(tape.text[i] == "." and tape.end[i] - tape.start[i] > 1 for i in range(*m.span(2))) or edits and m.start(1) < edits[-1][1]:
+                continue
+            edits.append((m.start(1), m.end(1), "@"))
+        edits += dots
     tape.replace(edits)
     edits = []
     for m in _DIGIT_RUN.finditer(tape.text):
@@ -184,11 +193,11 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     tape = rewritten(text)
     if tape is None:
         return base, base
-    taken, added = sorted((a, b) for _, a, b in base), []
+    taken, added = [(a, b) for _, a, b in base], []
     for kind, a, b in base_spans(tape.text):
         if 1 in tape.new[a:b]:
             span = kind, tape.start[a], tape.end[b - 1]
-            if not any(x < span[2] and span[1] < y for x, y in taken):
+            if not any(x <= span[1] and span[2] <= y for x, y in taken):
                 added.append(span)
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))
 

@@ -43,6 +43,21 @@ def test_disguises_map_back():
     assert pii.find_spans(clean) == ([], []) and pii.redact(clean, []) == clean
 
 
+def test_restored_spans_are_whole():
+    for text, want in [
+        ("see john@exam\u200bple.com now", "john@exam\u200bple.com"), ("ip 192.16\u00ad8.0.1 up", "192.16\u00ad8.0.1"), ("card 4111 1111 1111 11\u200b\u200b11.", "4111 1111 1111 11\u200b\u200b11"),
+        ("call plus 49 30 12345678", "plus 49 30 12345678"), ("write jane [at] example dot com", "jane [at] example dot com"), ("write jane@example dot com", "jane@example dot com"),
+        ("jane at mail.example dot com", "jane at mail.example dot com"), ("jane at example [dot] com", "jane at example [dot] com"), ("me at a.b or c.d at e dot com", "c.d at e dot com"),
+        ("me at x dot b@example dot com", "b@example dot com"), ("mail j\u043ehn@example.com", "j\u043ehn@example.com"), ("jane@mail.example dot com", "jane@mail.example dot com"),
+    ]:
+        base, spans = pii.find_spans(text)
+        assert [text[a:b] for _, a, b in spans if (_, a, b) not in base] == [want] and set(base) <= set(spans)
+        assert pii.redact(text, spans) == text.replace(want, pii.MASKS[next(k for k, a, b in spans if text[a:b] == want)])
+    for text in ("\u200bjohn@example.com\u200b", "we met at example.com", "look at a.b or at noon, on the dot"):
+        base, spans = pii.find_spans(text)
+        assert spans == base
+
+
 def test_pii_query(spark, sf, odd, none):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in pii.op9_offset_preserving_pii(spark, sf).collect():

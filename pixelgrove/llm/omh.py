@@ -22,15 +22,15 @@ from .common import id_text, mix, shuffle_partitions, table
 class OrderMinHash:
     """m values of 16 bits for a text, from l of its occurrence-numbered k-mers each.
 
-    The m functions act on the ``pool`` items of the smallest base hashes (all of them, in a text of
-    up to so many): what is minimal among texts of like length is minimal there too, and the cost
-    of a long text stays in proportion to its length.
+    Each of the m functions acts on all items, in blocks of positions, so that memory stays bounded and
+    the cost of a long text stays in proportion to its length.
     """
 
-    def __init__(self, m: int = 64, l: int = 2, k: int = 9, pool: int = 512):
-        self.m, self.l, self.k, self.pool = m, l, k, pool
+    def __init__(self, m: int = 64, l: int = 2, k: int = 9, block: int = 4096):
+        self.m, self.l, self.k, self.block = m, l, k, block
         draws = mix(np.arange(1, 2 * m + 1, dtype=np.uint64))
         self.mask, self.odd = (draws[:m] >> np.uint64(32)).astype(np.uint32), (draws[m:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        self.grid = np.empty((m, block), dtype=np.uint32)
 
     def kmers(self, text: str) -> np.ndarray:
         """A 64-bit hash of each k-mer, by position; a text shorter than k is one k-mer."""
@@ -81,17 +81,22 @@ class OrderMinHash:
 
     def sign(self, kmers: np.ndarray) -> np.ndarray:
         h = self.items(kmers)
-        if len(h) > self.pool:
-            h = h[np.sort(np.argpartition(h, self.pool)[: self.pool])]
         if not len(h):
             return np.zeros(self.m, dtype=np.uint16)
-        grid = ((h >> np.uint64(16)).astype(np.uint32)[None, :] ^ self.mask[:, None]) * self.odd[:, None]
-        rows, took = np.arange(self.m), []
-        for _ in range(min(self.l, len(h))):  # l passes of a minimum, as l is small
-            least = grid.argmin(axis=1)
-            took.append(least)
-            grid[rows, least] = 0xFFFFFFFF
-        order = np.sort(np.stack(took, axis=1), axis=1)
+        x, rows = (h >> np.uint64(16)).astype(np.uint32), np.arange(self.m)
+        least, took = np.zeros((self.m, 0), dtype=np.uint32), np.zeros((self.m, 0), dtype=np.int64)
+        for at in range(0, len(x), self.block):
+            grid = self.grid[:, : len(x) - at]
+            np.bitwise_xor(x[None, at : at + self.block], self.mask[:, None], out=grid)
+            grid *= self.odd[:, None]
+            for _ in range(min(self.l, grid.shape[1])):  # l passes of a minimum, as l is small
+                place = grid.argmin(axis=1)
+                least, took = np.column_stack([least, grid[rows, place]]), np.column_stack([took, at + place])
+                grid[rows, place] = 0xFFFFFFFF
+            if least.shape[1] > self.l:  # of equal values the first by position stays
+                best = np.argsort(least, axis=1, kind="stable")[:, : self.l]
+                least, took = np.take_along_axis(least, best, 1), np.take_along_axis(took, best, 1)
+        order = np.sort(took, axis=1)
         out = np.full(self.m, order.shape[1], dtype=np.uint64)
         for c in range(order.shape[1]):
             out = mix(out * np.uint64(31) + h[order[:, c]])

@@ -92,6 +92,25 @@ def test_order_counts():
     assert omh.likeness(sign(a), sign(a)) == 1 and omh.likeness(sign(a), sign(b)) < 0.6
 
 
+def test_fingerprints_use_the_whole_text():
+    """As a plain order MinHash of all k-mers, on texts of unlike length, over several blocks too."""
+    rng = random.Random(9)
+    for n in (1, 8, 10, 600, 6000, 9000):
+        text = "".join(rng.choice("abcdefghij ") for _ in range(n))
+        sign = omh.OrderMinHash(m=16, l=3)
+        h = sign.items(sign.kmers(text))
+        assert len(h) == max(1, n - 8)
+        for mask, odd, got in zip(sign.mask.tolist(), sign.odd.tolist(), sign(text).tolist(), strict=True):
+            chosen = sorted(sorted(range(len(h)), key=lambda i: (((int(h[i]) >> 16 & 0xFFFFFFFF) ^ mask) * odd & 0xFFFFFFFF, i))[:3])
+            value = np.array([len(chosen)], dtype=np.uint64)
+            for i in chosen:
+                value = omh.mix(value * np.uint64(31) + h[i])
+            assert got == int(value[0]) >> 48
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6008))
+    sign = omh.OrderMinHash(m=4000, l=1)
+    assert abs(omh.likeness(sign(long[3000:3608]), sign(long)) - 0.1) < 0.02
+
+
 def test_fingerprint_edges(odd, none):
     rows = omh.edit_probe(odd).collect()
     assert len(rows) == 9 and {r["n_chars"] for r in rows if r["doc_id"] in (2, 3)} == {0}

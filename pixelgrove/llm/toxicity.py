@@ -1,10 +1,11 @@
 """Toxicity scores of restored text: a noisy channel undoes disguises, then a classifier scores.
 
 1. A character language model: trigram counts of letters over all documents, summed by Spark.
-2. Restoration. A token that mixes letters with digits or symbols, repeats a letter three times, or
-   is one letter among several spaced out, is a lattice: each character is itself, one of the letters it may stand
-   for, a separator to leave out, or one more of a repeated letter. Viterbi search takes the path
-   of the best sum of channel and language model log-probabilities.
+2. Restoration. A token that mixes letters with digits or symbols or repeats a letter three times, or
+   a run of spaced-out characters, is a lattice: each character is itself, one of the letters it may stand
+   for, a separator to leave out or (in runs and long tokens) the end of a word, or one more of a
+   repeated letter. Viterbi search takes the path of the best sum of channel and language model
+   log-probabilities. What stands between separators or punctuation counts as words of its own, too.
 3. A logistic regression over the words of the restored text and their beginnings, as present or
    not. Features and weights come from a bounded sample of labelled rows; scoring reads every text.
 """
@@ -29,9 +30,11 @@ SEPARATORS = frozenset(".-_~'`,/\\:;^=·•*| ")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷") + "œ"
 _SIZE = 64  # letters and the word boundary, 0
 _CODE = {c: i for i, c in enumerate(_LETTERS[: _SIZE - 1], 1)}
-_LONGEST = 40  # characters of a token that can be a disguised word
+_LONGEST = 40  # characters of a token that is one disguised word; a longer one can hold several
 _EDGES = ".,;:!?\"'()[]{}<>|*%&$#@~^=+-_/\\`"
-_SPACED = re.compile(r"(?<!\S)(?:[^\W\d_][ ._*-]){3,}[^\W\d_](?![^\W_])")
+_UNIT = r"(?:[^\W_]|[@$!|+(€£¡*#%&])"
+_SPACED = re.compile(rf"(?<!\S)(?:{_UNIT}[ ._*-]){{3,}}{_UNIT}(?![^\W_])")
+_PARTS = [re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+"), re.compile(r"[\W_]+")]
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 
 
@@ -71,14 +74,23 @@ class Restorer:
 
     def __call__(self, token: str) -> str:
         """The restored word, letters only; "" if no letter is left."""
+        return "".join(self.several(token, boundary=None))
+
+    def several(self, token: str, boundary: float | None = 1.0) -> list[str]:
+        """The restored words, in time linear in the length; a separator can end one at the cost of ``boundary``.
+
+        With it, a letter repeats across separators as well.
+        """
         cost = self.cost
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+        # What came out so far is a chain of (before, last), shared between states.
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         previous = ""
         for ch in token.lower():
             options = [(ch, 0.0)] if ch in _CODE else []
             options += [(x, self.leet + math.log(len(LEET[ch]))) for x in LEET.get(ch, "")]
             drop = None if options and ch not in SEPARATORS and ch not in LEET else self.separator if ch in SEPARATORS else self.leet + 3.0
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            ends = boundary is not None and ch in SEPARATORS
+            new: dict[tuple[int, int], tuple[float, tuple]] = {}
 
             def offer(state, total, out, new=new):
                 if state not in new or total < new[state][0]:
@@ -87,16 +99,24 @@ class Restorer:
             for (a, b), (total, out) in states.items():
                 for x, extra in options:
                     i = _CODE[x]
-                    offer((b, i), total + extra + cost[a, b, i], out + x)
-                if ch == previous and out and (out[-1] == ch or out[-1] in LEET.get(ch, "")):
+                    offer((b, i), total + extra + cost[a, b, i], (out, x))
+                if ch == previous and out and (out[1] == ch or out[1] in LEET.get(ch, "")):
                     offer((a, b), total + self.repeat, out)
                 if drop is not None:
                     offer((a, b), total + drop, out)
                 elif not options:
                     offer((a, b), total, out)
-            states = dict(sorted(new.items(), key=lambda s: s[1])[: self.beam])
-            previous = ch
-        return min(((t + cost[a, b, 0], out) for (a, b), (t, out) in states.items()), default=(0, ""))[1]
+                if ends and b:
+                    offer((b, 0), total + boundary + cost[a, b, 0], (out, " "))
+            states = dict(sorted(new.items(), key=lambda s: s[1][0])[: self.beam])
+            if not ends:
+                previous = ch
+        out = min(((t + (cost[a, b, 0] if b or not a else 0.0), k, o) for k, ((a, b), (t, o)) in enumerate(states.items())), default=(0, 0, ()))[2]
+        letters = []
+        while out:
+            out, x = out
+            letters.append(x)
+        return "".join(reversed(letters)).split()
 
 
 def features_of(word: str) -> list[int]:
@@ -112,16 +132,31 @@ class Features:
         self.restore, self.known = Restorer(counts), known
         self.memo = Memo(self._token, 500_000)
 
-    def words(self, token: str) -> list[str]:
+    def words(self, token: str, whole: bool = True) -> list[str]:
         core = token.strip(_EDGES).lower()
         if core.isalpha() and not _REPEATED.search(core):
             return [core]
         full = token.lower()
-        if len(full) > _LONGEST or not any(c.isalpha() for c in full):
+        if not any(c.isalpha() for c in full):
             return []
+        # What stands between separators, and between any punctuation.
+        parts = {p for at in _PARTS for p in at.split(core) if 1 < len(p) < len(core)} if whole else set()
+        inner = [w for p in sorted(parts) for w in self.words(p, whole=False)]
+        if len(full) > _LONGEST:
+            return list(dict.fromkeys([*self.restore.several(core), *inner]))
         # With and without the edges: "$tupid" begins with a letter in disguise, "stupid!!" does not end with one.
         plain = "".join(c for c in core if c.isalpha())
-        return list(dict.fromkeys(w for w in (self.restore(core), self.restore(full.strip(".,;:?\"'()[]{}<>")), plain) if w))
+        return list(dict.fromkeys(w for w in (self.restore(core), self.restore(full.strip(".,;:?\"'()[]{}<>")), plain, *inner) if w))
+
+    def spaced(self, run: str) -> list[str]:
+        """The words that a run of spaced-out characters may hold."""
+        s = "".join(c for c in run if c.isalpha())
+        if len(s) < 2:
+            return []
+        found = [s, *self.restore.several(run), *self.restore.several(run.strip(_EDGES + " "))]
+        # Any part of the run or of its words may be the word: letters around it can be words of their own.
+        ends = (w[i:j] for w in found for i in range(min(3, len(w))) for j in range(max(i + 4, len(w) - 2), len(w) + 1))
+        return list(dict.fromkeys([*found, *ends]))
 
     def _token(self, token: str) -> tuple[int, ...]:
         found = (f for w in self.words(token) for f in features_of(w))
@@ -131,14 +166,12 @@ class Features:
         if not text:
             return set()
         tokens = set(text.split())
-        spaced = ["".join(c for c in m.group() if c.isalpha()) for m in _SPACED.finditer(text)]
         out: set[int] = set()
         for f in map(self.memo.__getitem__, tokens):
             if f:
                 out.update(f)
-        for s in spaced:
-            # Any part of the run may be the word: letters around it can be words of their own.
-            for w in {s, *(s[i:j] for i in range(min(3, len(s))) for j in range(max(i + 4, len(s) - 2), len(s) + 1))} if len(s) <= _LONGEST else ():
+        for m in _SPACED.finditer(text):
+            for w in self.spaced(m.group()):
                 out.update(self.memo[w])
         return out
 
@@ -226,7 +259,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
 
     A null or empty text has the score of a text without features. Labels of held-out rows, null labels and
     labels without a document teach nothing; without labels of both kinds the score is constant. Only
-    texts are scored: no other column is read. Tokens of over 40 characters are not restored.
+    texts are scored: no other column is read.
     """
     docs = id_text(docs, id_col, text_col)
     shared = _learned(docs, labels, max_rows)

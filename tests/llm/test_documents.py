@@ -184,6 +184,17 @@ def test_restoration():
     assert [restore(w) for w in ("st00pid", "1d10t", "l0ser", "l.o.s.e.r", "$tupid", "idiooot", "tr@sh", "w0rthle55")][1:] == ["idiot", "loser", "loser", "stupid", "idiot", "trash", "worthless"]
 
 
+def test_runs_and_long_tokens():
+    features = toxicity.Features(counts_of(["you are a stupid idiot and a loser", "worthless trash", "the clown said so"] * 50))
+    for text, want in [
+        ("a s t u p i d i d i o t", {"stupid", "idiot"}), ("so 1 d 1 0 t !", {"idiot"}), ("s t u p 1 d", {"stupid"}), ("s t u u u p i d", {"stupid"}), (" ".join("youareastupididiotandaloser" * 2), {"stupid", "idiot", "loser"}),
+        ("st" + "u" * 60 + "pid", {"stupid"}), ("you/are/a/stupid-1d10t_and.a/l0ser/the/clown/said/so", {"stupid", "idiot", "loser", "clown"}), ("the,clown!you?are(a)stupid;idiot&so!the,clown", {"clown", "stupid", "idiot"}), ("stupid/loser", {"stupid", "loser"}),
+    ]:
+        for w in want:
+            assert set(toxicity.features_of(w)) <= features(text), (text, w)
+    assert features("1 2 3 4 5 6") == set() and len(features.restore("ab1" * 5000)) >= 10_000
+
+
 def test_toxicity(spark, odd, none):
     rng = random.Random(5)
     words, bad = [f"{a}{b}" for a in ("the", "in", "on", "er", "st", "ma") for b in ("ing", "ation", "ed", "ly", "ness")], ["stupid", "idiot", "loser", "scum"]

@@ -28,14 +28,25 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that the cluster shares, and go on from there.
 
-    The session's own folder holds; one is set only where none is, as in tests.
+    The session's own folder holds; in local mode, as in tests, one is made where none is set.
     """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
+#: Ids are broadcast up to this number (8 MB), and joined beyond it.
+MOST_SENT = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """ids (one long column, distinct), marked for broadcast if they are counted to be few."""
+    return F.broadcast(ids) if ids.limit(MOST_SENT + 1).count() <= MOST_SENT else ids
+
+
 def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of docs whose text passes what make() returns (called once a task); all columns stay, without a shuffle."""
     at, names = docs.columns.index(text_col), docs.columns
@@ -64,6 +75,69 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BLOCK = 1 << 18
+_BASE = 0x9E3779B97F4A7C15
+_WRAP = (1 << 64) - 1
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_BLOCK, base, np.uint64)]))
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and where each begins (and the last ends); null as empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]] if data is not None and len(ends) else np.zeros(0, np.uint8)
+    return data, ends - ends[0] if len(ends) else np.zeros(1, np.int64)
+
+
+def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end) of each word in the bytes, and how many words each text has.
+
+    Words are runs of bytes other than \\x20 and \\x09 to \\x0D; none reaches over a text's edge.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
+    solid = ~_SPACE[data]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[ends] = True
+    first, last = solid.copy(), solid.copy()
+    first[1:] &= ~solid[:-1] | edge[1:-1]
+    last[:-1] &= ~solid[1:] | edge[1:-1]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return starts, stops, np.diff(np.searchsorted(starts, ends))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, A-Z lowered: polynomials by prefix sums, in blocks, so that memory stays bounded."""
+    low, high, inverse = (np.empty(len(starts), dtype=np.uint64) for _ in range(3))
+    carry, scale, back = 0, 1, 1
+    step, unstep = pow(_BASE, _BLOCK, 1 << 64), pow(_BASE, -_BLOCK, 1 << 64)
+    a = b = 0
+    for at in range(0, len(data), _BLOCK):
+        part = _LOWER[data[at : at + _BLOCK]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)], out=sums[1:])
+        # A word's start lies before its first byte, its end after its last one.
+        c, d = np.searchsorted(starts, at + len(part)), np.searchsorted(stops, at + len(part), "right")
+        low[a:c] = np.uint64(carry) + np.uint64(scale) * sums[starts[a:c] - at]
+        inverse[a:c] = _INVERSES[starts[a:c] - at] * np.uint64(back)
+        high[b:d] = np.uint64(carry) + np.uint64(scale) * sums[stops[b:d] - at]
+        a, b = c, d
+        carry = (carry + scale * int(sums[-1])) & _WRAP
+        scale, back = scale * step & _WRAP, back * unstep & _WRAP
+    return mix((high - low) * inverse)
+
+
 class Memo(dict):
     """A bounded cache: make(key) fills it, and it starts anew when it is full."""
 

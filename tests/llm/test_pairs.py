@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pixelgrove.llm import neardup, tiling
@@ -100,3 +101,24 @@ def test_tiling_edges(odd, none, spark):
     found = {(r["doc_id"], r["item_id"]) for r in tiling.contamination(odd, items).collect()}
     assert {(1, 4), (4, 1), (8, 8)} <= found and not any(d in (2, 3) for d, _ in found)
     assert tiling.contamination(none, items).count() == tiling.contamination(odd, items.limit(0)).count() == 0
+
+
+def test_query_equals_brute_force(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.op8_bottom_k_near_dedup(spark, sf).collect()}
+    assert got == brute_components(docs, 3, 85)
+
+
+def test_sets_equal_plain_shingles():
+    rng, shingles = random.Random(8), neardup.Shingler(3)
+    texts = ["", None, " ", "a", "A b", "one two three", "x" * 600_000 + " y z\tq", "é É  ü\x0bn", *("".join(rng.choice("aB \t\né") for _ in range(rng.randrange(60))) for _ in range(200))]
+    values, sizes = shingles.sets(pa.array(texts, pa.string()))
+    plain, seen, at = [], {}, 0
+    for t in texts:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode()).split()
+        plain.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    for s, n in zip(plain, sizes.tolist(), strict=True):
+        assert n == len(s)
+        seen.setdefault(frozenset(s), set()).add(values[at : at + n].tobytes())
+        at += n
+    assert all(len(x) == 1 for x in seen.values()) and len({next(iter(x)) for x in seen.values()}) == len(seen)

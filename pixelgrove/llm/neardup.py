@@ -7,8 +7,9 @@ nothing further. Then:
 1. inverted lists of retained values. With values in one common order, a set of n keeps its first
    n - ceil(0.85 n) + 1 (for 85 percent): two linked sets then share a kept value for certain, at any
    size. The order is by hash, but that values known to be frequent come last, the commonest at the
-   very end: what many documents hold (a common line, a passage) makes few lists. Frequencies are
-   counted over sketches of twice that k. Any order gives the same links, a better one fewer candidates.
+   very end: what many documents hold (a common line, a passage) makes few lists, and where a set's
+   first shared value stands says how much it can share at most. Frequencies are counted over
+   sketches of twice that k. Any order gives the same links, a better one fewer candidates.
 2. pivots. In each list, every member is compared with the list's most central member (the one
    whose values are the commonest), not with all others: a group of n near copies costs n
    comparisons.
@@ -131,30 +132,51 @@ def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_values(reps: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values, ascending, that many sketches hold, and the level of each: 1 and up, by powers of two of the count.
+    """Values, ascending, that many sets hold, and the level of each: 1 and up, by powers of two of the count.
 
-    If they are more than ``_MOST_FREQUENT``, the lower levels are left out.
+    All sketches are counted first. Then the rest of those sets of whose sketch little is left but
+    frequent values, such as a large group of near copies. If frequent values are more than
+    ``_MOST_FREQUENT``, the lower levels are left out.
     """
+    context = reps.sparkSession.sparkContext
 
-    def run(batches):
-        def sketches():
+    def sketch(sizes):
+        return _places(sizes) < np.repeat(2 * kept_values(sizes, percent) + 8, sizes)
+
+    def first(batches):
+        return _counted(values[sketch(sizes)] for _, values, sizes in _slices(batches, Shingler(words)))
+
+    def counted(rows) -> DataFrame:
+        level = F.floor(F.log2("m") - F.lit(float(np.log2(_FREQUENT)) - 1)).cast("int")
+        return cut(rows.groupBy("v").agg(F.sum("m").alias("m")).filter(F.col("m") >= _FREQUENT).select("v", level.alias("level")))
+
+    def at_driver(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        least, held = 1 << 10, 0
+        for r in sorted(found.groupBy("level").count().collect(), reverse=True):
+            held += r["count"]
+            if held > _MOST_FREQUENT:
+                break
+            least = r["level"]
+        rows = found.filter(F.col("level") >= least).toArrow()
+        v, level = rows.column("v").to_numpy(), np.minimum(rows.column("level").to_numpy(), 31)
+        order = np.argsort(v)
+        return v[order], level[order].astype(np.int16)
+
+    found = counted(reps.mapInArrow(first, "v long, m long"))
+    so_far = context.broadcast(_Order(at_driver(found), percent))
+
+    def second(batches):
+        def rest():
             for _, values, sizes in _slices(batches, Shingler(words)):
-                yield values[_places(sizes) < np.repeat(2 * kept_values(sizes, percent) + 8, sizes)]
+                inside = sketch(sizes)
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                plain = np.bincount(owner[inside & (so_far.value.level(values) == 0)], minlength=len(sizes))
+                yield values[~inside & (plain < kept_values(sizes, percent))[owner]]
 
-        return _counted(sketches())
+        return _counted(rest())
 
-    level = F.floor(F.log2("m") - F.lit(float(np.log2(_FREQUENT)) - 1)).cast("int")
-    found = cut(reps.mapInArrow(run, "v long, m long").groupBy("v").agg(F.sum("m").alias("m")).filter(F.col("m") >= _FREQUENT).select("v", level.alias("level")))
-    least, held = 1 << 10, 0
-    for r in sorted(found.groupBy("level").count().collect(), reverse=True):
-        held += r["count"]
-        if held > _MOST_FREQUENT:
-            break
-        least = r["level"]
-    rows = found.filter(F.col("level") >= least).toArrow()
-    v, lv = rows.column("v").to_numpy(), np.minimum(rows.column("level").to_numpy(), 31)
-    order = np.argsort(v)
-    return v[order], lv[order].astype(np.int16)
+    more = counted(reps.mapInArrow(second, "v long, m long"))
+    return at_driver(found.union(more).groupBy("v").agg(F.max("level").alias("level")))
 
 
 class _Order:
@@ -166,13 +188,17 @@ class _Order:
         self.filter = np.zeros(1 << 20, dtype=bool)
         self.filter[self.values & 0xFFFFF] = True
 
-    def kept(self, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(values, set, place) of what is kept, and each set's mean level."""
-        level = np.zeros(len(values), dtype=np.int16)
+    def level(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), dtype=np.int16)
         maybe = np.flatnonzero(self.filter[values & 0xFFFFF]) if len(self.values) else np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.values, values[maybe]), len(self.values) - 1)
         hit = self.values[at] == values[maybe]
-        level[maybe[hit]] = self.levels[at[hit]]
+        out[maybe[hit]] = self.levels[at[hit]]
+        return out
+
+    def kept(self, values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(values, set, place) of what is kept, and each set's mean level."""
+        level = self.level(values)
         owner = np.repeat(np.arange(len(sizes), dtype=np.int16), sizes)
         # Values ascend within a set; a stable sort of small numbers puts the frequent ones last.
         order = np.argsort(owner * np.int16(32) + level, kind="stable")

@@ -77,8 +77,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 _BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
@@ -124,7 +124,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
     step, unstep = pow(_BASE, _BLOCK, 1 << 64), pow(_BASE, -_BLOCK, 1 << 64)
     a = b = 0
     for at in range(0, len(data), _BLOCK):
-        part = _LOWER[data[at : at + _BLOCK]]
+        part = LOWER[data[at : at + _BLOCK]]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _POWERS[: len(part)], out=sums[1:])
         # A word's start lies before its first byte, its end after its last one.

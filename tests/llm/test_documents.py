@@ -4,8 +4,10 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from pixelgrove.llm import hilbert, licences, masked_lm, omh, pii, queries, toxicity
 
@@ -230,8 +232,34 @@ def test_masked_lm_learns(spark, odd, none):
     assert order > chaos + 0.5 and order > -1.5  # nine words at random would be about -2.2
     edges = {r["doc_id"]: r for r in masked_lm.masked_scores(odd).collect()}
     assert edges[2]["n_tokens"] == edges[3]["n_tokens"] == edges[7]["n_tokens"] == 0 and edges[3]["mean_log_likelihood"] is None
+    assert edges[4]["log_likelihood"] == edges[1]["log_likelihood"]
     assert masked_lm.masked_scores(none).count() == 0
 
 
+def test_masked_lm_token_by_token(spark, sf):
+    """Sums made one token at a time from the counts and the network; alike under any partitions and any bound on what is broadcast."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").cache()
+    runs = [{r["doc_id"]: r for r in masked_lm.masked_scores(docs.repartition(n, "doc_id"), hot=hot).collect()} for n, hot in ((1, 1 << 20), (4, 1 << 20), (8, 300))]
+    for other in runs[1:]:
+        assert all(abs(other[i]["log_likelihood"] - r["log_likelihood"]) <= 1e-5 * r["n_tokens"] + 0.002 for i, r in runs[0].items())
+    counts = masked_lm.word_counts(docs).cache()
+    lex = masked_lm.lexicon(counts)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    lower = lambda w: bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+    plain = Counter(lower(w) for t in texts.values() for w in t.split())
+    assert sorted(plain.values()) == sorted(r["n"] for r in counts.collect()) and lex.total == plain.total() and lex.mass.sum() == lex.total
+    coded, shards = masked_lm.class_sequences(docs, spark.sparkContext.broadcast(lex), lex.total)
+    table, hb, out, ob = masked_lm.train(coded, shards, lex).weights
+    for i in sorted(texts)[:40]:
+        words = texts[i].split()
+        h, tail, _ = masked_lm.tokens(pa.array([texts[i].decode()]))
+        cls = lex.classes_of(h, tail).tolist()
+        padded, total = [lex.classes] * 2 + cls + [lex.classes] * 2, 0.0
+        for k, w in enumerate(words):
+            z = np.tanh(sum(table[p][padded[k + 2 + d]].astype(float) for p, d in enumerate((-2, -1, 1, 2))) + hb) @ out + ob
+            total += z[cls[k]] - np.log(np.exp(z).sum()) + np.log(plain[lower(w)]) - np.log(lex.mass[cls[k]])
+        assert abs(total - runs[0][i]["log_likelihood"]) <= 1e-5 * len(words) + 0.002
+
+
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]

@@ -44,15 +44,16 @@ INVISIBLE = frozenset("­​‌‍⁠﻿")
 
 _SPELLED = "|".join(DIGITS)
 #: Two spelled digits in a row at least, or one beside a digit; separators between them go.
-_DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|[0-9]+)(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9]+))+(?![A-Za-z])", re.IGNORECASE)
+_DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|(?<![0-9])[0-9]++)(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9]++))+(?![A-Za-z])", re.IGNORECASE)
 _DIGIT_WORD = re.compile(rf"{_SPELLED}|[0-9]+", re.IGNORECASE)
-_BRACKETED = re.compile(r"\s*[\[({<]\s*(at|dot|punkt|punto|point|arroba)\s*[\])}>]\s*", re.IGNORECASE)
+#: White space in front is taken from where its run begins, so that no search starts inside a run.
+_BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|punkt|punto|point|arroba)\s*+[\])}>]\s*+", re.IGNORECASE)
 #: A name, a bare at or @, and labels with dots or bare dots between them; the labels can begin a name themselves, but not the name before an @.
 _BARE = re.compile(r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( +at +)|(?<=[A-Za-z0-9._%+-])@)(?=([A-Za-z0-9-]++(?:(?:\.| +dot +)[A-Za-z0-9-]++)++)(?![A-Za-z0-9._%+-]*+@))", re.IGNORECASE)
 _BARE_DOT = re.compile(r" +dot +", re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ -]+(?=[0-9])", re.IGNORECASE)
 #: What any of the transducers could act on; texts without it are read by the base patterns alone.
-_TRIGGER = re.compile(rf"[\[({{<]\s*(?:at|dot|punkt|punto|point|arroba)\s*[\])}}>]| dot |(?<![A-Za-z])(?:{_SPELLED})[ ,-]|[0-9][ ,-]{{1,2}}(?:{_SPELLED})|{_PLUS.pattern}", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[\[({{<]\s*+(?:at|dot|punkt|punto|point|arroba)\s*+[\])}}>]| dot |(?<![A-Za-z])(?:{_SPELLED})[ ,-]|[0-9][ ,-]{{1,2}}(?:{_SPELLED})|{_PLUS.pattern}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:

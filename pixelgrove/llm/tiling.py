@@ -187,17 +187,17 @@ def contamination(
 
     Items of up to ``max_broadcast_bytes`` of text (measured first) go to every task, and documents
     are read once without a shuffle. Beyond that, seeds of both sides meet in a join, and only the
-    pairs that share one get their texts.
+    pairs whose shared seeds could cover enough get their texts. Both ways give the same rows.
 
     Null or empty texts, and items of fewer than ``min_match`` tokens, match nothing. An item
-    without an id is left out. A repeated document row gives repeated result rows; repeated items
-    count one by one. Other columns are not read.
+    without an id is left out, a document without one is not. A repeated document row gives repeated
+    result rows; repeated items count one by one. Other columns are not read.
     """
     items = items.select(col(item_id_col).cast("long").alias("item_id"), col(item_text_col).alias("item_text"))
     docs = id_text(docs, id_col, text_col)
     shared = _shared_items(items, min_match, max_broadcast_bytes)
     if shared is None:
-        return _by_seed_join(docs, items, min_match, min_coverage)
+        return _by_seed_join(docs, items, min_match, min_coverage).drop("t")
 
     def scan(batches):
         known = shared.value
@@ -221,8 +221,8 @@ def uncontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     slim = items.select(col(item_id_col).cast("long").alias("item_id"), col(item_text_col).alias("item_text"))
     shared = _shared_items(slim, min_match, max_broadcast_bytes)
     if shared is None:
-        gone = contamination(docs.filter(col(id_col).isNotNull()), items, id_col=id_col, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, min_match=min_match, min_coverage=min_coverage, max_broadcast_bytes=0).select(F.col("doc_id").alias("__gone")).distinct()
-        return docs.join(gone, col(id_col) == gone["__gone"], "left_anti")
+        gone = _by_seed_join(id_text(docs, id_col, text_col), slim, min_match, min_coverage).select(F.col("doc_id").alias("__gone"), F.col("t").alias("__text")).distinct()
+        return docs.join(gone, col(id_col).cast("long").eqNullSafe(F.col("__gone")) & (F.xxhash64(col(text_col)) == F.col("__text")), "left_anti")
     return filter_texts(docs, text_col, lambda: lambda t: next(shared.value.matches(t, min_coverage), None) is None)
 
 
@@ -232,39 +232,49 @@ def _token_hashes(text: str | None) -> np.ndarray:
 
 
 def _by_seed_join(docs: DataFrame, items: DataFrame, m: int, min_coverage: float) -> DataFrame:
+    """As :func:`contamination`, with the hash of each document's text (``t``), which stands for a row with its id."""
+
     def seeds_of(batches):
+        """The first columns, and each distinct seed, how often it stands there, and the number of tokens."""
         for b in batches:
-            keys, seeds = [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = _token_hashes(t)
-                if k is not None and len(words) >= m:
-                    h = np.unique(seed_hashes(words, m)).astype(np.int64)
+            rows, seeds, often, size = [], [], [], []
+            for k, text in enumerate(b.column(b.num_columns - 1).to_pylist()):
+                words = _token_hashes(text)
+                if len(words) >= m:
+                    h, n = np.unique(seed_hashes(words, m).astype(np.int64), return_counts=True)
+                    rows.append(np.full(len(h), k))
                     seeds.append(h)
-                    keys.append(np.full(len(h), k, dtype=np.int64))
-            flat = lambda x: np.concatenate(x) if x else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat(keys)), pa.array(flat(seeds))], names=["k", "seed"])
+                    often.append(n)
+                    size.append(np.full(len(h), len(words)))
+            flat = lambda x: np.concatenate([*x, np.zeros(0, dtype=np.int64)])
+            at = pa.array(flat(rows))
+            yield pa.RecordBatch.from_arrays([*(c.take(at) for c in b.columns[:-1]), *(pa.array(flat(x)) for x in (seeds, often, size))], names=[*b.schema.names[:-1], "seed", "often", "tokens"])
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), "text")
     items = items.filter(F.col("item_id").isNotNull())
-    left = docs.mapInArrow(seeds_of, "k long, seed long").withColumnRenamed("k", "doc_id")
-    right = items.mapInArrow(seeds_of, "k long, seed long").withColumnRenamed("k", "item_id")
-    pairs = left.join(right, "seed").select("doc_id", "item_id").distinct()
-    both = pairs.join(items, "item_id").join(docs, "doc_id").select("doc_id", "text", "item_id", "item_text")
+    left = docs.mapInArrow(seeds_of, "doc_id long, t long, seed long, often long, tokens long").select("doc_id", "t", "seed")
+    right = items.mapInArrow(seeds_of, "item_id long, seed long, often long, tokens long")
+    # Tiles lie within seeds that both hold: those cover m tokens each at most, which bounds the coverage before any text is moved.
+    pairs = left.join(right, "seed").groupBy("doc_id", "t", "item_id").agg(F.sum("often").alias("places"), F.min("tokens").alias("tokens"))
+    pairs = pairs.filter(F.col("places") * m >= F.col("tokens") * F.lit(min_coverage)).select("doc_id", "t", "item_id")
+    wanted = pairs.join(items, "item_id").select(F.col("doc_id").alias("d"), F.col("t").alias("u"), "item_id", "item_text")
+    both = wanted.join(docs, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("u") == F.col("t"))).select("doc_id", "t", "text", "item_id", "item_text")
+    fields = pa.schema([*_FIELDS, ("t", pa.int64())])
 
     def tiled(batches):
         for b in batches:
             rows = []
-            for d, t, i, it in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                words, pattern = _token_hashes(t), _token_hashes(it)
+            for d, h, text, i, item_text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, pattern = _token_hashes(text), _token_hashes(item_text)
                 if min(len(words), len(pattern)) < m:
                     continue
                 places = np.flatnonzero(np.isin(seed_hashes(words, m), seed_hashes(pattern, m))).tolist()
                 row = tile(pattern, words, places, m) if places else (0, 0, 0, 0.0)
                 if row[3] >= min_coverage:
-                    rows.append((d, i, len(pattern), *row))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FIELDS), _FIELDS, strict=True)], schema=_FIELDS)
+                    rows.append((d, i, len(pattern), *row, h))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(fields), fields, strict=True)], schema=fields)
 
-    return both.mapInArrow(tiled, RESULT)
+    return both.mapInArrow(tiled, RESULT + ", t long")
 
 
 def op10_string_tiling(spark, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -60,6 +61,13 @@ def test_restored_spans_are_whole():
         assert spans == base
 
 
+def test_long_runs_take_linear_time():
+    for text in (" " * 1_000_000, "1" * 1_000_000, "1 " * 500_000, "one " * 250_000, "a" * 1_000_000, "a." * 500_000, "@" * 1_000_000, "(" * 1_000_000, "+1" + "(" * 1_000_000, "1." * 500_000, "a@" * 300_000):
+        began = time.process_time()
+        pii.find_spans("x [at] y " + text + " (dot) plus 44")
+        assert time.process_time() - began < 20, text[:3]
+
+
 def test_pii_query(spark, sf, odd, none):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     for r in pii.op9_offset_preserving_pii(spark, sf).collect():

@@ -96,6 +96,20 @@ def test_reordered_passage_is_caught(spark):
         assert {r["doc_id"] for r in tiling.uncontaminated(docs, items, max_broadcast_bytes=most).collect()} == {2, 4, 5}
 
 
+def test_both_ways_give_the_same_rows(spark, odd):
+    """Items at hand in every task, and items that meet documents in a join: null ids, repeats and extra columns included."""
+    item = "alpha beta gamma delta epsilon one two three four five"
+    docs = spark.createDataFrame([(1, item), (None, item), (None, "alpha beta gamma delta"), (3, None), (3, item), (3, item), (5, "one two three four five alpha beta")], "doc_id long, text string").selectExpr("*", "1 AS t", "2 AS seed")
+    items = spark.createDataFrame([(9, item), (9, item), (None, item)], "item_id long, text string")
+    some = odd.selectExpr("doc_id AS item_id", "text")
+    for a, b in ((docs, items), (odd, some)):
+        near, far = (sorted(map(repr, tiling.contamination(a, b, max_broadcast_bytes=n).collect())) for n in (1 << 25, 0))
+        assert near == far and near
+        kept = [sorted(map(repr, tiling.uncontaminated(a, b, max_broadcast_bytes=n).collect())) for n in (1 << 25, 0)]
+        assert kept[0] == kept[1]
+    assert {r["text"] for r in tiling.uncontaminated(docs, items).collect()} == {None, "alpha beta gamma delta"}
+
+
 def test_tiling_edges(odd, none, spark):
     items = odd.selectExpr("doc_id AS item_id", "text")
     found = {(r["doc_id"], r["item_id"]) for r in tiling.contamination(odd, items).collect()}

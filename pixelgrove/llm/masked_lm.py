@@ -248,6 +248,8 @@ def train(coded: DataFrame, shards: int, lex: Lexicon, *, rounds: int = 1, parts
             shard, own, squares = None, None, None
 
             def learn():
+                if not held:
+                    return
                 data = np.frombuffer(b"".join(held), dtype=np.uint8).astype(np.int64)
                 own.train(data, own.contexts(data, np.array([len(x) for x in held])), squares, rate)
                 held.clear()

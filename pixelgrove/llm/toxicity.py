@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import Memo, col, filter_texts, id_text, table
 
 # Which letters a character may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x", "&": "e"}
+LEET = {"0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x", "&": "e"}
 SEPARATORS = frozenset(".-_~'`,/\\:;^=·•*| ")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if chr(c) != "÷") + "œ"
 _SIZE = 64  # letters and the word boundary, 0
@@ -67,10 +67,10 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 class Restorer:
     """Viterbi over the lattice of a disguised word."""
 
-    def __init__(self, counts: np.ndarray, *, leet: float = 2.0, separator: float = 1.0, repeat: float = 0.7, beam: int = 48):
+    def __init__(self, counts: np.ndarray, *, leet: float = 2.0, separator: float = 1.0, repeat: float = 0.7):
         c = counts.reshape(_SIZE, _SIZE, _SIZE).astype(float)
         self.cost = -np.log((c + 0.1) / (c.sum(axis=2, keepdims=True) + 0.1 * _SIZE))
-        self.leet, self.separator, self.repeat, self.beam = leet, separator, repeat, beam
+        self.leet, self.separator, self.repeat = leet, separator, repeat
 
     def __call__(self, token: str) -> str:
         """The restored word, letters only; "" if no letter is left."""
@@ -108,7 +108,7 @@ class Restorer:
                     offer((a, b), total, out)
                 if ends and b:
                     offer((b, 0), total + boundary + cost[a, b, 0], (out, " "))
-            states = dict(sorted(new.items(), key=lambda s: s[1][0])[: self.beam])
+            states = new  # pairs of letters: as many as there are at most, so no path is given up
             if not ends:
                 previous = ch
         out = min(((t + (cost[a, b, 0] if b or not a else 0.0), k, o) for k, ((a, b), (t, o)) in enumerate(states.items())), default=(0, 0, ()))[2]

@@ -154,32 +154,72 @@ def test_shards(spark, sf, odd, none):
     assert hilbert.hilbert_shards(odd).count() == 9 and hilbert.hilbert_shards(none).count() == 0
 
 
+MIT = """MIT License
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+
+
 def test_licences(spark, sf, odd, none):
     model = licences.train()
-    for family, texts in licences.TEMPLATES.items():
-        for t in texts:
-            assert any(s in t.lower() for s in licences.STEMS), t
     lines = [(i, "Some first line.\nThe words " + t + " and more") for i, t in enumerate(t for ts in licences.TEMPLATES.values() for t in ts)]
     want = [f for f, ts in licences.TEMPLATES.items() for _ in ts]
     rows = licences.licence_paragraphs(spark.createDataFrame(lines, "doc_id long, text string")).collect()
     assert sum(r["family"] == want[r["doc_id"]] and r["confirmed"] for r in rows) >= 0.9 * len(want)
     others = licences.licence_paragraphs(spark.createDataFrame(list(enumerate(licences.OTHERS)), "doc_id long, text string"))
     assert others.filter("confirmed").count() == 0
-    # Against the model in plain Python.
+    more = [(1, MIT), (2, MIT.replace("\n", " ")), (3, "Distributed under GPLv3, the GNU General Public License"), (4, "This work is CC BY-SA 4.0"), (5, "You may copy, use and modify this work for any purpose, without charge."), (6, MIT), (6, MIT)]
+    got = licences.licence_paragraphs(spark.createDataFrame(more, "doc_id long, text string")).collect()
+    assert {r["family"] for r in got if r["doc_id"] in (1, 2) and r["confirmed"]} == {"MIT"} and sum(r["doc_id"] == 1 and r["confirmed"] for r in got) == 1
+    assert [r["family"] for r in got if r["doc_id"] == 3] == ["GPL"] and [r["family"] for r in got if r["doc_id"] == 4] == ["CC-BY-SA"] and [r["family"] for r in got if r["doc_id"] == 5] == ["unknown"]
+    assert sum(r["doc_id"] == 6 for r in got) == 2 * sum(r["doc_id"] == 1 for r in got)
+    # Against the model in plain Python: no paragraph without a row can be of a family.
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     found = {(r["doc_id"], r["paragraph"]): r for r in licences.op4_licence_scan(spark, sf).collect()}
-    count = 0
+    seen = set()
     for i, t in docs.items():
-        for k, line in enumerate(t.lower().split("\n")):
-            if any(s in line for s in licences.STEMS):
+        k, lines = -1, t.lower().split("\n")
+        parts = []
+        for j, line in enumerate(lines):
+            if j and 40 <= len(lines[j - 1]) <= 100 and lines[j - 1][-1] not in ".!?:;" and line[:1].strip():
+                parts[-1] += " " + line
+            else:
+                parts.append(line)
+        for k, part in enumerate(parts):
+            z = np.array(model.bias)
+            for g in licences.grams_of(licences.words_of(part)):
+                z = z + np.array(model.weights.get(g, [0.0] * len(z)))
+            p = np.exp((z - z.max()) / model.temperature)
+            family, p = model.families[z.argmax()], (p / p.sum()).max()
+            if (i, k) in found:
+                assert abs(found[i, k]["probability"] - p) < 1e-4
+                assert found[i, k]["family"] == (family if p >= 0.5 else "unknown")
+                seen.add((i, k))
+            else:
+                assert family == "unknown"
+    assert seen == set(found)
+    assert licences.licence_paragraphs(odd).count() == licences.licence_paragraphs(none).count() == 0
+
+
+def test_licences_are_calibrated():
+    """Disturbed templates of another seed: probabilities say how often they are right."""
+    model, rng = licences.train(), np.random.default_rng(99)
+    right, said = [], []
+    for family, texts in [*licences.TEMPLATES.items(), ("unknown", licences.OTHERS)]:
+        for t in texts:
+            for _ in range(20):
                 z = np.array(model.bias)
-                for g in licences.grams_of(licences.words_of(line)):
+                for g in licences.grams_of(licences._disturbed(rng, licences.words_of(t))):
                     z = z + np.array(model.weights.get(g, [0.0] * len(z)))
                 p = np.exp((z - z.max()) / model.temperature)
-                assert abs(found[i, k]["probability"] - (p / p.sum()).max()) < 1e-4
-                count += 1
-    assert count == len(found)
-    assert licences.licence_paragraphs(odd).count() == licences.licence_paragraphs(none).count() == 0
+                right.append(model.families[z.argmax()] == family)
+                said.append((p / p.sum()).max())
+    assert np.mean(right) > 0.95 and abs(np.mean(right) - np.mean(said)) < 0.03
 
 
 def counts_of(texts):
@@ -191,7 +231,7 @@ def counts_of(texts):
 
 def test_restoration():
     restore = toxicity.Restorer(counts_of(["you are a stupid idiot and a loser", "worthless trash", "the clown said so"] * 50))
-    assert [restore(w) for w in ("st00pid", "1d10t", "l0ser", "l.o.s.e.r", "$tupid", "idiooot", "tr@sh", "w0rthle55")][1:] == ["idiot", "loser", "loser", "stupid", "idiot", "trash", "worthless"]
+    assert [restore(w) for w in ("st00pid", "1d10t", "l0ser", "l.o.s.e.r", "$tupid", "idiooot", "tr@sh", "w0rthle55")] == ["stupid", "idiot", "loser", "loser", "stupid", "idiot", "trash", "worthless"]
 
 
 def test_runs_and_long_tokens():
@@ -202,6 +242,8 @@ def test_runs_and_long_tokens():
     ]:
         for w in want:
             assert set(toxicity.features_of(w)) <= features(text), (text, w)
+    for text, want in [(".".join("stupid") + "." * 40, "stupid"), ("s........t........u........p........i........d", "stupid"), ("1d10t" + "!" * 50, "idiot"), ("i" * 47 + "diot", "idiot")]:
+        assert set(toxicity.features_of(want)) <= features(text), text
     assert features("1 2 3 4 5 6") == set() and len(features.restore("ab1" * 5000)) >= 10_000
 
 

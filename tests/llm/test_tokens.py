@@ -56,6 +56,19 @@ def test_best_path_equals_library(vocabulary, encoder):
         assert sum(vocabulary.scores[i] for i in ours) == sum(vocabulary.scores[i] for i in lattice)
 
 
+def test_words_against_the_library(spark, sf, vocabulary, encoder):
+    """Every distinct word of the documents: the ids of the library's fast path, or a better sum, which its lattice search confirms."""
+    proto = open(path(unigram.DEFAULT_MODEL), "rb").read().replace(b"tok_v0\x18\x02", b"tok_v0\x18\x01")
+    sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
+    words = sorted({w for r in spark.read.parquet(f"{sf}/documents.parquet").collect() for w in r["text"].split()})
+    ours, theirs = [x.tolist() for x in encoder.encode(words)], sp.encode(words)
+    total = lambda ids: sum(vocabulary.scores[i] for i in ids)
+    unlike = [(w, a, b) for w, a, b in zip(words, ours, theirs, strict=True) if a != b]
+    assert len(unlike) < 0.01 * len(words)
+    for w, a, b in unlike:
+        assert total(a) > total(b) and total(sp.nbest_encode_as_ids(w, 8)[0]) == total(a)
+
+
 def test_edges(spark, odd, none):
     rows = unigram.encode(odd).collect()
     assert len(rows) == 9

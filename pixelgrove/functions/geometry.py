@@ -47,6 +47,12 @@ def scale_axis(side: Column, ref: Column, target) -> Column:
     return F.when(ref == 0, F.lit(1).cast("long")).otherwise(F.greatest(F.lit(1).cast("long"), div(side * t + div(ref, F.lit(2).cast("long")), ref)))
 
 
+def rounded(x: Column) -> Column:
+    """The nearest whole number, halves up, of a double that is not negative: exact, and without the detour by decimals."""
+    low = F.floor(x)
+    return low + F.when(x - low >= 0.5, 1).otherwise(0)
+
+
 def resolve(w: Column, h: Column, width, height, fit, no_upscale=True) -> Column:
     """The size a resize gives, a struct; null where a side is zero or the fit lacks its number.
 
@@ -58,7 +64,7 @@ def resolve(w: Column, h: Column, width, height, fit, no_upscale=True) -> Column
     one = F.lit(1.0)
     sx, sy = tw / w, th / h
     lo, hi = F.least(sx, sy), F.greatest(sx, sy)
-    scaled = lambda side, s: F.greatest(one, F.round(side * s)).cast("long")
+    scaled = lambda side, s: F.greatest(one, rounded(side * s)).cast("long")
     ow = F.when(fit == "width", tw).when(fit == "height", scale_axis(w, h, th)).when(fit == "contain", scaled(w, lo)).when(fit == "cover", F.least(scaled(w, hi), tw)).when(fit == "fill", tw)
     oh = F.when(fit == "width", scale_axis(h, w, tw)).when(fit == "height", th).when(fit == "contain", scaled(h, lo)).when(fit == "cover", F.least(scaled(h, hi), th)).when(fit == "fill", th)
     needs_w, needs_h = fit != "height", fit != "width"

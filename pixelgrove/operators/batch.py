@@ -18,6 +18,10 @@ def skip_kind(error: Column, skip_unprocessable: bool = True) -> Column:
     return out
 
 
+#: What sentences of skips are made from.
+NOTED = ("of", "format", "unit", "limit", "actual", "actual_width", "actual_height", "wanted_width", "wanted_height")
+
+
 def note(kind: Column, **of: Column) -> Column:
     """The sentence of a skip; the payload's columns by name."""
     get = lambda c: of.get(c, F.lit(None)).cast("string")
@@ -59,9 +63,15 @@ def report(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def skip_reasons(outcomes: DataFrame, kind: str = "skipped", text: str = "note", ordinal: str = "ordinal") -> DataFrame:
-    """Each kind of skip: how many, the first one's sentence, where it was first seen."""
-    return outcomes.filter(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min_by(text, ordinal).alias("reason"), F.min(ordinal).alias("first_seen"))
+def skip_reasons(outcomes: DataFrame, kind: str = "skipped", payload: list[str] | None = None, ordinal: str = "ordinal") -> DataFrame:
+    """Each kind of skip: how many, the first one's sentence, where it was first seen.
+
+    ``payload`` names the columns that :func:`note` takes. Only the first row's go on, and sentences are written for
+    the few kinds that are left, not for every row.
+    """
+    payload = payload or [c for c in NOTED if c in outcomes.columns]
+    first = outcomes.filter(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min_by(F.struct(*payload), ordinal).alias("first"), F.min(ordinal).alias("first_seen"))
+    return first.select("kind", "n", note(F.col("kind"), **{c: F.col(f"first.{c}") for c in payload}).alias("reason"), "first_seen")
 
 
 def verdicts(entries: DataFrame, max_bytes: int) -> DataFrame:

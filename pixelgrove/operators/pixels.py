@@ -8,6 +8,7 @@ any number are spread over the cluster by key. Pictures whose rasters come as bi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -28,19 +29,39 @@ KERNELS = {
 }
 
 
+@lru_cache(maxsize=256)
+def axis_band(src: int, dst: int, kernel: str) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs, weights), a row for each output place of one axis; inputs past an edge have weight 0.
+
+    A place maps to the centre of its share of the axis. The kernel, widened by the reduction, is
+    taken at the centres of the inputs that its window touches, and each row is divided by its sum.
+    """
+    widen = max(1.0, src / dst)
+    reach = SUPPORT[kernel] * widen
+    centre = (np.arange(dst)[:, None] + 0.5) * (src / dst)
+    inputs = np.floor(centre - reach).astype(np.int64) + np.arange(int(np.ceil(2 * reach)) + 2)
+    touched = (inputs >= 0) & (inputs < src) & ((inputs < centre + reach) | (inputs <= centre) & (reach == 0))
+    if reach == 0:
+        touched &= inputs == np.floor(centre)
+    weights = np.where(touched, KERNELS[kernel]((inputs + 0.5 - centre) / widen), 0.0)
+    sums = weights.sum(axis=1, keepdims=True)
+    return np.clip(inputs, 0, src - 1), np.divide(weights, sums, out=weights.copy(), where=sums > 0)
+
+
 def axis_weights(src: int, dst: int, kernel: str) -> list[tuple[int, int, float]]:
-    """(output, input, weight) of one axis: the kernel widened by the reduction, normalised to 1."""
-    ratio, support, out = src / dst, SUPPORT[kernel], []
-    scale = max(1.0, ratio)
-    for o in range(dst):
-        centre = (o + 0.5) * ratio
-        left = min(max(int(np.floor(centre - support * scale)), 0), src - 1)
-        right = min(max(int(np.ceil(centre + support * scale)), left + 1), src)
-        at = np.arange(left, right)
-        w = KERNELS[kernel]((at - (centre - 0.5)) / scale)
-        total = w.sum()
-        w = w / total if total > 0 else w
-        out += [(o, int(i), float(x)) for i, x in zip(at, w, strict=True)]
+    """(output, input, weight) of one axis."""
+    inputs, weights = axis_band(src, dst, kernel)
+    o, k = np.nonzero(weights)
+    return list(zip(o.tolist(), inputs[o, k].tolist(), weights[o, k].tolist(), strict=True))
+
+
+def along(pixels: np.ndarray, dst: int, kernel: str) -> np.ndarray:
+    """The first axis resampled to dst places."""
+    inputs, weights = axis_band(len(pixels), dst, kernel)
+    shape = (-1,) + (1,) * (pixels.ndim - 1)
+    out = np.zeros((dst, *pixels.shape[1:]))
+    for k in range(inputs.shape[1]):
+        out += weights[:, k].reshape(shape) * pixels[inputs[:, k]]
     return out
 
 
@@ -109,27 +130,40 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max(F.abs(F.col("v") - F.col("other"))).alias("worst"), F.avg(F.abs(F.col("v") - F.col("other"))).alias("mean"))
 
 
-def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: str = "triangle") -> DataFrame:
-    """images (id, width, height, data: RGBA bytes) at another size, in Arrow batches.
+def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
+    """Rows, columns, channels turned by an EXIF orientation; anything but 2 to 8 stays."""
+    if orientation in (5, 6, 7, 8):
+        pixels = pixels.swapaxes(0, 1)
+    across, down = orientation in (2, 3, 6, 7), orientation in (3, 4, 7, 8)
+    return pixels[:: -1 if down else 1, :: -1 if across else 1]
+
+
+def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Column | str = "triangle", *, crop: tuple[int, int, int, int] | None = None, orientation: Column | None = None) -> DataFrame:
+    """images (id, width, height, data: RGBA bytes) cropped, turned and brought to another size, in Arrow batches.
 
-    Separable sums by two matrix products; a raster of the wrong length becomes null.
+    A raster of the wrong length, and one that the crop (x, y, width, height) runs out of, becomes null.
     """
 
-    def one(data: bytes, w: int, h: int, ow: int, oh: int) -> bytes | None:
+    def one(data: bytes, w: int, h: int, ow: int, oh: int, kind: str, turn: int) -> bytes | None:
         if data is None or len(data) != 4 * w * h or not ow or not oh:
             return None
-        across, down = np.zeros((ow, w)), np.zeros((oh, h))
-        for o, i, x in axis_weights(w, ow, kernel):
-            across[o, i] = x
-        for o, i, x in axis_weights(h, oh, kernel):
-            down[o, i] = x
-        out = np.einsum("oy,yxc,px->opc", down, np.frombuffer(data, np.uint8).reshape(h, w, 4).astype(float), across, optimize=True)
-        return np.floor(np.clip(out, 0, 255) + 0.5).astype(np.uint8).tobytes()
+        rows = np.frombuffer(data, np.uint8).reshape(h, w, 4)
+        if crop:
+            x, y, cw, ch = crop
+            if x + cw > w or y + ch > h:
+                return None
+            rows = rows[y : y + ch, x : x + cw]
+        rows = upright(rows, turn)
+        if rows.shape[:2] != (oh, ow):
+            rows = along(along(rows.astype(float).swapaxes(0, 1), ow, kind).swapaxes(0, 1), oh, kind)
+        return np.floor(np.clip(rows, 0, 255) + 0.5).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            data = [one(*r) for r in zip(b["data"], b["width"], b["height"], b["ow"], b["oh"], strict=True)]
-            yield pd.DataFrame({"id": b["id"], "width": b["ow"], "height": b["oh"], "data": data})
+            sizes = zip(b["data"], b["width"], b["height"], b["ow"].fillna(0).astype(int), b["oh"].fillna(0).astype(int), b["kernel"], b["turn"], strict=True)
+            yield pd.DataFrame({"id": b["id"], "width": b["ow"], "height": b["oh"], "data": [one(*r) for r in sizes]})
 
     kind = images.schema["id"].dataType.simpleString()
-    return images.select("id", "width", "height", "data", width.cast("int").alias("ow"), height.cast("int").alias("oh")).mapInPandas(run, f"id {kind}, width int, height int, data binary")
+    kernel = F.lit(kernel) if isinstance(kernel, str) else kernel
+    turn = F.lit(1) if orientation is None else F.coalesce(orientation.cast("int"), F.lit(1))
+    return images.select("id", "width", "height", "data", width.cast("int").alias("ow"), height.cast("int").alias("oh"), kernel.alias("kernel"), turn.alias("turn")).mapInPandas(run, f"id {kind}, width int, height int, data binary")

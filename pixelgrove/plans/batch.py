@@ -17,8 +17,8 @@ def content_dedupe(spark, sf_dir):
     return b.claim(keyed).select("ordinal", "name", "of", "key")
 
 
-def outcomes(spark, sf_dir):
-    """Line items as files of a batch: over a byte ceiling, a refused enlargement, too many pixels, or written."""
+def _noted(spark, sf_dir):
+    """Line items as files of a batch, with what their sentences are made from."""
     df = pictures(spark, sf_dir).withColumn("ordinal", F.col("id") * 8 + F.col("n")).withColumn("input_bytes", F.col("w") * F.col("h") % 700_000)
     wanted = g.refused_upscale(F.col("w"), F.col("h"), _SPEC)
     df = df.withColumn("wanted", wanted)
@@ -26,9 +26,16 @@ def outcomes(spark, sf_dir):
     df = df.withColumn("raised", error).withColumn("skipped", b.skip_kind(F.col("raised")))
     df = df.withColumn("error", F.when(F.col("skipped").isNull(), F.col("raised")))
     pixels = F.col("raised") == "pixel_budget_exceeded"
-    text = b.note(F.col("skipped"), unit=F.when(pixels, "pixels").otherwise("bytes"), limit=F.when(pixels, 40_000_000).otherwise(600_000), actual=F.when(pixels, F.col("w") * F.col("h")).otherwise(F.col("input_bytes")), actual_width=F.col("w"), actual_height=F.col("h"), wanted_width=F.col("wanted.width"), wanted_height=F.col("wanted.height"))
+    payload = dict(unit=F.when(pixels, "pixels").otherwise("bytes"), limit=F.when(pixels, 40_000_000).otherwise(600_000), actual=F.when(pixels, F.col("w") * F.col("h")).otherwise(F.col("input_bytes")), actual_width=F.col("w"), actual_height=F.col("h"), wanted_width=F.col("wanted.width"), wanted_height=F.col("wanted.height"))
     written = F.col("raised").isNull()
-    return df.select("ordinal", "input_bytes", F.when(written, g.div(F.col("input_bytes"), F.lit(3))).otherwise(0).alias("output_bytes"), "skipped", "error", text.alias("note"))
+    return df.select("ordinal", "input_bytes", F.when(written, g.div(F.col("input_bytes"), F.lit(3))).otherwise(0).alias("output_bytes"), "skipped", "error", *[c.alias(n) for n, c in payload.items()])
+
+
+def outcomes(spark, sf_dir):
+    """Files of a batch: over a byte ceiling, a refused enlargement, too many pixels, or written."""
+    df = _noted(spark, sf_dir)
+    text = b.note(F.col("skipped"), **{c: F.col(c) for c in b.NOTED if c in df.columns})
+    return df.select("ordinal", "input_bytes", "output_bytes", "skipped", "error", text.alias("note"))
 
 
 def batch_report(spark, sf_dir):
@@ -37,7 +44,7 @@ def batch_report(spark, sf_dir):
 
 
 def skip_reasons(spark, sf_dir):
-    return b.skip_reasons(outcomes(spark, sf_dir))
+    return b.skip_reasons(_noted(spark, sf_dir))
 
 
 def _plan(spark, sf_dir):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import tables
 from ..operators import pixels as p
 from .carriers import PIXELS, pixels
 
@@ -19,10 +18,25 @@ def _resample(kernel: str):
     return query
 
 
+#: Each kernel and its support, of the distance x.
+_KERNEL_SQL = {
+    "triangle": ("greatest(0e0, 1e0 - abs(x))", 1), "nearest": ("1e0", 0), "gaussian": ("exp(-2e0 * x * x)", 3),
+    "lanczos3": ("CASE WHEN x = 0 THEN 1e0 WHEN abs(x) < 3 THEN sin(pi() * x) / (pi() * x) * sin(pi() * x / 3) / (pi() * x / 3) ELSE 0e0 END", 3),
+    "catmull_rom": ("CASE WHEN abs(x) < 1 THEN 1.5e0 * abs(x) ** 3 - 2.5e0 * x ** 2 + 1 WHEN abs(x) < 2 THEN -0.5e0 * abs(x) ** 3 + 2.5e0 * x ** 2 - 4 * abs(x) + 2 ELSE 0e0 END", 2),
+}
+
+
+def _axis_sql(n: int, m: int, kernel: str) -> str:
+    """o, i, w: an axis of n inputs and m outputs, by the kernel's definition."""
+    formula, support = _KERNEL_SQL[kernel]
+    inside = f"i + 1 > c - {support}e0 * s AND i < c + {support}e0 * s" if support else "i = floor(c)"
+    return f"""SELECT o, i, k / sum(k) OVER (PARTITION BY o) AS w FROM (SELECT o, i, {formula} AS k FROM (SELECT o, i, c, s, (i + 0.5e0 - c) / s AS x
+        FROM (SELECT o.range AS o, i.range AS i, (o.range + 0.5e0) * {n} / {m} AS c, greatest(1e0, {n}e0 / {m}) AS s FROM range({m}) o, range({n}) i)) WHERE {inside})"""
+
+
 def _resample_sql(kernel: str) -> str:
-    table = lambda n, m: tables.sql_values([(o, i, w) for o, i, w in p.axis_weights(n, m, kernel)])
-    return f"""WITH {PIXELS}, a(ox, x, wx) AS ({table(8, 5)}), d(oy, y, wy) AS ({table(8, 4)}), r AS (SELECT id, pixels.y AS y, ox, sum(v * wx) AS v FROM pixels JOIN a ON pixels.x = a.x GROUP BY id, pixels.y, ox)
-        SELECT id, CAST(oy AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, round(sum(v * wy), 6) AS v FROM r JOIN d ON r.y = d.y GROUP BY id, oy, ox"""
+    return f"""WITH {PIXELS}, a AS ({_axis_sql(8, 5, kernel)}), d AS ({_axis_sql(8, 4, kernel)}), r AS (SELECT id, pixels.y AS y, a.o AS ox, sum(v * w) AS v FROM pixels JOIN a ON pixels.x = a.i GROUP BY id, pixels.y, a.o)
+        SELECT id, CAST(d.o AS INTEGER) AS y, CAST(ox AS INTEGER) AS x, round(sum(v * w), 6) AS v FROM r JOIN d ON r.y = d.i GROUP BY id, d.o, ox"""
 
 
 def orient_8(spark, sf_dir):
@@ -58,8 +72,11 @@ QUERIES = {f"resample_{k}": _resample(k) for k in KERNELS} | {"orient_8": orient
 
 _TURN = "CASE id % 8 + 1 WHEN 2 THEN {0} WHEN 3 THEN {1} WHEN 4 THEN {2} WHEN 5 THEN {3} WHEN 6 THEN {4} WHEN 7 THEN {5} WHEN 8 THEN {6} ELSE {7} END"
 _LIN = lambda c: f"CASE WHEN {c} / 255e0 <= 0.04045e0 THEN {c} / 255e0 / 12.92e0 ELSE pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END"
-_M = p.colour_matrix("srgb", "display_p3").tolist()
-_ENC = lambda row: "CASE WHEN {0} <= 0.0031308e0 THEN {0} * 12.92e0 ELSE 1.055e0 * pow({0}, 1e0 / 2.4e0) - 0.055e0 END".format("least(1e0, greatest(0e0, " + " + ".join(f"{m!r} * {c}" for m, c in zip(row, ("lr", "lg", "lb"), strict=True)) + "))")
+# Linear sRGB to XYZ, and XYZ to linear Display P3, as exact fractions.
+_TO_XYZ = [["506752/1228815e0", "87881/245763e0", "12673/70218e0"], ["87098/409605e0", "175762/245763e0", "12673/175545e0"], ["7918/409605e0", "87881/737289e0", "1001167/1053270e0"]]
+_FROM_XYZ = [["446124/178915e0", "-333277/357830e0", "-72051/178915e0"], ["-14852/17905e0", "63121/35810e0", "423/17905e0"], ["11844/330415e0", "-50337/660830e0", "316169/330415e0"]]
+_M = [[" + ".join(f"({f}) * ({_TO_XYZ[k][j]})" for k, f in enumerate(row)) for j in range(3)] for row in _FROM_XYZ]
+_ENC = lambda row: "CASE WHEN {0} <= 0.0031308e0 THEN {0} * 12.92e0 ELSE 1.055e0 * pow({0}, 1e0 / 2.4e0) - 0.055e0 END".format("least(1e0, greatest(0e0, " + " + ".join(f"({m}) * {c}" for m, c in zip(row, ("lr", "lg", "lb"), strict=True)) + "))")
 SQL = {f"resample_{k}": _resample_sql(k) for k in KERNELS} | {
     "orient_8": f"WITH {PIXELS} SELECT id, {_TURN.format('y', '7 - y', '7 - y', 'x', 'x', '7 - x', '7 - x', 'y')} AS y, {_TURN.format('7 - x', '7 - x', 'x', 'y', '7 - y', '7 - y', 'y', 'x')} AS x, v FROM pixels",
     "crop_rasters": f"WITH {PIXELS} SELECT id, y - 1 AS y, x - 2 AS x, v FROM pixels WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5",

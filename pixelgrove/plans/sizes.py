@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -76,9 +79,16 @@ def pool_size(spark, sf_dir):
 
 
 def preset_fanout(spark, sf_dir):
-    """Every preset over every picture: the catalogue is broadcast, pictures are not moved, and sums combine early."""
-    size = g.resolve(F.col("w"), F.col("h"), F.col("width"), F.col("height"), F.col("fit"), F.col("no_upscale"))
-    rows = pictures(spark, sf_dir).crossJoin(F.broadcast(tables.presets(spark))).select("preset", size.alias("s"))
+    """Every preset over every picture: the catalogue (41 rows) is broadcast, pictures are not moved, and sums combine early.
+
+    One branch for each fit, so that a row's work is that fit's arithmetic alone.
+    """
+    parts = []
+    for fit in sorted({r[4] for r in tables.PRESETS}):
+        size = g.resolve(F.col("w"), F.col("h"), F.col("width"), F.col("height"), fit, F.col("no_upscale"))
+        some = tables.presets(spark).filter(F.col("fit") == fit).select("preset", "width", "height", "no_upscale")
+        parts.append(pictures(spark, sf_dir).select("w", "h").crossJoin(F.broadcast(some)).select("preset", size.alias("s")))
+    rows = reduce(DataFrame.union, parts)
     return rows.groupBy("preset").agg(F.count("*").alias("pictures"), F.sum("s.width").alias("widths"), F.sum("s.height").alias("heights"), F.sum(F.col("s.width") * F.col("s.height")).alias("pixels"))
 
 

@@ -12,7 +12,7 @@ FORMATS = [
     ("gif", "gif", "image/gif", True, False, True, True, False, True),
     ("tiff", "tiff", "image/tiff", True, False, False, False, False, True),
     ("bmp", "bmp", "image/bmp", True, False, False, False, False, True),
-    ("ico", "ico", "image/x-icon", True, False, True, False, False, True),
+    ("ico", "ico", "image/x-icon", True, False, True, False, False, False),
     ("avif", "avif", "image/avif", False, False, False, False, False, False),
     ("heic", "heic", "image/heic", True, True, False, False, False, False),
     ("heif", "heif", "image/heif", True, True, False, False, False, False),
@@ -62,6 +62,13 @@ def limits(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(LIMITS, "profile string, max_bytes long, max_pixels long, max_side long")
 
 
+def find_preset(name: str) -> dict | None:
+    """The preset of exactly this id, as a request, or None."""
+    keys = ("preset", "category", "width", "height", "fit", "format", "quality", "max_bytes", "crops")
+    row = next((r for r in PRESETS if r[0] == name), None)
+    return None if row is None else dict(zip(keys, row, strict=True)) | {"no_upscale": not row[8] and row[1] != "social"}
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """The catalogue as requests: what neither crops nor is social keeps small pictures small."""
     base = spark.createDataFrame(PRESETS, "preset string, category string, width long, height long, fit string, format string, quality int, max_bytes long, crops boolean")

@@ -5,8 +5,10 @@ Only keys, ordinals and names are shuffled for the claims; pixels stay where the
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions.names import output_name
-from ..sources import images
+from ..sources import images, metadata
 from . import batch, pixels
 
 
@@ -60,27 +62,48 @@ def to_rgba(df: DataFrame, data: str = "data", channels: str = "channels") -> Da
     return df.withColumn(data, widen(data, channels))
 
 
-def process_folder(spark: SparkSession, root: str, spec: g.Resize, *, profile: str = "desktop", skip_upscales: bool = True) -> DataFrame:
+def process_folder(spark: SparkSession, roots: str | list[str], spec: g.Resize, *, profile: str = "desktop", skip_upscales: bool = True, crop: g.Crop | None = None, orient: bool = False) -> DataFrame:
     """path, output_name, verdict, width, height, input_bytes, output_bytes, skipped, error, bytes of every candidate.
 
-    A picture whose pixels an earlier path already has is skipped as a duplicate, one that would have to be
-    enlarged is left alone, one that does not decode is unreadable.
+    A picture is cropped, turned upright by its EXIF orientation if ``orient``, and resized by the kernel that the
+    request and the reduction call for. What breaks a limit by its header is never decoded: only the paths that are
+    left (a plan has 10,000 at most) are handed to the decoder. A picture whose pixels an earlier path already has is
+    skipped as a duplicate, one that would have to be enlarged is left alone, one that does not decode is unreadable.
+    Rasters are decoded twice, for their keys and for the result, and never shuffled; what is joined to them
+    is a row for each planned path.
     """
-    plan = images.folder_plan(spark, root, profile)
-    ready = plan.filter("verdict = 'ready'").select("path", "name", "bytes")
-    raw = images.decoded(spark, root).join(ready, "path")
-    broken = raw.filter("width <= 0").select("path", F.lit("unreadable").alias("skipped"))
-    good = to_rgba(raw.filter("width > 0")).withColumn("width", F.col("width").cast("long")).withColumn("height", F.col("height").cast("long"))
-    shape = F.concat_ws("x", "width", "height", F.lit(f"{spec}"))
-    keyed = batch.claim(good.select("path", "name", batch.content_key(F.col("data"), shape).alias("key")), ordinal="path")
-    copies = keyed.filter("of IS NOT NULL").select("path", F.lit("duplicate").alias("skipped"))
-    first = good.join(keyed.filter("of IS NULL").select("path"), "path")
-    size = g.of_spec(F.col("width"), F.col("height"), spec)
-    refused = F.coalesce(g.refused_upscale(F.col("width"), F.col("height"), spec).isNotNull(), F.lit(False)) if skip_upscales else F.lit(False)
-    large = first.filter(refused).select("path", F.lit("would_upscale").alias("skipped"))
-    todo = first.filter(~refused).select(F.col("path").alias("id"), "width", "height", "data")
-    done = with_png(pixels.resize_rasters(todo, size["width"], size["height"]))
-    written = done.select(F.col("id").alias("path"), "width", "height", F.length("bytes").cast("long").alias("output_bytes"), "bytes", F.when(F.col("bytes").isNull(), "encode").alias("error"))
-    outcomes = written.unionByName(copies.unionByName(large).unionByName(broken), allowMissingColumns=True)
-    merged = batch.merge_back(plan.withColumnRenamed("bytes", "input_bytes"), outcomes)
+    plan = images.folder_plan(spark, roots, profile).persist()
+    ready = [r["path"] for r in plan.filter("verdict = 'ready' AND error IS NULL").select("path").collect()]
+    limits = plan.filter("error IS NOT NULL").select("path", F.when(F.col("error") != "zero_dimension", "too_large").otherwise("unreadable").alias("skipped"))
+    outcomes = limits
+    if ready:
+        raw = images.decoded(spark, [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in ready])
+        shape = f"{spec}{crop}{orient}"
+        good = to_rgba(raw.filter("width > 0")).withColumn("width", F.col("width").cast("long")).withColumn("height", F.col("height").cast("long"))
+        keys = good.select("path", batch.content_key(F.col("data"), F.concat_ws("x", "width", "height", F.lit(shape))).alias("key")).join(plan.select("path", "name"), "path")
+        claims = batch.claim(keys, ordinal="path").select("path", "of").persist()
+        broken = plan.filter("verdict = 'ready' AND error IS NULL").select("path").join(claims, "path", "left_anti").select("path", F.lit("unreadable").alias("skipped"))
+        copies = claims.filter("of IS NOT NULL").select("path", F.lit("duplicate").alias("skipped"))
+        first = good.join(F.broadcast(claims.filter("of IS NULL").select("path")), "path")
+        turn = F.lit(1)
+        if orient:
+            read = metadata.with_header(images.files(spark, roots).join(F.broadcast(claims.select("path")), "path", "left_semi"))
+            turns = read.select("path", F.try_to_number(F.col("exif")["Orientation"], F.lit("99999")).cast("int").alias("turn"))
+            first, turn = first.join(F.broadcast(turns), "path", "left"), F.coalesce("turn", F.lit(1))
+        w, h = F.col("width"), F.col("height")
+        box = (crop.x, crop.y, crop.width, crop.height) if crop else None
+        source = g.output_size(w, h, crop=box, orientation=turn)
+        size = g.of_spec(source["width"], source["height"], spec)
+        refused = F.coalesce(g.refused_upscale(source["width"], source["height"], spec).isNotNull(), F.lit(False)) if skip_upscales else F.lit(False)
+        todo = first.withColumns({"refused": refused, "turned": turn, "to": size, "kernel": g.chosen_filter(source["width"], source["height"], spec), "bad_crop": source.isNull()})
+        large = todo.filter(F.col("refused")).select("path", F.lit("would_upscale").alias("skipped"))
+        off = todo.filter(F.col("bad_crop")).select("path", F.lit("crop_out_of_bounds").alias("error"))
+        rasters = todo.filter(~F.col("refused") & ~F.col("bad_crop")).withColumnRenamed("path", "id")
+        done = with_png(pixels.resize_rasters(rasters, F.col("to.width"), F.col("to.height"), F.col("kernel"), crop=box, orientation=F.col("turned")))
+        written = done.select(F.col("id").alias("path"), "width", "height", F.length("bytes").cast("long").alias("output_bytes"), "bytes", F.when(F.col("bytes").isNull(), "encode").alias("error"))
+        outcomes = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [written, off, copies, large, broken, limits])
+    for c, kind in (("width", "int"), ("height", "int"), ("output_bytes", "long"), ("bytes", "binary"), ("error", "string")):
+        if c not in outcomes.columns:
+            outcomes = outcomes.withColumn(c, F.lit(None).cast(kind))
+    merged = batch.merge_back(plan.drop("width", "height", "error").withColumnRenamed("bytes", "input_bytes"), outcomes)
     return merged.select("path", output_name(F.col("name"), F.lit("png")).alias("output_name"), "verdict", "width", "height", "input_bytes", F.coalesce("output_bytes", F.lit(0)).alias("output_bytes"), "skipped", "error", "bytes")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, pixels, rules, sizes
+from . import batch, pixels, requests, rules, sizes
 
-_MODULES = (sizes, rules, batch, pixels)
+_MODULES = (sizes, rules, requests, batch, pixels)
 
 
 def queries() -> dict:

@@ -7,39 +7,76 @@ import zipfile
 
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions import predicates, tables
 from ..functions.names import file_name_of, output_name
-from ..operators.batch import verdicts
+from ..operators.batch import envelope, verdicts
+from .headers import header_sizes
 
 FILE_SCHEMA = StructType().add("path", "string").add("modificationTime", "timestamp").add("length", "long").add("content", "binary")
 
 
-def files(spark: SparkSession, root: str, *, max_bytes: int | None = None) -> DataFrame:
-    """ordinal-free rows of path, name, bytes, content below a root; the ceiling is pushed to the scan."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: Files that a plan looks at, and how deep it goes.
+MOST_ENTRIES, MOST_DEPTH = 10_000, 8
+
+
+def files(spark: SparkSession, roots: str | list[str], *, max_bytes: int | None = None) -> DataFrame:
+    """ordinal-free rows of path, name, bytes, content below the roots; the ceiling is pushed to the scan."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots)
     if max_bytes is not None:
         df = df.filter(F.col("length") <= max_bytes)
     return df.select("path", file_name_of(F.col("path")).alias("name"), F.col("length").alias("bytes"), "content")
 
 
-def folder_plan(spark: SparkSession, root: str, profile: str = "desktop") -> DataFrame:
-    """path, name, bytes, format, verdict of each file below a root, from sizes and first bytes."""
-    max_bytes = next(r[1] for r in tables.LIMITS if r[0] == profile)
+def _below(spark: SparkSession, path: Column, roots: list[str]) -> Column:
+    """The part of a path below its root."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    whole = [hadoop(r).getFileSystem(conf).makeQualified(hadoop(r)).toString().rstrip("/") + "/" for r in roots]
+    out = file_name_of(path)
+    for r in sorted(whole, key=len):
+        out = F.when(path.startswith(r), F.substring(path, len(r) + 1, 1 << 30)).otherwise(out)
+    return out
+
+
+def listing(spark: SparkSession, roots: str | list[str]) -> DataFrame:
+    """path, name, bytes, depth of every file that is not hidden below its root; no content is read."""
+    roots = [roots] if isinstance(roots, str) else roots
+    df = files(spark, roots).drop("content")
+    below = _below(spark, F.col("path"), roots)
+    return df.filter(~below.rlike(r"(^|/)\.")).withColumn("depth", F.size(F.split(below, "/"))).distinct()
+
+
+def folder_problems(spark: SparkSession, roots: str | list[str], *, entries: int = MOST_ENTRIES, depth: int = MOST_DEPTH) -> DataFrame:
+    """problem, files: what a plan leaves out, a row for each kind."""
+    found = listing(spark, roots).agg(F.count_if(F.col("depth") > depth).alias("deep"), F.greatest(F.count_if(F.col("depth") <= depth) - entries, F.lit(0)).alias("many"))
+    return found.select(F.explode(F.map_from_arrays(F.array(F.lit("too_deep"), F.lit("too_many_entries")), F.array("deep", "many"))).alias("problem", "files")).filter("files > 0")
+
+
+def folder_plan(spark: SparkSession, roots: str | list[str], profile: str = "desktop", *, entries: int = MOST_ENTRIES, depth: int = MOST_DEPTH) -> DataFrame:
+    """path, name, bytes, format, width, height, verdict, error of the first ``entries`` files by path below the roots.
+
+    Sizes are listed without reading. Only what is listed as a picture, and is not too large, is read, for
+    its format and its header's size; ``error`` says which limit that size breaks, before any pixel is decoded.
+    """
+    roots = [roots] if isinstance(roots, str) else roots
+    _, max_bytes, max_pixels, max_side = next(r for r in tables.LIMITS if r[0] == profile)
     decodable = [r[0] for r in tables.FORMATS if r[8]]
-    df = files(spark, root)
-    hidden = F.col("path").rlike(r"/\.[^/]*")
-    named = df.filter(~hidden).select("path", "name", "bytes", predicates.has_image_extension(F.col("name")).alias("listed"), predicates.detect_format(F.substring("content", 1, 64)).alias("format"))
-    return verdicts(named.withColumn("can_decode", F.col("format").isin(decodable)), max_bytes).drop("listed", "can_decode")
+    listed = predicates.has_image_extension(F.col("name"))
+    plan = listing(spark, roots).filter(F.col("depth") <= depth).orderBy("path").limit(entries).select("path", "name", "bytes", listed.alias("listed"))
+    heads = header_sizes(files(spark, roots, max_bytes=max_bytes).filter(listed)).select("path", predicates.detect_format(F.substring("content", 1, 64)).alias("format"), "width", "height")
+    plan = plan.join(heads, "path", "left")
+    plan = verdicts(plan.withColumn("can_decode", F.coalesce(F.col("format").isin(decodable), F.lit(False))), max_bytes).drop("listed", "can_decode")
+    return plan.withColumn("error", F.when(F.col("verdict") == "ready", predicates.header_error(F.col("width"), F.col("height"), F.lit(max_pixels), F.lit(max_side))))
 
 
-def decoded(spark: SparkSession, root: str) -> DataFrame:
+def decoded(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, width, height, channels, data of what Spark's image source can decode; others have width -1."""
-    df = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(root)
-    path = F.regexp_replace("image.origin", "^file:///", "file:/")  # as the binary source writes it
+    df = spark.read.format("image").option("recursiveFileLookup", "true").option("dropInvalid", "false").load(paths)
+    # As the binary source writes it: not escaped (a plus stands for itself), one slash.
+    path = F.regexp_replace(F.url_decode(F.replace("image.origin", F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
     return df.select(path.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
@@ -63,9 +100,9 @@ def gif_frames(df: DataFrame, content: str = "content") -> DataFrame:
             if kind == 0x21:
                 at = blocks(at + 2)
             elif kind == 0x2C:
+                frames += 1  # a picture counts from its separator on, cut or not
                 if at + 10 > len(data):
                     return frames, True
-                frames += 1
                 at = blocks(at + 10 + (3 << (data[at + 9] & 7) + 1 if data[at + 9] & 0x80 else 0) + 1)
             elif kind == 0:
                 at += 1
@@ -81,7 +118,13 @@ def gif_frames(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def zip_archives(outputs: DataFrame, batch: str = "batch") -> DataFrame:
-    """One archive for each batch of (batch, ordinal, name, bytes); a batch is what one download carries."""
+    """One archive for each batch of (batch, ordinal, name, bytes) that the envelope lets pass.
+
+    An archive is made in one task; the envelope's rules bound it (512 files, 16 MB). They are checked on sizes, before bytes are grouped.
+    """
+    sizes = outputs.select(batch, "ordinal", F.octet_length("bytes").alias("size"))
+    passed = envelope(sizes, batch, "ordinal", "size").filter("violated IS NULL").select(batch)
+    outputs = outputs.join(passed, batch, "left_semi")
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         buffer = io.BytesIO()

@@ -14,23 +14,30 @@ from pixelgrove.llm.common import cut, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a score below 0.3; null, empty and blank texts have no toxic words and stay, repeated rows go or stay together."""
     return toxicity.non_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group that links of five-word shingles at 0.8 connect.
+
+    Rows without a text or an id are in no group and stay. Rows that repeat both stay if their document does.
+    """
     return neardup.deduplicated(docs, words=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no benchmark item by half; null and empty texts cover none and stay."""
     return tiling.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data masked in text and n_chars made to fit; a null text stays null."""
     return pii.redacted(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_pieces, round_trip."""
+    """doc_id, ids, n_pieces, round_trip of every row; a null text has null ids, an empty one none."""
     return unigram.encode(docs).select("doc_id", "ids", "n_pieces", "round_trip")
 
 

@@ -24,3 +24,23 @@ def test_stages(spark, sf):
     assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in e.collect()} == {i: ((x := pii.redact(t, pii.find_spans(t)[1])), len(x)) for i, t in texts.items()}
     last = corpus_pipeline.STAGES[-1][1](spark, e, sf).collect()
     assert {r["doc_id"] for r in last} == set(texts) and all(r["round_trip"] for r in last)
+
+
+def test_odd_rows(spark, sf, tmp_path, odd, none):
+    """Nulls, empties, repeats, extra columns and an empty table through all stages."""
+    labels, items = spark.read.parquet(f"{sf}/labels.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    for name, docs, ids in (("odd", odd, [None, 1, 2, 3, 6, 7, 8]), ("none", none, [])):
+        d = str(tmp_path / name)
+        docs.write.parquet(f"{d}/documents.parquet")
+        labels.write.parquet(f"{d}/labels.parquet")
+        items.write.parquet(f"{d}/benchmark.parquet")
+        before = spark.read.parquet(f"{d}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+            after = stage(spark, before, d)
+            assert after.columns == before.columns
+            after.write.parquet(f"{d}/{k}.parquet")
+            before = spark.read.parquet(f"{d}/{k}.parquet")
+        rows = corpus_pipeline.STAGES[-1][1](spark, before, d).collect()
+        assert sorted((r["doc_id"] for r in rows), key=lambda i: (i is not None, i)) == ids
+        assert all(r["round_trip"] is None if r["ids"] is None else r["round_trip"] for r in rows)
+        assert corpus_pipeline.run(spark, d).count() == len(ids)

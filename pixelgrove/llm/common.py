@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +47,20 @@ def small(ids: DataFrame) -> DataFrame:
     return F.broadcast(ids) if ids.limit(MOST_SENT + 1).count() <= MOST_SENT else ids
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:
     """The rows of docs whose text passes what make() returns (called once a task); all columns stay, without a shuffle."""
     at, names = docs.columns.index(text_col), docs.columns
 
     def run(batches):
         passes = make()
-        for b in batches:
+        for b in sliced(batches):
             kept = b.filter(pa.array([passes(t) for t in b.column(at).to_pylist()], pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns, names=names)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, id_text, table
+from .common import col, id_text, sliced, table
 
 KINDS = ("email", "ip", "card", "phone")
 MASKS = {k: f"[{k.upper()}]" for k in KINDS}
@@ -225,7 +225,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in sliced(batches):
             found = [find_spans(t) for t in b.column(1).to_pylist()]
             lists = [pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in f[k]] for f in found], span) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), *lists], names=["doc_id", "base", "spans"])
@@ -242,7 +242,7 @@ def redacted(docs: DataFrame, *, text_col: str = "text", length_col: str | None
     """
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [None if t is None else redact(t, find_spans(t)[1]) for t in b.column(names.index(text_col)).to_pylist()]
             columns = list(b.columns)
             columns[names.index(text_col)] = pa.array(texts, pa.string())

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, filter_texts, id_text, mix, table
+from .common import col, filter_texts, id_text, mix, sliced, table
 
 #: Every byte that separates tokens becomes a space.
 _SEPARATE = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -201,7 +201,7 @@ def contamination(
 
     def scan(batches):
         known = shared.value
-        for b in batches:
+        for b in sliced(batches):
             rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in known.matches(t, min_coverage)]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(_FIELDS), _FIELDS, strict=True)], schema=_FIELDS)
 

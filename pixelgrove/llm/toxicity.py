@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, col, filter_texts, id_text, table
+from .common import Memo, col, filter_texts, id_text, sliced, table
 
 # Which letters a character may stand for.
 LEET = {"0": "ou", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "x", "&": "e"}
@@ -130,7 +130,7 @@ class Features:
 
     def __init__(self, counts: np.ndarray, known: dict[int, int] | None = None):
         self.restore, self.known = Restorer(counts), known
-        self.memo = Memo(self._token, 500_000)
+        self.memo = Memo(self._token, 150_000)
 
     def words(self, token: str, whole: bool = True) -> list[str]:
         core = token.strip(_EDGES).lower()
@@ -232,7 +232,7 @@ def learn(docs: DataFrame, labels: DataFrame, counts: np.ndarray, *, max_rows: i
 
     def run(batches):
         features = Features(shared.value)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([pa.array([sorted(features(t)) for t in b.column(0).to_pylist()], pa.list_(pa.int64())), b.column(1)], names=["features", "toxic"])
 
     found = joined.mapInArrow(run, "features array<long>, toxic int").toArrow()
@@ -267,7 +267,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text
     def run(batches):
         counts, model = shared.value
         features = Features(counts, model.known)
-        for b in batches:
+        for b in sliced(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([model.score(features(t)) for t in b.column(1).to_pylist()], pa.float64())], names=["doc_id", "score"])
 
     scored = docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, score double")

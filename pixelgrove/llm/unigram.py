@@ -156,7 +156,7 @@ class _Chunks:
 
 
 class Encoder:
-    def __init__(self, v: Vocabulary, limit: int = 400_000):
+    def __init__(self, v: Vocabulary, limit: int = 150_000):
         self.v = v
         normal = v.normal()
         self.scores = np.array(v.scores)
@@ -363,8 +363,8 @@ def encode(docs: DataFrame, model_path: str | None = None, *, id_col: str = "doc
     def run(batches):
         encoder = Encoder(vocabulary.value)
         for b in batches:
-            for at in range(0, b.num_rows, 2000):  # ids are handed on before they pile up
-                part = b.slice(at, 2000)
+            for at in range(0, b.num_rows, 1000):  # ids are handed on before they pile up
+                part = b.slice(at, 1000)
                 texts = part.column(1).to_pylist()
                 ids = encoder.encode(texts)
                 none = np.array([t is None for t in texts])

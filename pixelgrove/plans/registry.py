@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, pixels, requests, rules, sizes
+from . import batch, notes, pixels, requests, rules, sizes
 
-_MODULES = (sizes, rules, requests, batch, pixels)
+_MODULES = (sizes, rules, requests, notes, batch, pixels)
 
 
 def queries() -> dict:

@@ -385,5 +385,20 @@ def deduplicated(docs: DataFrame, *, words: int = 5, percent: int = 80, id_col:
     return docs.join(gone, col(id_col) == F.col("__gone"), "left_anti")
 
 
+#: The same rows by comparing all sets that share a shingle, as strings: for small tables.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, [x for x in string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+') if x <> ''] AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] for i in range(1, len(w) - 1)] END) AS g FROM d),
+n AS (SELECT doc_id, len(g) AS n, list_sort(g) AS g FROM s),
+r AS (SELECT min(doc_id) AS rep, any_value(n) AS n, g FROM n WHERE n > 0 GROUP BY g),
+u AS (SELECT rep, n, unnest(g) AS v FROM r),
+p AS (SELECT a.rep AS x, b.rep AS y FROM u a JOIN u b ON a.v = b.v AND a.rep < b.rep AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 85 GROUP BY a.rep, b.rep, a.n, b.n HAVING count(*) * 100 >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+c(x, y) AS (SELECT rep, rep FROM r UNION SELECT c.x, e.y FROM c JOIN e ON c.y = e.x),
+m AS (SELECT x AS rep, min(y) AS component FROM c GROUP BY x)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(m.component, n.doc_id) AS component_id, n.doc_id = coalesce(m.component, n.doc_id) AS kept FROM n LEFT JOIN r ON n.n > 0 AND n.g = r.g LEFT JOIN m ON m.rep = r.rep
+"""
+
+
 def op8_bottom_k_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)

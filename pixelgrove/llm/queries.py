@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_scan": import_module(f"{__package__}.licences").sql()}
+    return {"op4_licence_scan": import_module(f"{__package__}.licences").sql(), "op8_bottom_k_near_dedup": import_module(f"{__package__}.neardup").SQL}

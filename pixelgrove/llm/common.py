@@ -107,14 +107,14 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0] if len(ends) else np.zeros(1, np.int64)
 
 
-def word_bounds(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, ends: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end) of each word in the bytes, and how many words each text has.
 
-    Words are runs of bytes other than \\x20 and \\x09 to \\x0D; none reaches over a text's edge.
+    Words are runs of bytes other than ``gaps``, \\x20 and \\x09 to \\x0D by default; none reaches over a text's edge.
     """
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(ends) - 1, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~gaps[data]
     edge = np.zeros(len(data) + 1, dtype=bool)
     edge[ends] = True
     first, last = solid.copy(), solid.copy()

@@ -16,6 +16,9 @@ _QUERIES = {
     "op8_bottom_k_near_dedup": "neardup",
     "op9_offset_preserving_pii": "pii",
     "op10_string_tiling": "tiling",
+    "op11_entropy_mix": "mixing",
+    "op12_block_max_search": "blockmax",
+    "op13_earley_repair": "earley",
 }
 
 
@@ -24,4 +27,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_licence_scan": import_module(f"{__package__}.licences").sql(), "op8_bottom_k_near_dedup": import_module(f"{__package__}.neardup").SQL}
+    get = lambda module: import_module(f"{__package__}.{module}")
+    return {"op4_licence_scan": get("licences").sql(), "op8_bottom_k_near_dedup": get("neardup").SQL, "op12_block_max_search": get("blockmax").SQL}

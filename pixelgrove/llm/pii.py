@@ -14,6 +14,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -38,22 +40,31 @@ HOMOGLYPHS = {
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ζ": "Z",
     "ı": "i", "ɑ": "a", "ɡ": "g", "․": ".", "。": ".", "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-",
 }
-# Words for digits.
-DIGITS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# Words for the digits 0 to 9 in English, German, French and Spanish.
+_NUMERALS = (
+    "zero one two three four five six seven eight nine",
+    "null eins zwei drei vier fünf sechs sieben acht neun",
+    "zéro un deux trois quatre cinq six sept huit neuf",
+    "cero uno dos tres cuatro cinco seis siete ocho nueve",
+)
+DIGITS = {word: str(d) for line in _NUMERALS for d, word in enumerate(line.split())}
 INVISIBLE = frozenset("­​‌‍⁠﻿")
 
-_SPELLED = "|".join(DIGITS)
+_SPELLED = "|".join(sorted(DIGITS, key=len, reverse=True))
+_SIGNS = r"at|dot|punkt|punto|point|arroba|@|\."
 #: Two spelled digits in a row at least, or one beside a digit; separators between them go.
-_DIGIT_RUN = re.compile(rf"(?<![A-Za-z])(?:{_SPELLED}|(?<![0-9])[0-9]++)(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9]++))+(?![A-Za-z])", re.IGNORECASE)
+_DIGIT_RUN = re.compile(rf"(?<![^\W\d_])(?:{_SPELLED}|(?<![0-9])[0-9]++)(?:[ ,-]{{1,2}}(?:{_SPELLED}|[0-9]++))+(?![^\W\d_])", re.IGNORECASE)
 _DIGIT_WORD = re.compile(rf"{_SPELLED}|[0-9]+", re.IGNORECASE)
 #: White space in front is taken from where its run begins, so that no search starts inside a run.
-_BRACKETED = re.compile(r"(?:(?<!\s)\s++)?[\[({<]\s*+(at|dot|punkt|punto|point|arroba)\s*+[\])}>]\s*+", re.IGNORECASE)
+_BRACKETED = re.compile(rf"(?:(?<!\s)\s++)?[\[({{<]\s*+({_SIGNS})\s*+[\])}}>]\s*+", re.IGNORECASE)
 #: A name, a bare at or @, and labels with dots or bare dots between them; the labels can begin a name themselves, but not the name before an @.
 _BARE = re.compile(r"(?:(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++( +at +)|(?<=[A-Za-z0-9._%+-])@)(?=([A-Za-z0-9-]++(?:(?:\.| +dot +)[A-Za-z0-9-]++)++)(?![A-Za-z0-9._%+-]*+@))", re.IGNORECASE)
 _BARE_DOT = re.compile(r" +dot +", re.IGNORECASE)
+#: A bare dot counts between digits, too.
+_DIGIT_DOT = re.compile(r"(?<=[0-9]) +dot +(?=[0-9])", re.IGNORECASE)
 _PLUS = re.compile(r"(?<![A-Za-z])plus[ -]+(?=[0-9])", re.IGNORECASE)
 #: What any of the transducers could act on; texts without it are read by the base patterns alone.
-_TRIGGER = re.compile(rf"[\[({{<]\s*+(?:at|dot|punkt|punto|point|arroba)\s*+[\])}}>]| dot |(?<![A-Za-z])(?:{_SPELLED})[ ,-]|[0-9][ ,-]{{1,2}}(?:{_SPELLED})|{_PLUS.pattern}", re.IGNORECASE)
+_TRIGGER = re.compile(rf"[\[({{<]\s*+(?:{_SIGNS})\s*+[\])}}>]| dot |(?<![^\W\d_])(?:{_SPELLED})[ ,-]{{1,2}}(?:{_SPELLED}|[0-9])|[0-9][ ,-]{{1,2}}(?:{_SPELLED})|{_PLUS.pattern}", re.IGNORECASE)
 
 
 def luhn(digits: str) -> bool:
@@ -87,7 +98,7 @@ def _digits(s: str) -> str:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by the base patterns, by kind, then start."""
     out = [("email", a, b) for a, b in _emails(text)]
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m.group().split("."))]
+    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(x := part.lstrip("0")) <= 3 and int(x or "0") <= 255 for part in m.group().split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m.group())) <= 19 and luhn(d):
             out.append(("card", m.start(), m.end()))
@@ -157,7 +168,7 @@ def rewritten(text: str) -> _Tape | None:
         return None
     tape = _Tape(text)
     tape.replace(foreign)
-    tape.replace([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba") else ".") for m in _BRACKETED.finditer(tape.text)])
+    tape.replace([(m.start(), m.end(), "@" if m.group(1).lower() in ("at", "arroba", "@") else ".") for m in _BRACKETED.finditer(tape.text)])
     edits = []
     for m in _BARE.finditer(tape.text):
         dots = [(m.start(2) + d.start(), m.start(2) + d.end(), ".") for d in _BARE_DOT.finditer(m.group(2))]
@@ -182,6 +193,7 @@ def rewritten(text: str) -> _Tape | None:
             elif k and spelled[k - 1]:
                 edits.append((m.start() + words[k - 1].end(), a + 1, w.group()[0]))
     tape.replace(edits)
+    tape.replace([(m.start(), m.end(), ".") for m in _DIGIT_DOT.finditer(tape.text)])
     tape.replace([(m.start(), m.end(), "+") for m in _PLUS.finditer(tape.text)])
     return tape
 
@@ -194,11 +206,15 @@ def find_spans(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple
     tape = rewritten(text)
     if tape is None:
         return base, base
-    taken, added = [(a, b) for _, a, b in base], []
+    # A base span contains another span if, of those that begin no later, the furthest end is not before its end.
+    begins = sorted((a, b) for _, a, b in base)
+    furthest = list(accumulate((b for _, b in begins), max))
+    begins, added = [a for a, _ in begins], []
     for kind, a, b in base_spans(tape.text):
-        if 1 in tape.new[a:b]:
+        if tape.new.find(1, a, b) >= 0:
             span = kind, tape.start[a], tape.end[b - 1]
-            if not any(x <= span[1] and span[2] <= y for x, y in taken):
+            at = bisect_right(begins, span[1])
+            if not at or furthest[at - 1] < span[2]:
                 added.append(span)
     return base, sorted([*base, *added], key=lambda s: (KINDS.index(s[0]), s[1]))
 

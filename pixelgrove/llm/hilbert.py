@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, shuffle_partitions, table
+from .common import col, cut, numbered, shuffle_partitions, small, table
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -48,12 +48,6 @@ def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
     return index
 
 
-def ordered_number(c: Column) -> Column:
-    """The first seven bytes of a string as a number that sorts like them."""
-    head = F.rpad(F.hex(F.substring(F.encode(F.coalesce(c, F.lit("")), "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(head, 16, 10).cast("long")
-
-
 def hilbert_shards(
     docs: DataFrame,
     *,
@@ -66,8 +60,8 @@ def hilbert_shards(
 ) -> DataFrame:
     """doc_id, size (UTF-8 bytes and 1), text_crc32, the levels of the dimensions, hilbert, rank, shard, slot.
 
-    ``dimensions`` maps names to numeric columns of docs (three by default: source and lang by their
-    order, and size). A null counts as the lowest level. The law is ``bytes``: a shard's size differs from
+    ``dimensions`` maps names to columns of docs, numbers or strings (three by default: source, lang and size).
+    A string counts by its rank among all distinct ones, whole. A null counts as the lowest level. The law is ``bytes``: a shard's size differs from
     the mean by no more than two rows. Rows stand by curve index, block, text_crc32, doc_id; equal
     rows get neighbouring slots. An empty table has no shards. A null text has size 1 and the
     checksum of an empty one. Only the named columns are read, so others may have any names.
@@ -75,10 +69,15 @@ def hilbert_shards(
     spark = docs.sparkSession
     text = F.coalesce(col(text_col), F.lit(""))
     if dimensions is None:
-        dimensions = {"source": ordered_number(col("source")), "lang": ordered_number(col("lang")), "bytes": F.octet_length(text).cast("long")}
+        dimensions = {"source": col("source"), "lang": col("lang"), "bytes": F.octet_length(text).cast("long")}
     names = list(dimensions)
-    slim = docs.select(col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), *[F.coalesce(c, F.lit(-(1 << 62))).alias(f"d{i}") for i, c in enumerate(dimensions.values())])
+    slim = docs.select(col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), *[c.alias(f"d{i}") for i, c in enumerate(dimensions.values())])
     slim = cut(slim)
+    for i in range(len(names)):
+        if slim.schema[f"d{i}"].dataType.simpleString() == "string":
+            ranks = numbered(slim.select(f"d{i}").filter(F.col(f"d{i}").isNotNull()).distinct(), f"d{i}")
+            slim = slim.join(small(ranks), f"d{i}", "left").withColumn(f"d{i}", F.col("place")).drop("place")
+        slim = slim.withColumn(f"d{i}", F.coalesce(f"d{i}", F.lit(-(1 << 62))))
     levels = 1 << bits
     cuts = slim.agg(*[F.percentile_approx(f"d{i}", [k / levels for k in range(1, levels)], 10_000).alias(f"d{i}") for i in range(len(names))]).first()
     level = [sum(((F.col(f"d{i}") > F.lit(c)).cast("int") for c in cuts[i] or []), F.lit(0)) for i in range(len(names))]

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, cut, shuffle_partitions, small, table
+from .common import col, cut, numbered, shuffle_partitions, small, table
 
 _UNIT = 10**12
 _WIDE = "decimal(38,0)"
@@ -34,18 +34,6 @@ def words(text: Column) -> Column:
     return F.length(F.regexp_replace(marks, "[\\x20\\x09-\\x0D]+", "")).cast("long")
 
 
-def _numbered(rows: DataFrame, by: str) -> DataFrame:
-    """rows with ``place``, from 0 in the order of ``by`` (unique), without one task for all of them."""
-    rows = cut(rows.orderBy(by).withColumn("part", F.spark_partition_id()))
-    begin, starts = 0, []
-    for r in sorted(rows.groupBy("part").count().collect()):  # a row for each partition
-        starts.append((r["part"], begin))
-        begin += r["count"]
-    starts = rows.sparkSession.createDataFrame(starts, "part int, begin long")
-    within = F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
-    return rows.join(F.broadcast(starts), "part").select(*[c for c in rows.columns if c != "part"], (within + F.col("begin")).alias("place"))
-
-
 def source_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
     """(key, source_size) with ``target``: all sizes shared by weight, none above ``most`` times its source's size.
 
@@ -54,7 +42,7 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> D
     at their limit are those above the latest one; a round is an aggregate of one row.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
-    sources = cut(_numbered(sources, "key").withColumn("weight", weight.cast("long")))
+    sources = cut(numbered(sources, "key").withColumn("weight", weight.cast("long")))
     limit = F.col("source_size") * most
     full, last = F.lit(False), None
     while True:

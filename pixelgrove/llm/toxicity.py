@@ -33,7 +33,7 @@ _CODE = {c: i for i, c in enumerate(_LETTERS[: _SIZE - 1], 1)}
 _LONGEST = 40  # characters of a token that is one disguised word; a longer one can hold several
 _EDGES = ".,;:!?\"'()[]{}<>|*%&$#@~^=+-_/\\`"
 _UNIT = r"(?:[^\W_]|[@$!|+(€£¡*#%&])"
-_SPACED = re.compile(rf"(?<!\S)(?:{_UNIT}[ ._*-]){{3,}}{_UNIT}(?![^\W_])")
+_SPACED = re.compile(rf"(?<!\S)(?:{_UNIT}[ ._*-]{{1,3}}+){{3,}}{_UNIT}(?![^\W_])")
 _PARTS = [re.compile("[" + re.escape("".join(sorted(SEPARATORS))) + "]+"), re.compile(r"[\W_]+")]
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 
@@ -135,7 +135,7 @@ class Features:
     def words(self, token: str, whole: bool = True) -> list[str]:
         core = token.strip(_EDGES).lower()
         if core.isalpha() and not _REPEATED.search(core):
-            return [core]
+            return [core, *self.edged(token.lower(), core)]
         full = token.lower()
         if not any(c.isalpha() for c in full):
             return []
@@ -148,6 +148,17 @@ class Features:
         plain = "".join(c for c in core if c.isalpha())
         return list(dict.fromkeys(w for w in (self.restore(core), self.restore(full.strip(".,;:?\"'()[]{}<>")), plain, *inner) if w))
 
+    def edged(self, token: str, core: str) -> list[str]:
+        """The words that the edges of a plain word may belong to: "$tupid", "idio+", "(lown"."""
+        at = token.find(core)
+        # Of a run of one edge character, its nearest stands for all.
+        left, right = token[max(0, at - 1) : at], token[at + len(core) :][:1]
+        left, right = left if left in LEET else "", right if right in LEET else ""
+        if not left and not right or len(core) > _LONGEST:
+            return []
+        wide = dict.fromkeys((left + core, core + right, left + core + right))
+        return list(dict.fromkeys(w for t in wide if t != core and (w := self.restore(t)) != core))
+
     def spaced(self, run: str) -> list[str]:
         """The words that a run of spaced-out characters may hold."""
         s = "".join(c for c in run if c.isalpha())

@@ -355,3 +355,67 @@ def test_masked_lm_token_by_token(spark, sf):
 
 def test_registered():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_levels_come_from_whole_strings_and_runs_prune(spark):
+    rng = random.Random(23)
+    rows = [(i, "x" * rng.randint(1, 400), f"https://host{rng.randrange(40)}/", rng.choice(["de", "en", "es", "fr"])) for i in range(3000)] + [(5000, "y", None, None)]
+    out = hilbert.hilbert_shards(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()
+    names = ("level_source", "level_lang", "level_bytes")
+    assert len({r["level_source"] for r in out}) > 10 and [r["level_source"] for r in out if r["doc_id"] == 5000] == [0]
+
+    def touched(runs):
+        # Files that a reader of one level of one dimension must open, over all levels, by minima and maxima.
+        edges = [[(min(r[n] for r in run), max(r[n] for r in run)) for n in names] for run in runs]
+        return sum(e[k][0] <= v <= e[k][1] for k, n in enumerate(names) for v in {r[n] for r in out} for e in edges)
+
+    runs = [[r for r in out if r["shard"] == k] for k in range(8)]
+    plain = sorted(out, key=lambda r: tuple(r[n] for n in names))
+    assert touched(runs) < touched([plain[k * len(plain) // 8 : (k + 1) * len(plain) // 8] for k in range(8)])
+
+
+def test_restoration_is_the_best_path_of_the_lattice():
+    rng = random.Random(29)
+    counts = np.zeros(64**3)
+    counts[[rng.randrange(64**3) for _ in range(4000)]] = 50
+    restore = toxicity.Restorer(counts)
+    size, code = 64, toxicity._CODE
+
+    def paths(token):
+        """(cost, word) of every way through a short token."""
+        found = [(0.0, 0, 0, "")]
+        previous = ""
+        for ch in token:
+            options = [(ch, 0.0)] if ch in code else []
+            options += [(x, restore.leet + np.log(len(toxicity.LEET[ch]))) for x in toxicity.LEET.get(ch, "")]
+            separator, leet = ch in toxicity.SEPARATORS, ch in toxicity.LEET
+            new = []
+            for cost, a, b, word in found:
+                new += [(cost + extra + restore.cost[a, b, code[x]], b, code[x], word + x) for x, extra in options]
+                if ch == previous and word and (word[-1] == ch or word[-1] in toxicity.LEET.get(ch, "")):
+                    new.append((cost + restore.repeat, a, b, word))
+                if not options or separator or leet:
+                    new.append((cost + (restore.separator if separator else restore.leet + 3.0), a, b, word))
+            found, previous = new, ch
+        return [(cost + (restore.cost[a, b, 0] if b or not a else 0.0), word) for cost, a, b, word in found]
+
+    for _ in range(300):
+        token = "".join(rng.choice("abcst01$@!|(.-*aa") for _ in range(rng.randint(1, 6)))
+        all_ = paths(token)
+        least = min(c for c, _ in all_)
+        assert restore(token) in {w for c, w in all_ if c < least + 1e-9}, token
+
+
+def test_edges_and_wide_spacing_are_disguises():
+    counts = np.zeros(64**3)
+    for word in ("stupid", "idiot", "clown", "trash") * 50:
+        c = [0, *(toxicity._CODE[x] for x in word), 0]
+        for k in range(len(c) - 2):
+            counts[(c[k] * 64 + c[k + 1]) * 64 + c[k + 2]] += 1
+        counts[(0 * 64 + 0) * 64 + c[1]] += 1
+    features = toxicity.Features(counts)
+    for token, word in (("$tupid", "stupid"), ("!diot", "idiot"), ("idio+", "idiot"), ("|diot,", "idiot"), ("(lown", "clown"), ("+rash.", "trash"), ("\"$tupid\"", "stupid"), ("stupid!", "stupid")):
+        assert word in features.words(token), token
+    known = set(toxicity.features_of("idiot"))
+    for text in ("i  d  i  o  t", "an i. d. i. o. t here", "i - d - i - o - t"):
+        assert known <= features(text), text

@@ -102,9 +102,12 @@ def output_size(w: Column, h: Column, *, crop: tuple | None = None, orientation:
 
 def refused_upscale(w: Column, h: Column, spec: Resize) -> Column:
     """The size asked for, where the picture keeps its own because enlarging is off; else null."""
-    got, wanted = of_spec(w, h, spec), of_spec(w, h, spec, no_upscale=False)
-    same = (got["width"] == w) & (got["height"] == h)
-    return F.when(same & ((wanted["width"] > w) | (wanted["height"] > h)), wanted)
+    if not spec.no_upscale:
+        return F.when(F.lit(False), size(w, h))
+    # It keeps its own where no side would shrink and one would grow.
+    wanted = of_spec(w, h, spec, no_upscale=False)
+    least = F.least(wanted["width"] - w, wanted["height"] - h)
+    return F.when((least >= 0) & (wanted["width"] + wanted["height"] > w + h), wanted)
 
 
 def chosen_filter(w: Column, h: Column, spec: Resize) -> Column:

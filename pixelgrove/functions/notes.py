@@ -18,7 +18,7 @@ DAMAGED = "this GIF's frame structure is damaged, so the number of frames in it
 FLATTENED = ("This file was an animation of ", " frames. The exported image is the first frame; the other ", " were not written. Choose GIF output to keep every frame.")
 TOO_WIDE = "this picture is wider or taller than WebP can store (16383 pixels a side): ask for JPEG or PNG as the output format, or crop it to fit"
 # The longest side of a WebP; the least and most bytes an output buffer is planned with.
-WEBP_SIDE, LEAST_BYTES, MOST_BYTES = 16_383, 64 << 10, 64 << 30
+WEBP_SIDE, LEAST_BYTES, MOST_BYTES = 16_383, 64 << 10, 64 << 20
 
 
 def _tenths(pixels: Column) -> Column:

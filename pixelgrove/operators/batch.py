@@ -11,11 +11,9 @@ SKIPPED_ERRORS = {"unknown_format": "unreadable", "decode": "unreadable", "io":
 
 def skip_kind(error: Column, skip_unprocessable: bool = True) -> Column:
     """The reason to skip that an error is; null if it stays a failure. Duplicates and enlargements always skip."""
-    out = F.when(error.isin("duplicate", "would_upscale"), error)
-    if skip_unprocessable:
-        for kind, reason in SKIPPED_ERRORS.items():
-            out = out.when(error == kind, reason)
-    return out
+    reasons = {"duplicate": "duplicate", "would_upscale": "would_upscale"} | (SKIPPED_ERRORS if skip_unprocessable else {})
+    # A map, so that what decides the error is in the plan once.
+    return F.create_map(*[F.lit(x) for pair in reasons.items() for x in pair])[error]
 
 
 #: What sentences of skips are made from.
@@ -56,9 +54,16 @@ def saved_percent(input_bytes: Column, output_bytes: Column) -> Column:
 
 
 def report(outcomes: DataFrame) -> DataFrame:
-    """One row of counts and sums, from outcomes with error, skipped, input_bytes and output_bytes."""
-    return outcomes.agg(
-        F.count_if(F.col("error").isNull() & F.col("skipped").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"), F.count_if(F.col("skipped").isNotNull()).alias("skipped"), F.count_if(F.col("skipped") == "duplicate").alias("duplicates"),
+    """One row of counts and sums, from outcomes with error, skipped, input_bytes and output_bytes.
+
+    Rows are counted by kind first, and the numbers taken from the few kinds; ``n``, if it is there, says how many
+    outcomes a row stands for.
+    """
+    n = F.col("n") if "n" in outcomes.columns else F.lit(1).cast("long")
+    kinds = outcomes.groupBy("error", "skipped").agg(F.sum(n).alias("n"), F.sum("input_bytes").alias("input_bytes"), F.sum("output_bytes").alias("output_bytes"))
+    of = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0).cast("long"))
+    return kinds.agg(
+        of(F.col("error").isNull() & F.col("skipped").isNull()).alias("succeeded"), of(F.col("error").isNotNull()).alias("failed"), of(F.col("skipped").isNotNull()).alias("skipped"), of(F.col("skipped") == "duplicate").alias("duplicates"),
         F.coalesce(F.sum("input_bytes"), F.lit(0)).alias("input_bytes"), F.coalesce(F.sum("output_bytes"), F.lit(0)).alias("output_bytes"),
     )
 
@@ -66,12 +71,17 @@ def report(outcomes: DataFrame) -> DataFrame:
 def skip_reasons(outcomes: DataFrame, kind: str = "skipped", payload: list[str] | None = None, ordinal: str = "ordinal") -> DataFrame:
     """Each kind of skip: how many, the first one's sentence, where it was first seen.
 
-    ``payload`` names the columns that :func:`note` takes. Only the first row's go on, and sentences are written for
-    the few kinds that are left, not for every row.
+    ``payload`` names the columns that :func:`note` takes. The lowest ordinal of each kind is found by a hash aggregate; only
+    those few rows are looked up again, and sentences are written for them alone.
     """
     payload = payload or [c for c in NOTED if c in outcomes.columns]
-    first = outcomes.filter(F.col(kind).isNotNull()).groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.min_by(F.struct(*payload), ordinal).alias("first"), F.min(ordinal).alias("first_seen"))
-    return first.select("kind", "n", note(F.col("kind"), **{c: F.col(f"first.{c}") for c in payload}).alias("reason"), "first_seen")
+    # There are as many rows as kinds; as literals they filter the scan before anything else is worked out.
+    first = outcomes.groupBy(F.col(kind).alias("kind")).agg(F.count(kind).alias("n"), F.min(ordinal).alias("first_seen")).filter("n > 0")
+    few = first.collect()
+    first = outcomes.sparkSession.createDataFrame(few, first.schema)
+    rows = outcomes.filter(F.col(ordinal).isin([r["first_seen"] for r in few])).select(F.col(ordinal).alias("first_seen"), *payload)
+    rows = rows.join(F.broadcast(first), "first_seen").dropDuplicates(["first_seen"])
+    return rows.select("kind", "n", note(F.col("kind"), **{c: F.col(c) for c in payload}).alias("reason"), "first_seen")
 
 
 def verdicts(entries: DataFrame, max_bytes: int) -> DataFrame:

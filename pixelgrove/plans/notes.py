@@ -59,7 +59,7 @@ SQL = {
         SELECT frames, format, pictures, CASE WHEN frames <= 1 THEN 'still' WHEN format = 'gif' THEN 'preserved' ELSE 'flattened' END AS action, CASE WHEN frames > 1 AND format <> 'gif' THEN
         'This file was an animation of ' || frames || ' frames. The exported image is the first frame; the other ' || (frames - 1) || ' were not written. Choose GIF output to keep every frame.' END AS note FROM c, f""",
     "size_checks": f"""WITH {PICTURES}, x AS (SELECT CASE WHEN n = 7 THEN 0 ELSE w * 5 END AS w, h * 5 AS h, CASE WHEN id % 2 = 0 THEN 'webp' ELSE 'jpeg' END AS format FROM pictures),
-        t AS (SELECT format, CASE WHEN w * h = 0 THEN 'zero_dimension' WHEN w * h > 128000000 THEN 'pixel_budget_exceeded' END AS decoded, CASE WHEN format = 'webp' AND (w > 16383 OR h > 16383) THEN '{notes.TOO_WIDE}' END AS webp, least(68719476736, greatest(65536, w * h // 2)) AS planned FROM x)
+        t AS (SELECT format, CASE WHEN w * h = 0 THEN 'zero_dimension' WHEN w * h > 128000000 THEN 'pixel_budget_exceeded' END AS decoded, CASE WHEN format = 'webp' AND (w > 16383 OR h > 16383) THEN 'this picture is wider or taller than WebP can store (16383 pixels a side): ask for JPEG or PNG as the output format, or crop it to fit' END AS webp, least(67108864, greatest(65536, w * h // 2)) AS planned FROM x)
         SELECT format, decoded, webp, count(*) AS pictures, CAST(sum(planned) AS BIGINT) AS planned_bytes, max(planned) AS most FROM t GROUP BY ALL""",
     "capability_dim": """SELECT format, format IN ('jpeg', 'png', 'gif', 'tiff', 'bmp') AS decode, format = 'png' AS encode, false AS progressive, false AS chroma, CAST(536870912 AS BIGINT) AS max_input_bytes, CAST(128000000 AS BIGINT) AS max_pixels
         FROM (VALUES ('jpeg'), ('png'), ('webp'), ('gif'), ('tiff'), ('bmp'), ('ico'), ('avif'), ('heic'), ('heif')) f(format)""",

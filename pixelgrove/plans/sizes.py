@@ -79,17 +79,18 @@ def pool_size(spark, sf_dir):
 
 
 def preset_fanout(spark, sf_dir):
-    """Every preset over every picture: the catalogue (41 rows) is broadcast, pictures are not moved, and sums combine early.
+    """Every preset over every picture: equal sizes are counted first, the catalogue (41 rows) is broadcast to them.
 
-    One branch for each fit, so that a row's work is that fit's arithmetic alone.
+    One branch for each fit, so that a row's work is that fit's arithmetic alone; all of them read the one exchange.
     """
-    parts = []
+    parts, sizes = [], pictures(spark, sf_dir).groupBy("w", "h").agg(F.count("*").alias("n"))
     for fit in sorted({r[4] for r in tables.PRESETS}):
         size = g.resolve(F.col("w"), F.col("h"), F.col("width"), F.col("height"), fit, F.col("no_upscale"))
         some = tables.presets(spark).filter(F.col("fit") == fit).select("preset", "width", "height", "no_upscale")
-        parts.append(pictures(spark, sf_dir).select("w", "h").crossJoin(F.broadcast(some)).select("preset", size.alias("s")))
+        parts.append(sizes.crossJoin(F.broadcast(some)).select("preset", "n", size.alias("s")))
     rows = reduce(DataFrame.union, parts)
-    return rows.groupBy("preset").agg(F.count("*").alias("pictures"), F.sum("s.width").alias("widths"), F.sum("s.height").alias("heights"), F.sum(F.col("s.width") * F.col("s.height")).alias("pixels"))
+    w, h, n = F.col("s.width"), F.col("s.height"), F.col("n")
+    return rows.groupBy("preset").agg(F.sum(n).alias("pictures"), F.sum(n * w).alias("widths"), F.sum(n * h).alias("heights"), F.sum(n * w * h).alias("pixels"))
 
 
 def presets(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import batch as b
+from ..operators.target import search_quality
 from .carriers import PICTURES, jobs, pictures, table
 
 _SPEC = g.Resize(6000, 4500, "contain")
@@ -80,7 +81,20 @@ def target_search(spark, sf_dir):
     return b.target_quality(curves, 20_000)
 
 
-QUERIES = {"content_dedupe": content_dedupe, "batch_outcomes": outcomes, "batch_report": batch_report, "skip_reasons": skip_reasons, "folder_counts": folder_counts, "merge_back": merge_back, "envelope_check": envelope_check, "target_search": target_search}
+def _sizes(asked):
+    """An encoder whose files grow with quality, but not always."""
+    q, i = F.col("quality").cast("long"), F.col("id")
+    return asked.withColumn("size", 100 + i * 31 % 4900 + (1 + i * 17 % 499) * (q - (i + q * q * 7) % 23))
+
+
+def target_frontier(spark, sf_dir):
+    """A search with an encoder for each event; every fifth has a format without qualities, every eleventh fails."""
+    jobs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 5 == 0, "png").otherwise("jpeg").alias("format"))
+    encoder = lambda asked: _sizes(asked).withColumn("size", F.when(F.col("id") % 11 != 3, F.col("size")))
+    return search_quality(jobs, encoder, 12_000)
+
+
+QUERIES = {"target_frontier": target_frontier, "content_dedupe": content_dedupe, "batch_outcomes": outcomes, "batch_report": batch_report, "skip_reasons": skip_reasons, "folder_counts": folder_counts, "merge_back": merge_back, "envelope_check": envelope_check, "target_search": target_search}
 
 _OUTCOMES = f"""{PICTURES}, p AS (SELECT id * 8 + n AS ordinal, w, h, w * h % 700000 AS input_bytes, CAST(greatest(1e0, round(w * least(6000e0 / w, 4500e0 / h))) AS BIGINT) AS a, CAST(greatest(1e0, round(h * least(6000e0 / w, 4500e0 / h))) AS BIGINT) AS b FROM pictures),
     r AS (SELECT *, CASE WHEN input_bytes > 600000 THEN 'input_too_large' WHEN input_bytes % 97 = 0 THEN 'encode' WHEN w * h > 40000000 THEN 'pixel_budget_exceeded' WHEN a >= w AND b >= h AND (a > w OR b > h) THEN 'would_upscale' END AS raised FROM p),
@@ -90,6 +104,12 @@ _OUTCOMES = f"""{PICTURES}, p AS (SELECT id * 8 + n AS ordinal, w, h, w * h % 70
 _PLAN = """f AS (SELECT source || '/' || doc_id AS path, octet_length(encode(text)) AS bytes, doc_id AS i, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN doc_id % 11 = 0 THEN 'heic' ELSE 'jpeg' END AS format FROM documents),
     plan AS (SELECT *, CASE WHEN i % 5 = 0 THEN 'not_listed' WHEN bytes > 20000 THEN 'too_large' WHEN format IS NULL THEN 'not_an_image' WHEN format <> 'jpeg' THEN 'unsupported' ELSE 'ready' END AS verdict FROM f)"""
 SQL = {
+    "target_frontier": """WITH RECURSIVE e AS (SELECT event_id AS id, event_id % 5 = 0 AS fixed, event_id % 11 = 3 AS fails FROM events),
+        s(id, fixed, fails, low, high, best, size, n, going) AS (SELECT id, fixed, fails, 30, 95, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT), 0, true FROM e
+        UNION ALL SELECT id, fixed, fails, CASE WHEN got <= 12000 THEN q + 1 ELSE low END, CASE WHEN got <= 12000 THEN high ELSE q - 1 END, CASE WHEN fails THEN NULL WHEN got <= 12000 THEN q ELSE best END,
+            CASE WHEN fails THEN NULL WHEN got <= 12000 OR best IS NULL THEN got ELSE size END, n + 1, NOT fixed AND NOT fails AND CASE WHEN got <= 12000 THEN q + 1 <= high ELSE q > 30 AND low <= q - 1 END
+            FROM (SELECT *, 100 + id * 31 % 4900 + (1 + id * 17 % 499) * (q - (id + q * q * 7) % 23) AS got FROM (SELECT *, CASE WHEN fixed THEN 30 ELSE (low + high) // 2 END AS q FROM s WHERE going)))
+        SELECT id, CASE WHEN fails THEN NULL WHEN fixed THEN 0 ELSE coalesce(best, 30) END AS quality_used, size, best IS NOT NULL AS target_met, n AS encodes FROM s WHERE NOT going""",
     "content_dedupe": """WITH k AS (SELECT doc_id AS ordinal, source || '/' || doc_id || '.jpg' AS name, substr(sha256(sha256(text) || chr(0) || sha256('jpeg;85')), 1, 32) AS key FROM documents), w AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ordinal) AS r, first_value(name) OVER (PARTITION BY key ORDER BY ordinal) AS f FROM k)
         SELECT ordinal, name, CASE WHEN r > 1 THEN f END AS of, key FROM w""",
     "batch_outcomes": f"WITH {_OUTCOMES} SELECT * FROM outcomes",

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions import tables
 from ..functions.names import output_name
 from ..sources import images, metadata
 from . import batch, pixels
+from .target import cut
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -62,17 +64,17 @@ def to_rgba(df: DataFrame, data: str = "data", channels: str = "channels") -> Da
     return df.withColumn(data, widen(data, channels))
 
 
-def process_folder(spark: SparkSession, roots: str | list[str], spec: g.Resize, *, profile: str = "desktop", skip_upscales: bool = True, crop: g.Crop | None = None, orient: bool = False) -> DataFrame:
+def process_folder(spark: SparkSession, roots: str | list[str], spec: g.Resize, *, profile: str = "desktop", skip_upscales: bool = True, crop: g.Crop | None = None, orient: bool = False, entries: int = images.MOST_ENTRIES) -> DataFrame:
     """path, output_name, verdict, width, height, input_bytes, output_bytes, skipped, error, bytes of every candidate.
 
     A picture is cropped, turned upright by its EXIF orientation if ``orient``, and resized by the kernel that the
     request and the reduction call for. What breaks a limit by its header is never decoded: only the paths that are
-    left (a plan has 10,000 at most) are handed to the decoder. A picture whose pixels an earlier path already has is
+    left (a plan has ``entries`` at most) are handed to the decoder. A picture whose pixels an earlier path already has is
     skipped as a duplicate, one that would have to be enlarged is left alone, one that does not decode is unreadable.
     Rasters are decoded twice, for their keys and for the result, and never shuffled; what is joined to them
     is a row for each planned path.
     """
-    plan = images.folder_plan(spark, roots, profile).persist()
+    plan = cut(images.folder_plan(spark, roots, profile, entries=entries))
     ready = [r["path"] for r in plan.filter("verdict = 'ready' AND error IS NULL").select("path").collect()]
     limits = plan.filter("error IS NOT NULL").select("path", F.when(F.col("error") != "zero_dimension", "too_large").otherwise("unreadable").alias("skipped"))
     outcomes = limits
@@ -81,13 +83,15 @@ def process_folder(spark: SparkSession, roots: str | list[str], spec: g.Resize,
         shape = f"{spec}{crop}{orient}"
         good = to_rgba(raw.filter("width > 0")).withColumn("width", F.col("width").cast("long")).withColumn("height", F.col("height").cast("long"))
         keys = good.select("path", batch.content_key(F.col("data"), F.concat_ws("x", "width", "height", F.lit(shape))).alias("key")).join(plan.select("path", "name"), "path")
-        claims = batch.claim(keys, ordinal="path").select("path", "of").persist()
+        claims = batch.claim(keys, ordinal="path").select("path", "of")
+        claims = cut(claims)
         broken = plan.filter("verdict = 'ready' AND error IS NULL").select("path").join(claims, "path", "left_anti").select("path", F.lit("unreadable").alias("skipped"))
         copies = claims.filter("of IS NOT NULL").select("path", F.lit("duplicate").alias("skipped"))
         first = good.join(F.broadcast(claims.filter("of IS NULL").select("path")), "path")
         turn = F.lit(1)
         if orient:
-            read = metadata.with_header(images.files(spark, roots).join(F.broadcast(claims.select("path")), "path", "left_semi"))
+            most = next(r[1] for r in tables.LIMITS if r[0] == profile)
+            read = metadata.with_header(images.files(spark, roots, max_bytes=most).join(F.broadcast(claims.select("path")), "path", "left_semi"))
             turns = read.select("path", F.try_to_number(F.col("exif")["Orientation"], F.lit("99999")).cast("int").alias("turn"))
             first, turn = first.join(F.broadcast(turns), "path", "left"), F.coalesce("turn", F.lit(1))
         w, h = F.col("width"), F.col("height")
@@ -105,5 +109,5 @@ def process_folder(spark: SparkSession, roots: str | list[str], spec: g.Resize,
     for c, kind in (("width", "int"), ("height", "int"), ("output_bytes", "long"), ("bytes", "binary"), ("error", "string")):
         if c not in outcomes.columns:
             outcomes = outcomes.withColumn(c, F.lit(None).cast(kind))
-    merged = batch.merge_back(plan.drop("width", "height", "error").withColumnRenamed("bytes", "input_bytes"), outcomes)
+    merged = batch.merge_back(plan.drop("width", "height", "error", "bytes_read").withColumnRenamed("bytes", "input_bytes"), outcomes)
     return merged.select("path", output_name(F.col("name"), F.lit("png")).alias("output_name"), "verdict", "width", "height", "input_bytes", F.coalesce("output_bytes", F.lit(0)).alias("output_bytes"), "skipped", "error", "bytes")

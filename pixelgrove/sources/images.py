@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +13,15 @@ from pyspark.sql.types import StructType
 from ..functions import predicates, tables
 from ..functions.names import file_name_of, output_name
 from ..operators.batch import envelope, verdicts
+from . import folders
+from .folders import MOST_DEPTH
 from .headers import header_sizes
 
 FILE_SCHEMA = StructType().add("path", "string").add("modificationTime", "timestamp").add("length", "long").add("content", "binary")
 
 
-#: Files that a plan looks at, and how deep it goes.
-MOST_ENTRIES, MOST_DEPTH = 10_000, 8
+#: Files that a plan looks at.
+MOST_ENTRIES = 10_000
 
 
 def files(spark: SparkSession, roots: str | list[str], *, max_bytes: int | None = None) -> DataFrame:
@@ -41,33 +42,54 @@ def _below(spark: SparkSession, path: Column, roots: list[str]) -> Column:
     return out
 
 
-def listing(spark: SparkSession, roots: str | list[str]) -> DataFrame:
-    """path, name, bytes, depth of every file that is not hidden below its root; no content is read."""
+def _local(roots: list[str]) -> bool:
+    return all(r.startswith("file:") or "://" not in r for r in roots)
+
+
+def listing(spark: SparkSession, roots: str | list[str], depth: int = MOST_DEPTH) -> DataFrame:
+    """path, name, bytes, depth, problem of every file that is not hidden below its root; no content is read.
+
+    Folders that are mounted are walked by the library's own source, which leaves links out and says what it could
+    not walk. Other stores are listed by Spark's binary source, which has neither links nor sentences.
+    """
     roots = [roots] if isinstance(roots, str) else roots
+    if _local(roots):
+        whole = [folders.clean(r) for r in roots]
+        return folders.tree(spark, whole, depth=depth).withColumn("path", F.concat(F.lit("file:"), "path"))
     df = files(spark, roots).drop("content")
     below = _below(spark, F.col("path"), roots)
-    return df.filter(~below.rlike(r"(^|/)\.")).withColumn("depth", F.size(F.split(below, "/"))).distinct()
+    deep = F.when(F.col("depth") > depth, folders._DEEP.format(depth))
+    return df.filter(~below.rlike(r"(^|/)\.")).withColumn("depth", F.size(F.split(below, "/"))).distinct().withColumn("problem", deep)
 
 
 def folder_problems(spark: SparkSession, roots: str | list[str], *, entries: int = MOST_ENTRIES, depth: int = MOST_DEPTH) -> DataFrame:
-    """problem, files: what a plan leaves out, a row for each kind."""
-    found = listing(spark, roots).agg(F.count_if(F.col("depth") > depth).alias("deep"), F.greatest(F.count_if(F.col("depth") <= depth) - entries, F.lit(0)).alias("many"))
-    return found.select(F.explode(F.map_from_arrays(F.array(F.lit("too_deep"), F.lit("too_many_entries")), F.array("deep", "many"))).alias("problem", "files")).filter("files > 0")
+    """problem, sentence, files: what a plan leaves out; a row for each path that was not walked, and one for files beyond the plan."""
+    found = listing(spark, roots, depth)
+    kind = F.when(F.col("problem").startswith("stopped "), "too_deep").when(F.col("problem").startswith("could not look"), "not_found").otherwise("not_opened")
+    paths = found.filter("problem IS NOT NULL").groupBy(kind.alias("problem"), F.col("problem").alias("sentence")).agg(F.count("*").alias("files"))
+    many = found.filter("problem IS NULL").agg((F.count("*") - entries).alias("files")).filter("files > 0")
+    sentence = f"stopped after {entries} files; the rest of this folder was not looked at"
+    return paths.unionByName(many.select(F.lit("too_many_entries").alias("problem"), F.lit(sentence).alias("sentence"), "files"))
 
 
 def folder_plan(spark: SparkSession, roots: str | list[str], profile: str = "desktop", *, entries: int = MOST_ENTRIES, depth: int = MOST_DEPTH) -> DataFrame:
-    """path, name, bytes, format, width, height, verdict, error of the first ``entries`` files by path below the roots.
+    """path, name, bytes, format, width, height, verdict, error, bytes_read of the first ``entries`` files by path below the roots.
 
-    Sizes are listed without reading. Only what is listed as a picture, and is not too large, is read, for
-    its format and its header's size; ``error`` says which limit that size breaks, before any pixel is decoded.
+    Files are listed without being opened. Only what the plan keeps, is named as a picture and is not too large is opened, for
+    the 4,096 bytes that say its format and size; ``error`` says which limit that size breaks, before any pixel is
+    decoded. Files in other stores than mounted folders are read whole for that, as Spark has no ranged read of them.
     """
     roots = [roots] if isinstance(roots, str) else roots
     _, max_bytes, max_pixels, max_side = next(r for r in tables.LIMITS if r[0] == profile)
     decodable = [r[0] for r in tables.FORMATS if r[8]]
     listed = predicates.has_image_extension(F.col("name"))
-    plan = listing(spark, roots).filter(F.col("depth") <= depth).orderBy("path").limit(entries).select("path", "name", "bytes", listed.alias("listed"))
-    heads = header_sizes(files(spark, roots, max_bytes=max_bytes).filter(listed)).select("path", predicates.detect_format(F.substring("content", 1, 64)).alias("format"), "width", "height")
-    plan = plan.join(heads, "path", "left")
+    plan = listing(spark, roots, depth).filter("problem IS NULL").orderBy("path").limit(entries).select("path", "name", "bytes", listed.alias("listed"))
+    if _local(roots):
+        plan = folders.heads(plan.repartition(2 * spark.sparkContext.defaultParallelism), F.col("listed") & (F.col("bytes") <= max_bytes))
+        plan = plan.withColumn("format", predicates.detect_format(F.substring("head", 1, 64))).drop("head")
+    else:
+        heads = header_sizes(files(spark, roots, max_bytes=max_bytes).filter(listed)).select("path", predicates.detect_format(F.substring("content", 1, 64)).alias("format"), "width", "height", F.col("bytes").alias("bytes_read"))
+        plan = plan.join(heads, "path", "left")
     plan = verdicts(plan.withColumn("can_decode", F.coalesce(F.col("format").isin(decodable), F.lit(False))), max_bytes).drop("listed", "can_decode")
     return plan.withColumn("error", F.when(F.col("verdict") == "ready", predicates.header_error(F.col("width"), F.col("height"), F.lit(max_pixels), F.lit(max_side))))
 

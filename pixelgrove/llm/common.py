@@ -59,11 +59,21 @@ def numbered(rows: DataFrame, by: str) -> DataFrame:
     return rows.join(F.broadcast(starts), "part").select(*[c for c in rows.columns if c != "part"], (within + F.col("begin")).alias("place"))
 
 
-def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of so many rows, so that few texts are Python objects at a time."""
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows and about so many bytes at most, so that few texts are held at a time.
+
+    A part larger than that is one row.
+    """
     for b in batches:
         for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+            parts = [b.slice(at, rows)]
+            while parts:
+                part = parts.pop()
+                if part.num_rows > 1 and part.nbytes > size:
+                    half = part.num_rows // 2
+                    parts += [part.slice(half), part.slice(0, half)]
+                else:
+                    yield part
 
 
 def filter_texts(docs: DataFrame, text_col: str, make: Callable[[], Callable[[str | None], bool]]) -> DataFrame:

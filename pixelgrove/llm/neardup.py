@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, id_text, mix, small, table, text_bytes, word_bounds, word_hashes
+from .common import col, cut, id_text, mix, sliced, small, table, text_bytes, word_bounds, word_hashes
 
 _MISS = 1e-12
 #: A value counts as frequent from so many sets on, and so many frequent values are broadcast (9 bytes each).
@@ -86,10 +86,8 @@ class Shingler:
 
 def _slices(batches, shingles: Shingler) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their sets' values in a row, their sets' sizes); the text is the second column."""
-    for b in batches:
-        for at in range(0, b.num_rows, _ROWS):
-            part = b.slice(at, _ROWS)
-            yield part, *shingles.sets(part.column(1))
+    for part in sliced(batches, _ROWS):
+        yield part, *shingles.sets(part.column(1))
 
 
 def _places(sizes: np.ndarray) -> np.ndarray:
@@ -310,17 +308,15 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
 
     def compare(batches):
         shingles, last = Shingler(words), (None, None, None)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                values, sizes = shingles.sets(part.column("tx"))
-                keep, ends = [], np.cumsum(sizes).tolist()
-                for i, (y, e, n) in enumerate(zip(part.column("y").to_pylist(), ends, sizes.tolist(), strict=True)):
-                    text = part.column("ty")[i]
-                    if last[0] != y or last[1] != text:
-                        last = y, text, shingles.sets(part.column("ty").slice(i, 1))[0]
-                    keep.append(linked(values[e - n : e], last[2], percent))
-                yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+        for part in sliced(batches, _ROWS):
+            values, sizes = shingles.sets(part.column("tx"))
+            keep, ends = [], np.cumsum(sizes).tolist()
+            for i, (y, e, n) in enumerate(zip(part.column("y").to_pylist(), ends, sizes.tolist(), strict=True)):
+                text = part.column("ty")[i]
+                if last[0] != y or last[1] != text:
+                    last = y, text, shingles.sets(part.column("ty").slice(i, 1))[0]
+                keep.append(linked(values[e - n : e], last[2], percent))
+            yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.select("x", "y", "tx", "ty").mapInArrow(compare, "x long, y long")
 

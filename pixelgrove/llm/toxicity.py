@@ -52,12 +52,11 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         code, total = _lookup(), np.zeros(_SIZE**3, dtype=np.int64)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                text = " ".join(["", *(t or "" for t in b.column(0).slice(at, 500).to_pylist()), ""])
-                c = code[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 0xFFFF)]
-                if len(c) > 2:
-                    total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
+        for b in sliced(batches):
+            text = " ".join(["", *(t or "" for t in b.column(0).to_pylist()), ""])
+            c = code[np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), dtype=np.uint32), 0xFFFF)]
+            if len(c) > 2:
+                total += np.bincount((c[:-2] * _SIZE + c[1:-1]) * _SIZE + c[2:], minlength=_SIZE**3)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["trigram", "n"])
 

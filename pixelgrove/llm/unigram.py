@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, table
+from .common import id_text, sliced, table
 
 MARK = "▁"
 DEFAULT_MODEL = "piece_bpe_32k.model"
@@ -112,6 +112,10 @@ class DoubleArrayTrie:
         self.base, self.check, self.value = (np.array(a, dtype=np.int32) for a in (base, check, value))
 
 
+#: Characters of chunks that are kept with their results.
+_MOST_HELD = 8_000_000
+
+
 class _Chunks:
     """How a vocabulary lets a text be cut, and the results kept for each chunk.
 
@@ -127,7 +131,7 @@ class _Chunks:
         self.lines = not any("\n" in p for _, p, _ in normal)
         self.prefix = v.dummy_prefix
         self.known: dict[str, object] = {}
-        self.limit = limit
+        self.limit, self.held = limit, 0
 
     def keys(self, text: str | None) -> list[str]:
         if not text:
@@ -146,9 +150,12 @@ class _Chunks:
     def results(self, lists: list[list[str]], make) -> dict:
         """known, with the results of make for all keys of the lists."""
         missing = list({*chain.from_iterable(lists)} - self.known.keys())
-        if len(self.known) + len(missing) > self.limit:
+        if len(self.known) + len(missing) > self.limit or self.held > _MOST_HELD:
             self.known.clear()
+            self.held = 0
             missing = list({*chain.from_iterable(lists)})
+        # Characters kept; what belongs to them is about four times as large.
+        self.held += sum(map(len, missing))
         for at in range(0, len(missing), 50_000):
             part = missing[at : at + 50_000]
             self.known.update(zip(part, make(part), strict=True))
@@ -362,19 +369,17 @@ def encode(docs: DataFrame, model_path: str | None = None, *, id_col: str = "doc
 
     def run(batches):
         encoder = Encoder(vocabulary.value)
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):  # ids are handed on before they pile up
-                part = b.slice(at, 1000)
-                texts = part.column(1).to_pylist()
-                ids = encoder.encode(texts)
-                none = np.array([t is None for t in texts])
-                ends = pa.array(np.cumsum([0] + [len(x) for x in ids]).astype(np.int32), mask=np.append(none, False))
-                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                decoded = [encoder.decode(x) for x in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), lists, pa.array([len(x) for x in ids], pa.int32(), mask=none), pa.array(decoded, pa.string(), mask=none), pa.array([d == t for d, t in zip(decoded, texts, strict=True)], pa.bool_(), mask=none)],
-                    names=["doc_id", path, "n_pieces", "decoded", "round_trip"],
-                )
+        for part in sliced(batches, 1000):  # ids are handed on before they pile up
+            texts = part.column(1).to_pylist()
+            ids = encoder.encode(texts)
+            none = np.array([t is None for t in texts])
+            ends = pa.array(np.cumsum([0] + [len(x) for x in ids]).astype(np.int32), mask=np.append(none, False))
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            decoded = [encoder.decode(x) for x in ids]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), lists, pa.array([len(x) for x in ids], pa.int32(), mask=none), pa.array(decoded, pa.string(), mask=none), pa.array([d == t for d, t in zip(decoded, texts, strict=True)], pa.bool_(), mask=none)],
+                names=["doc_id", path, "n_pieces", "decoded", "round_trip"],
+            )
 
     docs = id_text(docs, id_col, text_col)
     return docs.mapInArrow(run, f"doc_id {docs.schema[0].dataType.simpleString()}, `{path}` array<int>, n_pieces int, decoded string, round_trip boolean")

@@ -25,6 +25,16 @@ ICC_NOTES = {
     "webp": "this build cannot write a colour profile into WebP, so the photo's colours would be attached to nothing. Ask for JPEG or PNG to keep the profile, or turn the option off to convert the photo to sRGB instead",
     "": "this format cannot carry a colour profile. Ask for JPEG or PNG to keep it, or turn the option off to convert the photo to sRGB instead",
 }
+# What is said of a colour space that cannot be converted, by what the profile declares; and of contradicting options.
+UNSUPPORTED = {
+    "CMYK": "this photo is CMYK, and this build cannot convert CMYK",
+    "grayscale": "this photo is tagged as grayscale, which this build cannot convert",
+    "RGB": ("this photo is tagged with an RGB colour space that is neither sRGB nor Display-P3 — Adobe RGB or ProPhoto, most likely — and this build cannot convert it to ", ""),
+    "other": ("this photo's colour profile says it is ", ""),
+    "": "this photo's colour profile is in a space this build cannot name",
+}
+UNSUPPORTED_REST = (" to ", " without an ICC colour-management engine. Re-save the photo as sRGB or Display-P3 — any photo app or print shop will do that — or turn on 'keep the original colour values' to export the pixels unchanged, which means they will look wrong on a screen that is not the source's colour space (", " was the file's colour space)")
+CONFLICT = "'keep the original colour values' and 'carry the colour profile' ask for opposite outputs: one leaves the file untagged, the other writes a profile into it. Pick one — leaving both off converts the photo to sRGB, which is what most exports want"
 # The sentence of a refused animation, around its number of frames.
 REFUSED_ANIMATION = ("This file is an animation of ", " frames, and the format you chose holds one picture, so nothing was written rather than quietly dropping the rest. Choose GIF output to keep every frame, or ask for the first frame only if that is what you want.")
 
@@ -86,3 +96,18 @@ def email_ceiling(target_bytes: Column) -> Column:
 
 def refusal_note(frames: Column) -> Column:
     return F.concat(F.lit(REFUSED_ANIMATION[0]), frames.cast("string"), F.lit(REFUSED_ANIMATION[1]))
+
+
+def conflict_note(keep: Column, embed: Column) -> Column:
+    """What is said where both options are on; else null."""
+    return F.when(keep & embed, CONFLICT)
+
+
+def unsupported_note(source: Column, target: Column, declared: Column) -> Column:
+    """What is said of a colour space without a matrix; ``declared`` is what the profile says it is, null if nothing that has a name."""
+    to, (a, b, c) = label(target), map(F.lit, UNSUPPORTED_REST)
+    space = (
+        F.when(declared.isNull(), UNSUPPORTED[""]).when(declared == "CMYK", UNSUPPORTED["CMYK"]).when(declared == "grayscale", UNSUPPORTED["grayscale"])
+        .when(declared == "RGB", F.concat(F.lit(UNSUPPORTED["RGB"][0]), to)).otherwise(F.concat(F.lit(UNSUPPORTED["other"][0]), declared))
+    )
+    return F.concat(space, a, to, b, label(source), c)

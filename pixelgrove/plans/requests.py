@@ -33,6 +33,16 @@ def colour_decisions(spark, sf_dir):
     return done.groupBy(*done.columns).agg(F.count("*").alias("pictures"))
 
 
+def colour_refusals(spark, sf_dir):
+    """The sentence of every refused request: options that contradict each other, and spaces without a conversion."""
+    declared = F.element_at(F.array(*[F.lit(x) for x in ("CMYK", "grayscale", "RGB", "Lab", None)]), (F.col("w") % 5 + 1).cast("int"))
+    df = _requests(spark, sf_dir).withColumn("declared", declared).groupBy("source", "target", "keep", "embed", "declared").agg(F.count("*").alias("pictures"))
+    keep, embed, source, target = map(F.col, ("keep", "embed", "source", "target"))
+    unknown = ~keep & ~embed & ~c.convertible(source, target)
+    note = F.coalesce(c.conflict_note(keep, embed), F.when(unknown, c.unsupported_note(source, target, F.col("declared"))))
+    return df.withColumn("note", note).filter("note IS NOT NULL").groupBy("note").agg(F.sum("pictures").alias("pictures"))
+
+
 def settings_check(spark, sf_dir):
     """Byte ceilings asked of formats without a quality, with the sentence of each."""
     f = F.broadcast(tables.formats(spark).select("format", "lossless", "supports_icc"))
@@ -61,12 +71,18 @@ def opaque_rasters(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("id").agg(F.every(F.col("v") >= 60).alias("opaque"), (3 * F.count("*")).alias("packed_rgb_len"))
 
 
-QUERIES = {"colour_decisions": colour_decisions, "settings_check": settings_check, "animation_refusals": animation_refusals, "email_search": email_search, "opaque_rasters": opaque_rasters}
+QUERIES = {"colour_decisions": colour_decisions, "colour_refusals": colour_refusals, "settings_check": settings_check, "animation_refusals": animation_refusals, "email_search": email_search, "opaque_rasters": opaque_rasters}
 
 _REQUESTS = f"""{PICTURES}, q AS (SELECT id, n, w, ['untagged', 'srgb', 'display_p3', 'other'][w % 4 + 1] AS source, ['srgb', 'display_p3'][h % 2 + 1] AS target, id % 3 = 0 AS keep, n % 2 = 0 AS embed,
     ['jpeg', 'png', 'webp', 'gif', 'tiff', 'bmp', 'ico', 'avif', 'heic', 'heif'][h % 10 + 1] AS format, CASE WHEN w % 5 < 2 THEN w * h END AS max_bytes FROM pictures)"""
 _NOTES = lambda values: tables.sql_values(list(values.items()))
 SQL = {
+    "colour_refusals": f"""WITH {_REQUESTS}, t AS (SELECT *, ['CMYK', 'grayscale', 'RGB', 'Lab', NULL][w % 5 + 1] AS declared, CASE target WHEN 'srgb' THEN 'sRGB' ELSE 'Display-P3' END AS aim FROM q),
+        m AS (SELECT CASE WHEN keep AND embed THEN $$'keep the original colour values' and 'carry the colour profile' ask for opposite outputs: one leaves the file untagged, the other writes a profile into it. Pick one — leaving both off converts the photo to sRGB, which is what most exports want$$
+        WHEN NOT keep AND NOT embed AND source = 'other' THEN CASE WHEN declared IS NULL THEN $$this photo's colour profile is in a space this build cannot name$$ WHEN declared = 'CMYK' THEN 'this photo is CMYK, and this build cannot convert CMYK'
+        WHEN declared = 'grayscale' THEN 'this photo is tagged as grayscale, which this build cannot convert' WHEN declared = 'RGB' THEN 'this photo is tagged with an RGB colour space that is neither sRGB nor Display-P3 — Adobe RGB or ProPhoto, most likely — and this build cannot convert it to ' || aim
+        ELSE $$this photo's colour profile says it is $$ || declared END || ' to ' || aim || $$ without an ICC colour-management engine. Re-save the photo as sRGB or Display-P3 — any photo app or print shop will do that — or turn on 'keep the original colour values' to export the pixels unchanged, which means they will look wrong on a screen that is not the source's colour space (unrecognised colour space was the file's colour space)$$ END AS note FROM t)
+        SELECT note, count(*) AS pictures FROM m WHERE note IS NOT NULL GROUP BY note""",
     "colour_decisions": f"""WITH {_REQUESTS}, o AS (SELECT source, target, keep, embed, CASE WHEN keep AND embed THEN 'conflicting_options' WHEN keep THEN 'ok' WHEN embed AND (format NOT IN ('jpeg', 'png') OR source = 'untagged') THEN 'colour_profile' WHEN embed THEN 'ok' WHEN source = 'other' THEN 'unsupported_colour_space' ELSE 'ok' END AS outcome FROM q)
         SELECT source, target, keep, embed, outcome, CASE WHEN outcome <> 'ok' THEN NULL WHEN keep OR embed THEN source ELSE target END AS output, outcome = 'ok' AND NOT keep AND NOT embed AND (source = 'display_p3') <> (target = 'display_p3') AS converted,
         CASE source WHEN 'untagged' THEN 'untagged (assumed sRGB)' WHEN 'srgb' THEN 'sRGB' WHEN 'display_p3' THEN 'Display-P3' ELSE 'unrecognised colour space' END AS label, count(*) AS pictures FROM o GROUP BY ALL""",

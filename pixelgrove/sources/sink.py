@@ -3,13 +3,17 @@
     spark.dataSource.register(FileSink)
     unique_names(outcomes).filter("bytes IS NOT NULL").write.format("file_sink").mode("append").save(folder)
 
-Each task writes its own rows; nothing passes through the driver. A file appears under its name only when it is
-whole, so a task that is run again, on another executor too, writes the same files once more.
+Each task attempt writes its own rows to a hidden staging folder beside the results; nothing passes through the
+driver but the attempts' folders and counts. When all tasks are done, the committed attempts' files are moved under their
+names, and a hidden manifest says what came of the job, a line for each file. A job that fails leaves neither files nor
+staging; a task that ran twice leaves its files once.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import shutil
 import uuid
 from dataclasses import dataclass
 
@@ -18,36 +22,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 
+_LIST = ".names"
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: int
     size: int
+    part: str
 
 
 class _Writer(DataSourceWriter):
     def __init__(self, folder: str, names: list[str]):
         self.folder, self.at = folder, (names.index("output_name"), names.index("bytes"))
+        self.job = uuid.uuid4().hex
+        self.staging = os.path.join(folder, f".staging-{self.job}")
 
     def write(self, iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
+        part = os.path.join(self.staging, uuid.uuid4().hex)
+        os.makedirs(part)
         files = size = 0
-        for row in iterator:
-            name, data = (row[i] for i in self.at)
-            if not name or name in (".", "..") or "/" in name or "\\" in name or "\0" in name:
-                raise ValueError(f"not a file name: {name!r}")
-            if data is None:
-                continue
-            part = os.path.join(self.folder, f".{uuid.uuid4().hex}.part")
-            try:
-                with open(part, "wb") as f:
+        with open(os.path.join(part, _LIST), "w", encoding="utf-8") as listed:
+            for row in iterator:
+                name, data = (row[i] for i in self.at)
+                if not name or name in (".", "..", _LIST) or "/" in name or "\\" in name or "\0" in name:
+                    raise ValueError(f"not a file name: {name!r}")
+                if data is None:
+                    continue
+                with open(os.path.join(part, name), "wb") as f:
                     f.write(data)
-                os.replace(part, os.path.join(self.folder, name))
-            except BaseException:
-                if os.path.exists(part):
-                    os.remove(part)
-                raise
-            files, size = files + 1, size + len(data)
-        return Written(files, size)
+                listed.write(json.dumps([name, len(data)]) + "\n")
+                files, size = files + 1, size + len(data)
+        return Written(files, size, part)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        """Moves what the committed attempts wrote; the manifest appears last, so that a folder with it is whole."""
+        os.makedirs(self.folder, exist_ok=True)
+        manifest = os.path.join(self.folder, f".manifest-{self.job}")
+        with open(manifest + ".part", "w", encoding="utf-8") as out:
+            for m in filter(None, messages):
+                with open(os.path.join(m.part, _LIST), encoding="utf-8") as listed:
+                    shutil.copyfileobj(listed, out)
+                os.remove(os.path.join(m.part, _LIST))
+                with os.scandir(m.part) as entries:
+                    for e in entries:
+                        os.replace(e.path, os.path.join(self.folder, e.name))
+        os.replace(manifest + ".part", manifest)
+        shutil.rmtree(self.staging, ignore_errors=True)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        shutil.rmtree(self.staging, ignore_errors=True)
 
 
 class FileSink(DataSource):

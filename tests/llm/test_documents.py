@@ -354,7 +354,7 @@ def test_masked_lm_token_by_token(spark, sf):
 
 
 def test_registered():
-    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 14)]
 
 
 def test_levels_come_from_whole_strings_and_runs_prune(spark):

@@ -5,8 +5,8 @@
 
 Each task attempt writes its own rows to a hidden staging folder beside the results; nothing passes through the
 driver but the attempts' folders and counts. When all tasks are done, the committed attempts' files are moved under their
-names, and a hidden manifest says what came of the job, a line for each file. A job that fails leaves neither files nor
-staging; a task that ran twice leaves its files once.
+names; with the option ``manifest`` a hidden file then says what came of the job, a line for each file. A job that fails
+leaves neither files nor staging; a task that ran twice leaves its files once.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ class Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, folder: str, names: list[str]):
+    def __init__(self, folder: str, names: list[str], manifest: bool = False):
+        self.manifest = manifest
         self.folder, self.at = folder, (names.index("output_name"), names.index("bytes"))
         self.job = uuid.uuid4().hex
         self.staging = os.path.join(folder, f".staging-{self.job}")
@@ -56,10 +57,11 @@ class _Writer(DataSourceWriter):
         return Written(files, size, part)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Moves what the committed attempts wrote; the manifest appears last, so that a folder with it is whole."""
+        """Moves what the committed attempts wrote; a manifest appears last, so that a folder with it is whole."""
         os.makedirs(self.folder, exist_ok=True)
-        manifest = os.path.join(self.folder, f".manifest-{self.job}")
-        with open(manifest + ".part", "w", encoding="utf-8") as out:
+        os.makedirs(self.staging, exist_ok=True)
+        manifest = os.path.join(self.staging, "manifest")
+        with open(manifest, "w", encoding="utf-8") as out:
             for m in filter(None, messages):
                 with open(os.path.join(m.part, _LIST), encoding="utf-8") as listed:
                     shutil.copyfileobj(listed, out)
@@ -67,7 +69,8 @@ class _Writer(DataSourceWriter):
                 with os.scandir(m.part) as entries:
                     for e in entries:
                         os.replace(e.path, os.path.join(self.folder, e.name))
-        os.replace(manifest + ".part", manifest)
+        if self.manifest:
+            os.replace(manifest, os.path.join(self.folder, f".manifest-{self.job}"))
         shutil.rmtree(self.staging, ignore_errors=True)
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -84,7 +87,7 @@ class FileSink(DataSource):
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         if overwrite:
             raise ValueError("a folder is added to, not overwritten")
-        return _Writer(self.options["path"].removeprefix("file://"), schema.fieldNames())
+        return _Writer(self.options["path"].removeprefix("file://"), schema.fieldNames(), str(self.options.get("manifest", "false")).lower() == "true")
 
 
 def unique_names(outcomes: DataFrame, name: str = "output_name", key: str = "path") -> DataFrame:

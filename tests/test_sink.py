@@ -18,7 +18,7 @@ def test_a_job_appears_whole_with_its_manifest(spark, tmp_path):
     spark.dataSource.register(FileSink)
     out = tmp_path / "out"
     for n in (20, 25):  # added to, files of the same name replaced
-        rows(spark, n).write.format("file_sink").mode("append").save(str(out))
+        rows(spark, n).write.format("file_sink").option("manifest", "true").mode("append").save(str(out))
     assert {p.name: p.read_bytes() for p in out.iterdir() if p.name[0] != "."} == {f"f{i}.png": f"data{i}".encode() for i in range(25)}
     hidden = sorted(p.name for p in out.iterdir() if p.name[0] == ".")
     assert len(hidden) == 2 and all(h.startswith(".manifest-") for h in hidden)
@@ -39,7 +39,7 @@ def test_a_failed_job_leaves_nothing(spark, tmp_path):
 
 
 def test_an_attempt_that_ran_twice_counts_once(tmp_path):
-    writer = _Writer(str(tmp_path / "out"), ["output_name", "bytes"])
+    writer = _Writer(str(tmp_path / "out"), ["output_name", "bytes"], True)
     first, again = (writer.write(iter([("a.png", b"1"), ("b.png", b"22"), ("none.png", None)])) for _ in range(2))
     assert os.listdir(tmp_path / "out") == [f".staging-{writer.job}"] and (first.files, first.size) == (2, 3)
     writer.commit([again, None])

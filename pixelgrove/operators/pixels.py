@@ -138,10 +138,10 @@ def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return pixels[:: -1 if down else 1, :: -1 if across else 1]
 
 
-def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Column | str = "triangle", *, crop: tuple[int, int, int, int] | None = None, orientation: Column | None = None) -> DataFrame:
+def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Column | str = "triangle", *, crop: tuple[int, int, int, int] | None = None, orientation: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """images (id, width, height, data: RGBA bytes) cropped, turned and brought to another size, in Arrow batches.
 
-    A raster of the wrong length, and one that the crop (x, y, width, height) runs out of, becomes null.
+    Columns of ``carry`` come along. A raster of the wrong length, and one that the crop (x, y, width, height) runs out of, becomes null.
     """
 
     def one(data: bytes, w: int, h: int, ow: int, oh: int, kind: str, turn: int) -> bytes | None:
@@ -161,9 +161,10 @@ def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Col
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sizes = zip(b["data"], b["width"], b["height"], b["ow"].fillna(0).astype(int), b["oh"].fillna(0).astype(int), b["kernel"], b["turn"], strict=True)
-            yield pd.DataFrame({"id": b["id"], "width": b["ow"], "height": b["oh"], "data": [one(*r) for r in sizes]})
+            yield pd.DataFrame({"id": b["id"], "width": b["ow"], "height": b["oh"], "data": [one(*r) for r in sizes]} | {c: b[c] for c in carry})
 
     kind = images.schema["id"].dataType.simpleString()
+    more = "".join(f", {c} {images.schema[c].dataType.simpleString()}" for c in carry)
     kernel = F.lit(kernel) if isinstance(kernel, str) else kernel
     turn = F.lit(1) if orientation is None else F.coalesce(orientation.cast("int"), F.lit(1))
-    return images.select("id", "width", "height", "data", width.cast("int").alias("ow"), height.cast("int").alias("oh"), kernel.alias("kernel"), turn.alias("turn")).mapInPandas(run, f"id {kind}, width int, height int, data binary")
+    return images.select("id", "width", "height", "data", width.cast("int").alias("ow"), height.cast("int").alias("oh"), kernel.alias("kernel"), turn.alias("turn"), *carry).mapInPandas(run, f"id {kind}, width int, height int, data binary{more}")

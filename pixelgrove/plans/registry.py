@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import batch, notes, pixels, requests, rules, sizes
+from . import animations, batch, notes, pixels, requests, rules, sizes
 
-_MODULES = (sizes, rules, requests, notes, batch, pixels)
+_MODULES = (sizes, rules, requests, notes, batch, pixels, animations)
 
 
 def queries() -> dict:

@@ -107,10 +107,14 @@ def envelope(jobs: DataFrame, batch: str, ordinal: str, size: str, *, files: int
     The running sums are within a batch, and a batch that passes has ``files`` rows at most: what a
     larger one breaks is known from its rows of the lowest ordinals.
     """
-    w = Window.partitionBy(batch).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    n, total = F.count("*").over(w), F.sum(size).over(w)
-    rule = F.when(n > files, "too_many_files").when(F.col(size) > file_bytes, "file_too_large").when(total > total_bytes, "payload_too_large")
-    return jobs.withColumn("rule", rule).groupBy(batch).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"), F.min_by("rule", F.when(F.col("rule").isNotNull(), F.col(ordinal))).alias("violated"), F.min(F.when(F.col("rule").isNotNull(), F.col(ordinal))).alias("at"))
+    by = Window.partitionBy(batch).orderBy(ordinal)
+    # The rank is limited before the shuffle too, so a batch of any size sends a task's first rows only.
+    head = jobs.select(batch, ordinal, size).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= files + 1)
+    total = F.sum(size).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rule = F.when(F.col("rank") > files, "too_many_files").when(F.col(size) > file_bytes, "file_too_large").when(total > total_bytes, "payload_too_large")
+    broken = head.withColumn("rule", rule).filter("rule IS NOT NULL").groupBy(F.col(batch).alias("of")).agg(F.min_by("rule", ordinal).alias("violated"), F.min(ordinal).alias("at"))
+    sums = jobs.groupBy(batch).agg(F.count("*").alias("files"), F.sum(size).alias("bytes"))
+    return sums.join(broken, sums[batch].eqNullSafe(broken["of"]), "left").drop("of")
 
 
 def target_quality(curves: DataFrame, target: int, *, key: str = "id", quality: str = "quality", size: str = "size", low: int = 30, high: int = 95) -> DataFrame:

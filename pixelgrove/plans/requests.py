@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import colour as c
 from ..functions import tables
 from ..operators import batch as b
+from ..sources import documents as d
 from .carriers import PICTURES, pictures, table
 
 _SPACES = ["untagged", "srgb", "display_p3", "other"]
@@ -71,12 +72,49 @@ def opaque_rasters(spark, sf_dir):
     return pixels(spark, sf_dir).groupBy("id").agg(F.every(F.col("v") >= 60).alias("opaque"), (3 * F.count("*")).alias("packed_rgb_len"))
 
 
-QUERIES = {"colour_decisions": colour_decisions, "colour_refusals": colour_refusals, "settings_check": settings_check, "animation_refusals": animation_refusals, "email_search": email_search, "opaque_rasters": opaque_rasters}
+#: A document for each order, with faults by its key: of each kind of field one is left out, null, of another type or beyond its values.
+_SINGLE_JSON = """CASE WHEN o_orderkey % 29 = 0 THEN 'order ' || o_orderkey ELSE '{"pipeline":{"crop":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '{"x":' || (o_orderkey % 7 - 1) || ',"y":0,"width":' || o_custkey || ',"height":9}' END
+    || CASE WHEN o_orderkey % 13 = 0 THEN '' ELSE ',"strip_metadata":' || CASE WHEN o_orderkey % 11 = 0 THEN '1' ELSE 'true' END END || '}' || CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ',"format":"' || CASE o_orderstatus WHEN 'O' THEN 'jpeg' WHEN 'F' THEN 'png' ELSE 'jpg' END || '"' END
+    || CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ',"quality":' || (o_custkey % 270) END || ',"data_base64":"' || CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE 'AAEC' END || '"}' END"""
+_BATCH_JSON = """'{"strip_metadata":true,"format":"png","zoom":1,"files":[' || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE '{"name":"a","bytes":[' || (o_custkey % 280) || ',7]}' || CASE WHEN o_orderkey % 5 = 1 THEN '' ELSE ',{"name":"b' || CASE WHEN o_orderkey % 7 = 0 THEN '"' ELSE '","bytes":[' || o_orderkey % 200 || ']' END || '}' END
+    || CASE WHEN o_orderkey % 5 = 4 THEN ',{"name":"c","bytes":[]}' ELSE '' END END || ']}'"""
+
+
+def request_documents(spark, sf_dir):
+    """A request for each order: taken, or refused by its first bad field."""
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_SINGLE_JSON} AS json")
+    out = d.single_requests(df)
+    return out.groupBy("error", "field", "sentence").agg(F.count("*").alias("requests"), F.sum("request.quality").alias("qualities"), F.sum("request.pipeline.crop.width").alias("widths"), F.sum(F.length("bytes")).alias("bytes"))
+
+
+def batch_documents(spark, sf_dir):
+    """A batch for each order of up to two files: taken whole, or refused."""
+    df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_BATCH_JSON} AS json")
+    verdicts, files = d.batch_requests(df, files=2)
+    sums = files.groupBy("id").agg(F.count("*").alias("passed"), F.sum(F.length("bytes")).alias("length"))
+    return verdicts.join(sums, "id", "left").groupBy("error", "field", F.array_join("unknown", ",").alias("unknown")).agg(F.count("*").alias("batches"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("passed").alias("passed"), F.sum("length").alias("length"))
+
+
+QUERIES = {"colour_decisions": colour_decisions, "colour_refusals": colour_refusals, "settings_check": settings_check, "animation_refusals": animation_refusals, "email_search": email_search, "opaque_rasters": opaque_rasters, "request_documents": request_documents, "batch_documents": batch_documents}
 
 _REQUESTS = f"""{PICTURES}, q AS (SELECT id, n, w, ['untagged', 'srgb', 'display_p3', 'other'][w % 4 + 1] AS source, ['srgb', 'display_p3'][h % 2 + 1] AS target, id % 3 = 0 AS keep, n % 2 = 0 AS embed,
     ['jpeg', 'png', 'webp', 'gif', 'tiff', 'bmp', 'ico', 'avif', 'heic', 'heif'][h % 10 + 1] AS format, CASE WHEN w % 5 < 2 THEN w * h END AS max_bytes FROM pictures)"""
 _NOTES = lambda values: tables.sql_values(list(values.items()))
 SQL = {
+    "request_documents": f"""WITH j AS (SELECT o_orderkey AS id, {_SINGLE_JSON} AS s FROM orders), p AS (SELECT id, CASE WHEN json_valid(s) THEN CAST(s AS JSON) END AS j FROM j),
+        t AS (SELECT id, j, json_type(j, '$.pipeline.crop') = 'OBJECT' AS crop, CAST(j ->> '$.pipeline.crop.x' AS BIGINT) AS x, json_type(j, '$.pipeline.strip_metadata') AS strip, j ->> '$.format' AS format, CAST(j ->> '$.quality' AS BIGINT) AS quality, j ->> '$.data_base64' AS data FROM p),
+        e AS (SELECT *, CASE WHEN j IS NULL THEN ['not_json', '$', 'bad request: this is not JSON'] WHEN crop AND x < 0 THEN ['wrong_type', 'pipeline.crop.x', 'bad request: `pipeline.crop.x` must be a whole number of 0 to 4294967295']
+            WHEN strip IS NULL THEN ['missing', 'pipeline.strip_metadata', 'bad request: missing field `pipeline.strip_metadata`'] WHEN strip <> 'BOOLEAN' THEN ['wrong_type', 'pipeline.strip_metadata', 'bad request: `pipeline.strip_metadata` must be true or false']
+            WHEN format IS NULL THEN ['missing', 'format', 'bad request: missing field `format`'] WHEN format NOT IN ('jpeg', 'png') THEN ['wrong_type', 'format', 'bad request: `format` must be one of jpeg, png, webp, gif, tiff, bmp, ico, avif, heic, heif']
+            WHEN quality > 255 THEN ['wrong_type', 'quality', 'bad request: `quality` must be a whole number of 0 to 255'] WHEN data = '' THEN ['no_data', 'data_base64', 'request contained no image data'] END AS bad FROM t)
+        SELECT bad[1] AS error, bad[2] AS field, bad[3] AS sentence, count(*) AS requests, CAST(sum(CASE WHEN bad IS NULL THEN coalesce(quality, 85) END) AS BIGINT) AS qualities, CAST(sum(CASE WHEN bad IS NULL THEN CAST(j ->> '$.pipeline.crop.width' AS BIGINT) END) AS BIGINT) AS widths,
+        CAST(sum(CASE WHEN bad IS NULL THEN 3 END) AS BIGINT) AS bytes FROM e GROUP BY ALL""",
+    "batch_documents": f"""WITH j AS (SELECT o_orderkey AS id, CAST({_BATCH_JSON} AS JSON) AS j FROM orders), f AS (SELECT id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS file FROM (SELECT id, CAST(j -> '$.files' AS JSON[]) AS l FROM j)),
+        b AS (SELECT id, pos, CASE WHEN (file -> '$.bytes') IS NULL THEN 'missing' WHEN list_max(CAST((file -> '$.bytes') AS BIGINT[])) > 255 THEN 'wrong_type' END AS bad, coalesce(len(CAST((file -> '$.bytes') AS BIGINT[])), 0) AS n FROM f),
+        g AS (SELECT id, count(*) AS files, sum(n) AS bytes, arg_min(bad, pos) FILTER (bad IS NOT NULL) AS bad, min(pos) FILTER (bad IS NOT NULL) AS place FROM b GROUP BY id),
+        v AS (SELECT j.id, coalesce(bad, CASE WHEN files > 2 THEN 'too_many_files' END) AS error, CASE WHEN bad IS NOT NULL THEN 'files[' || place || '].bytes' WHEN files > 2 THEN 'files' END AS field, coalesce(files, 0) AS files, coalesce(bytes, 0) AS bytes FROM j LEFT JOIN g USING (id))
+        SELECT error, field, 'zoom' AS unknown, count(*) AS batches, CAST(sum(files) AS BIGINT) AS files, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(CASE WHEN error IS NULL AND files > 0 THEN files END) AS BIGINT) AS passed,
+        CAST(sum(CASE WHEN error IS NULL AND files > 0 THEN bytes END) AS BIGINT) AS length FROM v GROUP BY ALL""",
     "colour_refusals": f"""WITH {_REQUESTS}, t AS (SELECT *, ['CMYK', 'grayscale', 'RGB', 'Lab', NULL][w % 5 + 1] AS declared, CASE target WHEN 'srgb' THEN 'sRGB' ELSE 'Display-P3' END AS aim FROM q),
         m AS (SELECT CASE WHEN keep AND embed THEN $$'keep the original colour values' and 'carry the colour profile' ask for opposite outputs: one leaves the file untagged, the other writes a profile into it. Pick one — leaving both off converts the photo to sRGB, which is what most exports want$$
         WHEN NOT keep AND NOT embed AND source = 'other' THEN CASE WHEN declared IS NULL THEN $$this photo's colour profile is in a space this build cannot name$$ WHEN declared = 'CMYK' THEN 'this photo is CMYK, and this build cannot convert CMYK'

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tables
-from ..operators.batch import ENVELOPE, envelope
+from ..operators.batch import ENVELOPE
 
 # What fields of a fixed set may hold.
 FITS = ("contain", "cover", "fill", "width", "height")
@@ -41,66 +41,72 @@ BATCH = [
 ]
 
 
-def _at(doc: Column, field: str, kind: str = "variant") -> Column:
-    return F.try_variant_get(doc, f"$.{field}", kind)
-
-
 def _expected(kind) -> str:
     if isinstance(kind, tuple):
         return "one of " + ", ".join(kind)
     return f"a whole number of 0 to {kind}" if isinstance(kind, int) else {_TEXT: "a text", _FLAG: "true or false", _OBJECT: "an object", "list": "a list"}[kind]
 
 
-def _fits(doc: Column, field: str, kind) -> Column:
-    """Whether a field that is there and not null holds what it should; never null."""
-    value = _at(doc, field)
-    if kind == "list":  # its elements are not looked at: a list may hold millions
-        return _at(doc, field, "array<variant>").isNotNull()
-    held = F.schema_of_variant(value)
-    if isinstance(kind, tuple):
-        return (held == "STRING") & F.coalesce(_at(doc, field, "string").isin(list(kind)), F.lit(False))
-    if isinstance(kind, int):
-        return (held == "BIGINT") & F.coalesce(_at(doc, field, "long").between(0, kind), F.lit(False))
-    return held.startswith("OBJECT<") if kind == _OBJECT else held == {_TEXT: "STRING", _FLAG: "BOOLEAN"}[kind]
+def _held(value: Column) -> Column:
+    """The kind of a VARIANT: text, flag, number, object, null, or what else Spark calls it."""
+    kind = F.schema_of_variant(value)
+    names = {"STRING": _TEXT, "BOOLEAN": _FLAG, "BIGINT": "number", "VOID": "null"}
+    return F.when(kind.startswith("OBJECT<"), _OBJECT).otherwise(F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[kind], kind))
 
 
 def _first_error(doc: Column, fields: list[tuple]) -> Column:
-    """struct(error, field, expected) of the first bad field; null if there is none."""
-    found = []
+    """struct(error, field, expected) of the first bad field; null if there is none.
+
+    The fields are an array that one expression walks, so a longer list makes no longer code.
+    """
+    optional = [f for f, _, o in fields if o is OPTIONAL or o is None]
+    rules = F.array(*[
+        F.struct(
+            F.lit(f).alias("field"), F.lit(f.rpartition(".")[0] if f.rpartition(".")[0] in optional else None).cast("string").alias("parent"), F.lit("text" if isinstance(k, tuple) else "number" if isinstance(k, int) else k).alias("kind"),
+            F.lit(k if isinstance(k, int) else None).cast("long").alias("most"), (F.array(*map(F.lit, k)) if isinstance(k, tuple) else F.lit(None).cast("array<string>")).alias("among"),
+            F.lit(o is REQUIRED).alias("required"), F.lit(o is OPTIONAL).alias("optional"), F.lit(_expected(k)).alias("expected"),
+        )
+        for f, k, o in fields
+    ])
+
+    def judged(rule: Column) -> Column:
+        at = lambda name, kind="variant": F.try_variant_get(doc, F.concat(F.lit("$."), rule[name]), kind)
+        value = at("field")
+        held = _held(value)
+        right = (
+            F.when(rule["kind"] == "list", at("field", "array<variant>").isNotNull()).when(held != rule["kind"], False)  # a list may be long: its elements are not looked at
+            .when(rule["kind"] == "number", at("field", "long").between(0, rule["most"])).when(rule["among"].isNotNull(), F.array_contains(rule["among"], at("field", "string"))).otherwise(True)
+        )
+        asked = rule["parent"].isNull() | F.coalesce(_held(at("parent")) == _OBJECT, F.lit(False))
+        error = F.when(value.isNull(), F.when(rule["required"], "missing")).when(~F.coalesce(right, F.lit(False)) & ~(rule["optional"] & F.is_variant_null(value)), "wrong_type")
+        return F.struct(F.when(asked, error).alias("error"), rule["field"].alias("field"), rule["expected"].alias("expected"))
+
+    return F.get(F.filter(F.transform(rules, judged), lambda r: r["error"].isNotNull()), 0)
+
+
+def _type(fields: list[tuple], prefix: str = "") -> str:
+    """The fields as a struct's type; pictures are not among them."""
+    own = [(f.removeprefix(prefix), f, k) for f, k, _ in fields if f.startswith(prefix) and "." not in f.removeprefix(prefix) and k != "list" and f != "data_base64"]
+    names = {_TEXT: "string", _FLAG: "boolean"}
+    return "struct<" + ",".join(f"{n}:" + (_type(fields, f"{f}.") if k == _OBJECT else "bigint" if isinstance(k, int) else "string" if isinstance(k, tuple) else names[k]) for n, f, k in own) + ">"
+
+
+def _filled(raw: Column, fields: list[tuple], prefix: str = "") -> Column:
+    """The read struct with defaults in place of what was left out."""
+    out = []
     for field, kind, otherwise in fields:
-        parent = field.rpartition(".")[0]
-        if any(f == parent and o is OPTIONAL or f == parent and o is None for f, _, o in fields):
-            asked = F.coalesce(F.schema_of_variant(_at(doc, parent)).startswith("OBJECT<"), F.lit(False))
-        else:
-            asked = F.lit(True)
-        value = _at(doc, field)
-        says = lambda e, f=field, k=kind: F.struct(F.lit(e).alias("error"), F.lit(f).alias("field"), F.lit(_expected(k)).alias("expected"))
-        bad = F.when(asked & value.isNull(), says("missing")) if otherwise is REQUIRED else F.when(F.lit(False), says("missing"))
-        wrong = value.isNotNull() & ~_fits(doc, field, kind)
-        found.append(bad.when(asked & (wrong & ~F.is_variant_null(value) if otherwise is OPTIONAL else wrong), says("wrong_type")))
-    return F.coalesce(*found)
-
-
-def _values(doc: Column, fields: list[tuple]) -> Column:
-    """The fields as a struct of nested structs, defaults filled in; pictures are not among them."""
-
-    def built(prefix: str) -> Column:
-        out = []
-        for field, kind, otherwise in fields:
-            parent, _, own = field.rpartition(".")
-            if parent != prefix or kind == "list" or own == "data_base64":
-                continue
-            if kind == _OBJECT:
-                there = F.schema_of_variant(_at(doc, field)).startswith("OBJECT<")
-                out.append((F.when(there, built(field)) if otherwise is OPTIONAL else built(field)).alias(own))
-                continue
-            value = _at(doc, field, "long" if isinstance(kind, int) else "boolean" if kind == _FLAG else "string")
-            if prefix.endswith("policy"):
-                otherwise = True  # a batch without a policy deduplicates and skips
-            out.append((value if otherwise in (REQUIRED, OPTIONAL) else F.coalesce(value, F.lit(otherwise))).alias(own))
-        return F.struct(*out)
-
-    return built("")
+        name = field.removeprefix(prefix)
+        if not field.startswith(prefix) or "." in name or kind == "list" or field == "data_base64":
+            continue
+        value = raw[name]
+        if kind == _OBJECT:
+            built = _filled(value, fields, f"{field}.")
+            out.append((F.when(value.isNotNull(), built) if otherwise is OPTIONAL else built).alias(name))
+            continue
+        if prefix == "policy.":
+            otherwise = True  # a batch without a policy deduplicates and skips
+        out.append((value if otherwise in (REQUIRED, OPTIONAL) else F.coalesce(value, F.lit(otherwise))).alias(name))
+    return F.struct(*out)
 
 
 def _unknown(doc: Column, fields: list[tuple]) -> Column:
@@ -116,7 +122,9 @@ def _checked(df: DataFrame, column: str, fields: list[tuple]) -> DataFrame:
     top = lambda e, x: F.struct(F.lit(e).alias("error"), F.lit("$").alias("field"), F.lit(x).alias("expected"))
     is_object = F.coalesce(F.ltrim(F.col(column)).startswith("{"), F.lit(False))
     bad = F.when(size > MOST_DOCUMENT, top("too_large", "")).when(F.col("doc").isNull(), top("not_json", "")).when(~is_object, top("wrong_type", "an object")).otherwise(_first_error(F.col("doc"), fields))
-    return df.withColumns({"bad": bad, "request": _values(F.col("doc"), fields), "unknown": _unknown(F.col("doc"), fields)})
+    raw = F.try_variant_get("doc", "$", _type(fields))
+    df = df.withColumns({"bad": bad, "raw": raw, "unknown": _unknown(F.col("doc"), fields)})
+    return df.withColumn("request", _filled(F.col("raw"), fields)).drop("raw")
 
 
 def sentence(error: Column, field: Column, expected: Column, size: Column) -> Column:
@@ -134,7 +142,7 @@ def single_requests(df: DataFrame, column: str = "json") -> DataFrame:
     ``strip_metadata`` at the top wins over the pipeline's. Null documents and empty ones are ``not_json``.
     """
     checked = _checked(df, column, SINGLE)
-    text = F.trim(_at(F.col("doc"), "data_base64", "string"))
+    text = F.trim(F.try_variant_get("doc", "$.data_base64", "string"))
     data = F.try_to_binary(text, F.lit("base64"))
     error = F.coalesce("bad.error", F.when(data.isNull(), "not_base64").when(F.length(data) == 0, "no_data"))
     out = checked.withColumns({"bytes": data, "error": error, "field": F.coalesce("bad.field", F.when(error.isNotNull(), "data_base64"))})
@@ -149,38 +157,44 @@ def batch_requests(df: DataFrame, key: str = "id", column: str = "json", *, file
     """(verdicts, files) of documents with many pictures, refused as a whole.
 
     verdicts: key, request, unknown, files, bytes, error, field, sentence. files: key, ordinal, name, bytes of the documents that
-    passed, in their order. A file is an object with a text ``name`` and ``bytes``, a list of whole numbers of 0 to 255; the
-    first that is not, and then the first that breaks the envelope, refuses its document. Keys must be distinct.
+    passed, in their order. A file is an object with a text ``name`` and ``bytes``, a list of whole numbers of 0 to 255. Files
+    are read in order, and the first that is none or breaks the envelope refuses its document. A document is one row
+    throughout: nothing is shuffled, and keys may repeat.
     """
-    checked = _checked(df.select(key, column), column, BATCH).withColumn("size", F.octet_length(column))
-    each = checked.filter("bad IS NULL").select(key, F.posexplode(_at(F.col("doc"), "files", "array<variant>")).alias("ordinal", "file"))
-    name, listed = _at(F.col("file"), "name"), _at(F.col("file"), "bytes", "string")
-    # Of whole numbers alone: nothing but digits and commas within one pair of brackets.
-    plain = listed.startswith("[") & ~F.translate(F.substring(listed, 2, 1 << 30), "0123456789,", "").contains("[") & ~listed.rlike(r"[^0-9,\[\]]")
-    each = each.withColumns({"name": F.when(F.schema_of_variant(name) == "STRING", _at(F.col("file"), "name", "string")), "numbers": F.when(plain, F.from_json(listed, "array<int>"))})
-    small = ~F.exists(F.coalesce("numbers", F.array().cast("array<int>")), lambda v: F.coalesce(v > 255, F.lit(True)))
-    place = F.concat(F.lit("files["), F.col("ordinal").cast("string"), F.lit("]"))
-    wrong = lambda e, f, x: F.struct(F.lit(e).alias("error"), F.concat(place, F.lit(f)).alias("field"), F.lit(x).alias("expected"))
-    no_object = ~F.coalesce(F.schema_of_variant("file").startswith("OBJECT<"), F.lit(False))
-    bad = (
-        F.when(no_object, wrong("wrong_type", "", "an object")).when(name.isNull(), wrong("missing", ".name", "")).when(F.col("name").isNull(), wrong("wrong_type", ".name", "a text"))
-        .when(_at(F.col("file"), "bytes").isNull(), wrong("missing", ".bytes", "")).when(F.col("numbers").isNull() | ~small, wrong("wrong_type", ".bytes", "a list of whole numbers of 0 to 255"))
-    )
-    each = each.withColumns({"bad_file": bad, "length": F.coalesce(F.size("numbers"), F.lit(0)).cast("long")})
-    broken = each.filter("bad_file IS NOT NULL").groupBy(key).agg(F.min(F.struct("ordinal", "bad_file")).alias("first"))
-    limits = envelope(each.select(key, "ordinal", "length"), key, "ordinal", "length", files=files, file_bytes=file_bytes, total_bytes=total_bytes)
-    named = limits.join(each.select(key, F.col("ordinal").alias("at"), F.col("name").alias("at_name"), F.col("length").alias("at_bytes")), [key, "at"], "left").drop("at")
-    out = checked.drop("doc", column).join(broken, key, "left").join(named, key, "left")
-    error = F.coalesce("bad.error", "first.bad_file.error", "violated")
-    shown = lambda c: F.coalesce(f"bad.{c}", f"first.bad_file.{c}")
+    checked = _checked(df.select(key, column), column, BATCH)
+
+    def read(file: Column, k: Column) -> Column:
+        name, listed = F.try_variant_get(file, "$.name", "variant"), F.try_variant_get(file, "$.bytes", "string")
+        # Of whole numbers alone: nothing but digits and commas within one pair of brackets.
+        plain = listed.startswith("[") & (F.length(F.translate(listed, "0123456789,", "")) == 2)
+        numbers = F.when(plain, F.from_json(listed, "array<int>"))
+        right = numbers.isNotNull() & ~F.exists(numbers, lambda v: F.coalesce(v > 255, F.lit(True)))
+        wrong = lambda e, f, x: F.struct(F.lit(e).alias("error"), F.concat(F.lit("files["), k.cast("string"), F.lit("]" + f)).alias("field"), F.lit(x).alias("expected"))
+        bad = (
+            F.when(~F.coalesce(_held(file) == _OBJECT, F.lit(False)), wrong("wrong_type", "", "an object")).when(name.isNull(), wrong("missing", ".name", "")).when(_held(name) != _TEXT, wrong("wrong_type", ".name", "a text"))
+            .when(listed.isNull() & F.try_variant_get(file, "$.bytes", "variant").isNull(), wrong("missing", ".bytes", "")).when(~F.coalesce(right, F.lit(False)), wrong("wrong_type", ".bytes", "a list of whole numbers of 0 to 255"))
+        )
+        return F.struct(k.alias("ordinal"), F.try_variant_get(file, "$.name", "string").alias("name"), numbers.alias("numbers"), bad.alias("bad"))
+
+    def judged(state: Column, file: Column) -> Column:
+        size = F.coalesce(F.size(file["numbers"]), F.lit(0)).cast("long")
+        total = state["total"] + size
+        rule = F.when(file["ordinal"] >= files, "too_many_files").when(size > file_bytes, "file_too_large").when(total > total_bytes, "payload_too_large")
+        broken = F.when(rule.isNotNull(), F.struct(rule.alias("error"), F.lit("files").alias("field"), F.concat(file["name"], F.lit(" is "), size.cast("string")).alias("expected")))
+        return F.struct(total.alias("total"), F.coalesce(state["bad"], file["bad"], broken).alias("bad"))
+
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("struct<error:string,field:string,expected:string>").alias("bad"))
+    out = checked.withColumn("list", F.transform(F.when(F.col("bad").isNull(), F.try_variant_get("doc", "$.files", "array<variant>")), read)).withColumn("end", F.aggregate("list", start, judged))
+    out = out.withColumn("bad", F.coalesce("bad", "end.bad"))
+    error, field, expected = F.col("bad.error"), F.col("bad.field"), F.col("bad.expected")
     says = (
-        F.when(F.col("error") == "too_many_files", f"this request carries more than {files} files; export them in smaller groups")
-        .when(F.col("error") == "file_too_large", F.concat("at_name", F.lit(" is "), F.col("at_bytes").cast("string"), F.lit(f" bytes and one file in a request may be at most {file_bytes} bytes")))
-        .when(F.col("error") == "payload_too_large", f"the files in this request add up to more than {total_bytes} bytes; export them in smaller groups")
-        .otherwise(sentence(F.col("error"), F.col("field"), F.col("expected"), F.col("size")))
+        F.when(error == "too_many_files", f"this request carries more than {files} files; export them in smaller groups")
+        .when(error == "file_too_large", F.concat(expected, F.lit(f" bytes and one file in a request may be at most {file_bytes} bytes")))
+        .when(error == "payload_too_large", f"the files in this request add up to more than {total_bytes} bytes; export them in smaller groups")
+        .otherwise(sentence(error, field, expected, F.octet_length(column)))
     )
-    out = out.withColumns({"error": error, "field": F.coalesce(shown("field"), F.when(F.col("violated").isNotNull(), "files")), "expected": shown("expected")})
-    verdicts = out.select(key, F.when(F.col("error").isNull(), F.col("request")).alias("request"), "unknown", F.coalesce("files", F.lit(0)).cast("long").alias("files"), F.coalesce("bytes", F.lit(0)).cast("long").alias("bytes"), "error", "field", says.alias("sentence"))
-    data = F.unhex(F.array_join(F.transform("numbers", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
-    passed = each.join(verdicts.filter("error IS NULL").select(key), key, "left_semi").select(key, "ordinal", "name", data.alias("bytes"))
-    return verdicts, passed
+    ok = F.col("bad").isNull()
+    verdicts = out.select(key, F.when(ok, F.col("request")).alias("request"), "unknown", F.coalesce(F.size("list"), F.lit(0)).cast("long").alias("files"), F.coalesce("end.total", F.lit(0)).alias("bytes"), error.alias("error"), field.alias("field"), says.alias("sentence"))
+    each = out.filter(ok).select(key, F.explode("list").alias("file"))
+    data = F.unhex(F.array_join(F.transform("file.numbers", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return verdicts, each.select(key, "file.ordinal", "file.name", data.alias("bytes"))

@@ -168,3 +168,36 @@ def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Col
     kernel = F.lit(kernel) if isinstance(kernel, str) else kernel
     turn = F.lit(1) if orientation is None else F.coalesce(orientation.cast("int"), F.lit(1))
     return images.select("id", "width", "height", "data", width.cast("int").alias("ow"), height.cast("int").alias("oh"), kernel.alias("kernel"), turn.alias("turn"), *carry).mapInPandas(run, f"id {kind}, width int, height int, data binary{more}")
+
+
+# Luma in thousandths of red, green and blue; what chroma is divided by, in thousandths.
+LUMA, BLUE, RED = (299, 587, 114), 1772, 1402
+
+
+def subsample_chroma(pixels: DataFrame, level: str) -> DataFrame:
+    """pixels (id, y, x, r, g, b) as they come back from a file whose chroma is stored at ``level``: 4:4:4, 4:2:2 or 4:2:0.
+
+    Brightness stays at every place. Blueness and redness are averaged over blocks of one by one, two by one or two by two
+    places (fewer at an edge), rounded to a byte, and spread over their block again. Averages are of whole numbers, so
+    they do not depend on the order of rows. A picture meets its blocks by (id, block), never as one group.
+    """
+    label = {"luma444": (1, 1), "luma422": (2, 1), "luma420": (2, 2)}
+    wide, high = label[level]
+    luma = sum((F.lit(k) * F.col(c).cast("long") for k, c in zip(LUMA, "rgb", strict=True)), F.lit(0))
+    whole = pixels.select("id", "y", "x", "r", "g", "b").withColumns({"luma": luma, "bx": F.floor(F.col("x") / wide), "by": F.floor(F.col("y") / high)})
+    block = ["id", "by", "bx"]
+    stored = lambda c, by: F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + F.sum(1000 * F.col(c).cast("long") - F.col("luma")) / (F.count("*") * by))))
+    planes = whole.groupBy(*block).agg(stored("b", BLUE).alias("blue"), stored("r", RED).alias("red"))
+    back = whole.join(planes, block)
+    y, blue, red = F.col("luma") / 1000.0, F.col("blue") - 128, F.col("red") - 128
+    byte = lambda c: F.round(F.least(F.lit(255.0), F.greatest(F.lit(0.0), c)))
+    r, b = y + red * (RED / 1000), y + blue * (BLUE / 1000)
+    g = y - (blue * (BLUE * LUMA[2]) + red * (RED * LUMA[0])) / (1000.0 * LUMA[1])
+    return back.select("id", "y", "x", byte(r).alias("r"), byte(g).alias("g"), byte(b).alias("b"))
+
+
+def chroma_error(a: DataFrame, b: DataFrame) -> DataFrame:
+    """id, chroma_error: the mean of how far the blueness of two pictures (id, y, x, r, g, b), blue less the mean of the three, differs."""
+    of = lambda t: 3 * F.col(f"{t}.b") - F.col(f"{t}.r") - F.col(f"{t}.g") - F.col(f"{t}.b")
+    both = a.alias("a").join(b.alias("b"), ["id", "y", "x"])
+    return both.groupBy("id").agg((F.sum(F.abs(of("a") - of("b"))) / (3 * F.count("*"))).alias("chroma_error"))

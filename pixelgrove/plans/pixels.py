@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import pixels as p
-from .carriers import PIXELS, pixels
+from .carriers import PIXELS, pixels, table
 
 KERNELS = ("triangle", "lanczos3", "catmull_rom", "gaussian", "nearest")
 
@@ -68,7 +68,16 @@ def image_diff(spark, sf_dir):
     return d.select("id", "worst", F.round("mean", 6).alias("mean"))
 
 
-QUERIES = {f"resample_{k}": _resample(k) for k in KERNELS} | {"orient_8": orient_8, "crop_rasters": crop_rasters, "flatten_alpha": flatten_alpha, "srgb_to_p3": srgb_to_p3, "image_diff": image_diff}
+def chroma_levels(spark, sf_dir):
+    """How far each level's chroma lies from the picture's: each embedding as a raster whose green and blue are its neighbours' values."""
+    v = lambda k: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.round(128 + F.element_at("embedding", ((F.col("p") + k) % 64 + 1).cast("int")).cast("double") * 200)))
+    flat = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("p"))
+    rgb = flat.select("id", F.floor(F.col("p") / 8).cast("int").alias("y"), (F.col("p") % 8).alias("x"), v(0).alias("r"), v(1).alias("g"), v(9).alias("b"))
+    out = [p.chroma_error(rgb, p.subsample_chroma(rgb, level)).select("id", F.lit(level).alias("level"), F.round("chroma_error", 6).alias("chroma_error")) for level in ("luma444", "luma422", "luma420")]
+    return out[0].union(out[1]).union(out[2])
+
+
+QUERIES = {f"resample_{k}": _resample(k) for k in KERNELS} | {"orient_8": orient_8, "crop_rasters": crop_rasters, "flatten_alpha": flatten_alpha, "srgb_to_p3": srgb_to_p3, "image_diff": image_diff, "chroma_levels": chroma_levels}
 
 _TURN = "CASE id % 8 + 1 WHEN 2 THEN {0} WHEN 3 THEN {1} WHEN 4 THEN {2} WHEN 5 THEN {3} WHEN 6 THEN {4} WHEN 7 THEN {5} WHEN 8 THEN {6} ELSE {7} END"
 _LIN = lambda c: f"CASE WHEN {c} / 255e0 <= 0.04045e0 THEN {c} / 255e0 / 12.92e0 ELSE pow(({c} / 255e0 + 0.055e0) / 1.055e0, 2.4e0) END"
@@ -78,6 +87,15 @@ _FROM_XYZ = [["446124/178915e0", "-333277/357830e0", "-72051/178915e0"], ["-1485
 _M = [[" + ".join(f"({f}) * ({_TO_XYZ[k][j]})" for k, f in enumerate(row)) for j in range(3)] for row in _FROM_XYZ]
 _ENC = lambda row: "CASE WHEN {0} <= 0.0031308e0 THEN {0} * 12.92e0 ELSE 1.055e0 * pow({0}, 1e0 / 2.4e0) - 0.055e0 END".format("least(1e0, greatest(0e0, " + " + ".join(f"({m}) * {c}" for m, c in zip(row, ("lr", "lg", "lb"), strict=True)) + "))")
 SQL = {f"resample_{k}": _resample_sql(k) for k in KERNELS} | {
+    "chroma_levels": """WITH e AS (SELECT vec_id AS id, embedding, unnest(range(64)) AS p FROM embeddings),
+        c AS (SELECT id, p, k.range AS k, greatest(0e0, least(255e0, round(128e0 + CAST(embedding[(p + [0, 1, 9][k.range + 1]) % 64 + 1] AS DOUBLE) * 200e0))) AS v FROM e CROSS JOIN range(3) k),
+        px AS (SELECT id, p // 8 AS y, p % 8 AS x, max(v) FILTER (k = 0) AS r, max(v) FILTER (k = 1) AS g, max(v) FILTER (k = 2) AS b FROM c GROUP BY id, p),
+        l(level, wide, high) AS (VALUES ('luma444', 1, 1), ('luma422', 2, 1), ('luma420', 2, 2)),
+        n AS (SELECT *, (299 * r + 587 * g + 114 * b) / 1000e0 AS lum FROM px, l),
+        s AS (SELECT *, round(least(255e0, greatest(0e0, 128 + sum(1000 * b - (299 * r + 587 * g + 114 * b)) OVER w / (count(*) OVER w * 1772)))) - 128 AS cb, round(least(255e0, greatest(0e0, 128 + sum(1000 * r - (299 * r + 587 * g + 114 * b)) OVER w / (count(*) OVER w * 1402)))) - 128 AS cr
+            FROM n WINDOW w AS (PARTITION BY id, level, y // high, x // wide)),
+        q AS (SELECT id, level, r, g, b, round(least(255e0, greatest(0e0, lum + cr * 1.402e0))) AS r2, round(least(255e0, greatest(0e0, lum - (cb * 202008 + cr * 419198) / 587000e0))) AS g2, round(least(255e0, greatest(0e0, lum + cb * 1.772e0))) AS b2 FROM s)
+        SELECT id, level, round(avg(abs(b2 - (r2 + g2 + b2) / 3 - (b - (r + g + b) / 3))), 6) AS chroma_error FROM q GROUP BY id, level""",
     "orient_8": f"WITH {PIXELS} SELECT id, {_TURN.format('y', '7 - y', '7 - y', 'x', 'x', '7 - x', '7 - x', 'y')} AS y, {_TURN.format('7 - x', '7 - x', 'x', 'y', '7 - y', '7 - y', 'y', 'x')} AS x, v FROM pixels",
     "crop_rasters": f"WITH {PIXELS} SELECT id, y - 1 AS y, x - 2 AS x, v FROM pixels WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 5",
     "flatten_alpha": f"WITH {PIXELS} SELECT id, y, x, round(v * (x * 36 / 255e0) + 255e0 * (1 - x * 36 / 255e0)) AS v FROM pixels",

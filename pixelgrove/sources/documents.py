@@ -47,41 +47,40 @@ def _expected(kind) -> str:
     return f"a whole number of 0 to {kind}" if isinstance(kind, int) else {_TEXT: "a text", _FLAG: "true or false", _OBJECT: "an object", "list": "a list"}[kind]
 
 
-def _held(value: Column) -> Column:
-    """The kind of a VARIANT: text, flag, number, object, null, or what else Spark calls it."""
-    kind = F.schema_of_variant(value)
-    names = {"STRING": _TEXT, "BOOLEAN": _FLAG, "BIGINT": "number", "VOID": "null"}
-    return F.when(kind.startswith("OBJECT<"), _OBJECT).otherwise(F.coalesce(F.create_map(*[F.lit(x) for pair in names.items() for x in pair])[kind], kind))
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
 
 
 def _first_error(doc: Column, fields: list[tuple]) -> Column:
     """struct(error, field, expected) of the first bad field; null if there is none.
 
-    The fields are an array that one expression walks, so a longer list makes no longer code.
+    The fields are an array that one expression walks, so a longer list makes no longer code; each value is taken out once.
     """
     optional = [f for f, _, o in fields if o is OPTIONAL or o is None]
+    held_as = {_TEXT: "STRING", _FLAG: "BOOLEAN", _OBJECT: "OBJECT<", "list": "ARRAY<"}
     rules = F.array(*[
         F.struct(
-            F.lit(f).alias("field"), F.lit(f.rpartition(".")[0] if f.rpartition(".")[0] in optional else None).cast("string").alias("parent"), F.lit("text" if isinstance(k, tuple) else "number" if isinstance(k, int) else k).alias("kind"),
-            F.lit(k if isinstance(k, int) else None).cast("long").alias("most"), (F.array(*map(F.lit, k)) if isinstance(k, tuple) else F.lit(None).cast("array<string>")).alias("among"),
-            F.lit(o is REQUIRED).alias("required"), F.lit(o is OPTIONAL).alias("optional"), F.lit(_expected(k)).alias("expected"),
+            F.lit(f).alias("field"), F.lit(f"$.{f}").alias("path"), F.lit("$." + f.rpartition(".")[0] if f.rpartition(".")[0] in optional else None).cast("string").alias("parent"),
+            F.lit("STRING" if isinstance(k, tuple) else "BIGINT" if isinstance(k, int) else held_as[k]).alias("kind"), F.lit(k if isinstance(k, int) else None).cast("long").alias("most"),
+            (F.array(*map(F.lit, k)) if isinstance(k, tuple) else F.lit(None).cast("array<string>")).alias("among"), F.lit(o is REQUIRED).alias("required"), F.lit(o is OPTIONAL).alias("optional"), F.lit(_expected(k)).alias("expected"),
         )
         for f, k, o in fields
     ])
+    taken = F.transform(rules, lambda r: F.struct(r.alias("rule"), F.try_variant_get(doc, r["path"], "variant").alias("value")))
+    # A list may be long: its elements are not looked at.
+    kind = lambda v: F.when(v["rule"]["kind"] != "ARRAY<", F.schema_of_variant(v["value"])).when(F.try_variant_get(v["value"], "$", "array<variant>").isNotNull(), "ARRAY<").when(v["value"].isNotNull(), "")
+    known = F.transform(taken, lambda v: F.struct(v["rule"].alias("rule"), v["value"].alias("value"), kind(v).alias("held")))
 
-    def judged(rule: Column) -> Column:
-        at = lambda name, kind="variant": F.try_variant_get(doc, F.concat(F.lit("$."), rule[name]), kind)
-        value = at("field")
-        held = _held(value)
-        right = (
-            F.when(rule["kind"] == "list", at("field", "array<variant>").isNotNull()).when(held != rule["kind"], False)  # a list may be long: its elements are not looked at
-            .when(rule["kind"] == "number", at("field", "long").between(0, rule["most"])).when(rule["among"].isNotNull(), F.array_contains(rule["among"], at("field", "string"))).otherwise(True)
-        )
-        asked = rule["parent"].isNull() | F.coalesce(_held(at("parent")) == _OBJECT, F.lit(False))
-        error = F.when(value.isNull(), F.when(rule["required"], "missing")).when(~F.coalesce(right, F.lit(False)) & ~(rule["optional"] & F.is_variant_null(value)), "wrong_type")
-        return F.struct(F.when(asked, error).alias("error"), rule["field"].alias("field"), rule["expected"].alias("expected"))
+    def bad(v: Column) -> Column:
+        rule, held = v["rule"], v["held"]
+        number, text = F.try_variant_get(v["value"], "$", "long"), F.try_variant_get(v["value"], "$", "string")
+        right = F.when(~held.startswith(rule["kind"]), rule["optional"] & (held == "VOID")).when(rule["most"].isNotNull(), number.between(0, rule["most"])).when(rule["among"].isNotNull(), F.array_contains(rule["among"], text)).otherwise(True)
+        wrong = F.when(held.isNull(), rule["required"]).otherwise(~right)
+        return wrong & (rule["parent"].isNull() | _is_object(F.try_variant_get(doc, rule["parent"], "variant")))
 
-    return F.get(F.filter(F.transform(rules, judged), lambda r: r["error"].isNotNull()), 0)
+    first = F.get(F.filter(known, bad), 0)
+    shown = F.transform(F.array(first), lambda v: F.when(v.isNotNull(), F.struct(F.when(v["held"].isNull(), "missing").otherwise("wrong_type").alias("error"), v["rule"]["field"].alias("field"), v["rule"]["expected"].alias("expected"))))
+    return F.get(shown, 0)
 
 
 def _type(fields: list[tuple], prefix: str = "") -> str:
@@ -171,7 +170,7 @@ def batch_requests(df: DataFrame, key: str = "id", column: str = "json", *, file
         right = numbers.isNotNull() & ~F.exists(numbers, lambda v: F.coalesce(v > 255, F.lit(True)))
         wrong = lambda e, f, x: F.struct(F.lit(e).alias("error"), F.concat(F.lit("files["), k.cast("string"), F.lit("]" + f)).alias("field"), F.lit(x).alias("expected"))
         bad = (
-            F.when(~F.coalesce(_held(file) == _OBJECT, F.lit(False)), wrong("wrong_type", "", "an object")).when(name.isNull(), wrong("missing", ".name", "")).when(_held(name) != _TEXT, wrong("wrong_type", ".name", "a text"))
+            F.when(~_is_object(file), wrong("wrong_type", "", "an object")).when(name.isNull(), wrong("missing", ".name", "")).when(F.schema_of_variant(name) != "STRING", wrong("wrong_type", ".name", "a text"))
             .when(listed.isNull() & F.try_variant_get(file, "$.bytes", "variant").isNull(), wrong("missing", ".bytes", "")).when(~F.coalesce(right, F.lit(False)), wrong("wrong_type", ".bytes", "a list of whole numbers of 0 to 255"))
         )
         return F.struct(k.alias("ordinal"), F.try_variant_get(file, "$.name", "string").alias("name"), numbers.alias("numbers"), bad.alias("bad"))

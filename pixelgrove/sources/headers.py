@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import heif
+
 
 def _segments(data: bytes):
     """(marker, payload start, payload end) of a JPEG's segments up to its scan."""
@@ -21,7 +23,7 @@ def _segments(data: bytes):
 
 
 def header_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height by the header of PNG, GIF, BMP, JPEG, ICO or WebP; None if it is not there."""
+    """Width and height by the header of PNG, GIF, BMP, JPEG, ICO, WebP or HEIF; None if it is not there."""
     try:
         if data[:8] == b"\x89PNG\r\n\x1a\n":
             return struct.unpack_from(">II", data, 16)
@@ -46,6 +48,9 @@ def header_size(data: bytes) -> tuple[int, int] | None:
             if data[12:16] == b"VP8L":
                 bits = struct.unpack_from("<I", data, 21)[0]
                 return 1 + (bits & 0x3FFF), 1 + (bits >> 14 & 0x3FFF)
+        if data[4:8] == b"ftyp":
+            found = heif.header(data)
+            return (found["width"], found["height"]) if found["width"] is not None else None
     except (struct.error, IndexError):
         pass
     return None

@@ -5,50 +5,26 @@ Each helper reads one header; Spark spreads the files, in Arrow batches.
 
 from __future__ import annotations
 
-import struct
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry, predicates, tables
-from .headers import _segments, header_size
+from . import exif
+from .exif import GPS_TAGS, KINDS, TAGS  # noqa: F401
+from .headers import header_size, header_sizes
 from .images import gif_frames
 
-# Tags of EXIF by number.
-TAGS = {0x010F: "Make", 0x0110: "Model", 0x0112: "Orientation", 0x0132: "DateTime", 0x013B: "Artist", 0x8298: "Copyright", 0x9003: "DateTimeOriginal", 0x927C: "MakerNote", 0xA430: "CameraOwnerName", 0xA431: "BodySerialNumber", 0xA432: "LensSpecification", 0xA433: "LensMake", 0xA434: "LensModel", 0xA435: "LensSerialNumber", 0x8769: "ExifPointer", 0x8825: "GPSPointer"}
-GPS_TAGS = {1: "GPSLatitudeRef", 2: "GPSLatitude", 3: "GPSLongitudeRef", 4: "GPSLongitude", 6: "GPSAltitude"}
-_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
+_SIZES = {kind: size for kind, (_, size) in KINDS.items()}
 
 
 def exif_fields(data: bytes) -> dict[str, str]:
-    """Tag names and values as text of a JPEG's EXIF block; empty if there is none or it is damaged."""
-    for marker, a, b in _segments(data) if data[:2] == b"\xff\xd8" else ():
-        if marker == 0xE1 and data[a : a + 6] == b"Exif\0\0":
-            tiff, out = data[a + 6 : b], {}
-            order = {b"II": "<", b"MM": ">"}.get(tiff[:2])
-            if order:
-                try:
-                    _directory(tiff, order, struct.unpack_from(order + "I", tiff, 4)[0], TAGS, out, 0)
-                except struct.error:
-                    pass
-            return out
-    return {}
-
-
-def _directory(tiff: bytes, order: str, at: int, names: dict[int, str], out: dict[str, str], depth: int) -> None:
-    for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
-        tag, kind, count = struct.unpack_from(order + "HHI", tiff, at + 2 + 12 * k)
-        place, size = at + 10 + 12 * k, _SIZES.get(kind, 1) * count
-        if size > 4:
-            place = struct.unpack_from(order + "I", tiff, place)[0]
-        name = names.get(tag)
-        if name in ("ExifPointer", "GPSPointer") and depth < 2:
-            _directory(tiff, order, struct.unpack_from(order + "I", tiff, place)[0], GPS_TAGS if name == "GPSPointer" else TAGS, out, depth + 1)
-        elif name and kind in (3, 4) and count:
-            out[name] = str(struct.unpack_from(order + ("H" if kind == 3 else "I"), tiff, place)[0])
-        elif name:
-            out[name] = tiff[place : place + size].split(b"\0")[0].decode("utf-8", "replace") if kind == 2 else f"{size} bytes"
+    """Tag names and values as text of a file's EXIF block, of equal names the last; empty if there is none or it is damaged."""
+    try:
+        tiff = exif.block(data)
+        return {tag: value for _, _, tag, value in (exif.entries(tiff) if tiff else ())}
+    except ValueError:
+        return {}
 
 
 def with_header(df: DataFrame, content: str = "content") -> DataFrame:
@@ -62,22 +38,14 @@ def with_header(df: DataFrame, content: str = "content") -> DataFrame:
     return df.withColumn("__head", read(content)).select("*", "__head.width", "__head.height", "__head.exif").drop("__head")
 
 
-def camera(exif: Column) -> Column:
-    """Make and model, the make left out where the model says it."""
-    make, model = F.trim(F.coalesce(exif["Make"], F.lit(""))), F.trim(F.coalesce(exif["Model"], F.lit("")))
-    both = F.when(model.contains(make), model).otherwise(F.trim(F.concat_ws(" ", make, model)))
-    return F.when(both != "", both)
-
-
 def validate(df: DataFrame, profile: str = "desktop", content: str = "content") -> DataFrame:
-    """df with format, width, height, megapixels, error, frames, truncated, orientation, camera, captured_at, has_gps and sensitive_tags."""
+    """df with format, width, height, megapixels, error, frames, truncated, orientation, camera, captured_at, has_gps and sensitive_tags; a damaged EXIF block says nothing."""
     _, max_bytes, max_pixels, max_side = next(r for r in tables.LIMITS if r[0] == profile)
-    read = gif_frames(with_header(df, content), content).withColumn("format", predicates.detect_format(F.substring(content, 1, 64)))
-    e, w, h = F.col("exif"), F.col("width"), F.col("height")
+    read = gif_frames(exif.with_exif(header_sizes(df, content), content), content).withColumn("format", predicates.detect_format(F.substring(content, 1, 64)))
+    w, h, found = F.col("width"), F.col("height"), exif.summary(F.col("exif.entries"))
     error = F.when(F.octet_length(content) > max_bytes, "input_too_large").when(F.col("format").isNull(), "unknown_format").otherwise(predicates.header_error(w, h, F.lit(max_pixels), F.lit(max_side)))
     is_gif = F.col("format") == "gif"
-    tags = F.array_sort(F.filter(F.map_keys(e), predicates.is_sensitive))
     return read.select(
         *df.columns, "format", "width", "height", geometry.megapixels(w, h).alias("megapixels"), error.alias("error"), F.when(is_gif, F.col("frames")).otherwise(1).alias("frames"), F.when(is_gif, F.col("truncated")).otherwise(False).alias("truncated"),
-        (F.size(e) > 0).alias("has_exif"), F.try_to_number(e["Orientation"], F.lit("99999")).cast("int").alias("orientation"), camera(e).alias("camera"), F.coalesce(e["DateTimeOriginal"], e["DateTime"]).alias("captured_at"), (F.size(F.filter(F.map_keys(e), lambda k: k.startswith("GPS"))) > 0).alias("has_gps"), tags.alias("sensitive_tags"),
+        *[c.alias(n) for n, c in found.items()],
     )

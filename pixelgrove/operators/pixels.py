@@ -138,6 +138,19 @@ def upright(pixels: np.ndarray, orientation: int) -> np.ndarray:
     return pixels[:: -1 if down else 1, :: -1 if across else 1]
 
 
+def reshape(rows: np.ndarray, crop: tuple[int, int, int, int] | None, turn: int, width: int, height: int, kernel: str) -> np.ndarray | None:
+    """Rows, columns, channels cropped to (x, y, width, height), turned upright and resampled; None if the crop runs out."""
+    if crop:
+        x, y, w, h = crop
+        if x + w > rows.shape[1] or y + h > rows.shape[0]:
+            return None
+        rows = rows[y : y + h, x : x + w]
+    rows = upright(rows, turn)
+    if rows.shape[:2] != (height, width):
+        rows = along(along(rows.astype(float).swapaxes(0, 1), width, kernel).swapaxes(0, 1), height, kernel)
+    return np.floor(np.clip(rows, 0, 255) + 0.5).astype(np.uint8)
+
+
 def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Column | str = "triangle", *, crop: tuple[int, int, int, int] | None = None, orientation: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """images (id, width, height, data: RGBA bytes) cropped, turned and brought to another size, in Arrow batches.
 
@@ -147,16 +160,8 @@ def resize_rasters(images: DataFrame, width: Column, height: Column, kernel: Col
     def one(data: bytes, w: int, h: int, ow: int, oh: int, kind: str, turn: int) -> bytes | None:
         if data is None or len(data) != 4 * w * h or not ow or not oh:
             return None
-        rows = np.frombuffer(data, np.uint8).reshape(h, w, 4)
-        if crop:
-            x, y, cw, ch = crop
-            if x + cw > w or y + ch > h:
-                return None
-            rows = rows[y : y + ch, x : x + cw]
-        rows = upright(rows, turn)
-        if rows.shape[:2] != (oh, ow):
-            rows = along(along(rows.astype(float).swapaxes(0, 1), ow, kind).swapaxes(0, 1), oh, kind)
-        return np.floor(np.clip(rows, 0, 255) + 0.5).astype(np.uint8).tobytes()
+        rows = reshape(np.frombuffer(data, np.uint8).reshape(h, w, 4), crop, turn, ow, oh, kind)
+        return None if rows is None else rows.tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

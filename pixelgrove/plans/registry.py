@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import animations, batch, headers, notes, pixels, requests, rules, sizes
+from . import animations, batch, headers, memory, notes, pixels, requests, rules, sizes
 
-_MODULES = (sizes, rules, requests, notes, batch, pixels, animations, headers)
+_MODULES = (sizes, rules, requests, notes, batch, pixels, animations, headers, memory)
 
 
 def queries() -> dict:

@@ -34,13 +34,21 @@ def size_checks(spark, sf_dir):
 
 
 def capability_dim(spark, sf_dir):
-    return notes.capabilities(spark)
+    """What can be done with each format, with the pictures of each that are within its limits."""
+    formats = [r[0] for r in tables.FORMATS]
+    of = F.element_at(F.array(*map(F.lit, formats)), (F.col("id") % len(formats) + 1).cast("int"))
+    sizes = pictures(spark, sf_dir).groupBy(of.alias("format"), (F.col("w") * F.col("h") * 9).alias("pixels")).count()
+    return sizes.join(F.broadcast(notes.capabilities(spark)), "format").groupBy(*notes.capabilities(spark).columns).agg(F.sum("count").alias("pictures"), F.sum(F.when(F.col("pixels") <= F.col("max_pixels"), F.col("count")).otherwise(0)).alias("within"))
 
 
 def trade_off_dim(spark, sf_dir):
-    """Chroma levels with what each trades, and the stream budgets of each profile."""
+    """Chroma levels with what each trades, and the stream budgets of each profile with the pictures that fit them."""
     budgets = tables.limits(spark).select("profile", notes.stream_budgets(F.col("max_pixels")).alias("b")).select("profile", F.col("b.pixels").alias("stream_pixels"), F.col("b.bytes").alias("stream_bytes"))
-    return tables.chroma(spark).select("level", notes.trade_off(F.col("level")).alias("trade_off")).crossJoin(F.broadcast(budgets))
+    level = F.element_at(F.array(*[F.lit(r[0]) for r in tables.CHROMA]), (F.col("n") % 3 + 1).cast("int"))
+    # As many rows as there are sizes at a level; they meet two profiles.
+    sizes = pictures(spark, sf_dir).groupBy(level.alias("level"), (F.col("w") * F.col("h") * 36).alias("bytes")).count()
+    judged = sizes.crossJoin(F.broadcast(budgets)).groupBy("level", "profile", "stream_pixels", "stream_bytes").agg(F.sum(F.when(F.col("bytes") <= F.col("stream_bytes"), F.col("count")).otherwise(0)).alias("streamed"))
+    return judged.withColumn("trade_off", notes.trade_off(F.col("level")))
 
 
 def json_responses(spark, sf_dir):
@@ -61,9 +69,9 @@ SQL = {
     "size_checks": f"""WITH {PICTURES}, x AS (SELECT CASE WHEN n = 7 THEN 0 ELSE w * 5 END AS w, h * 5 AS h, CASE WHEN id % 2 = 0 THEN 'webp' ELSE 'jpeg' END AS format FROM pictures),
         t AS (SELECT format, CASE WHEN w * h = 0 THEN 'zero_dimension' WHEN w * h > 128000000 THEN 'pixel_budget_exceeded' END AS decoded, CASE WHEN format = 'webp' AND (w > 16383 OR h > 16383) THEN 'this picture is wider or taller than WebP can store (16383 pixels a side): ask for JPEG or PNG as the output format, or crop it to fit' END AS webp, least(67108864, greatest(65536, w * h // 2)) AS planned FROM x)
         SELECT format, decoded, webp, count(*) AS pictures, CAST(sum(planned) AS BIGINT) AS planned_bytes, max(planned) AS most FROM t GROUP BY ALL""",
-    "capability_dim": """SELECT format, format IN ('jpeg', 'png', 'gif', 'tiff', 'bmp') AS decode, format = 'png' AS encode, false AS progressive, false AS chroma, CAST(536870912 AS BIGINT) AS max_input_bytes, CAST(128000000 AS BIGINT) AS max_pixels
-        FROM (VALUES ('jpeg'), ('png'), ('webp'), ('gif'), ('tiff'), ('bmp'), ('ico'), ('avif'), ('heic'), ('heif')) f(format)""",
-    "trade_off_dim": f"""SELECT level, trade_off, profile, stream_pixels, stream_pixels AS stream_bytes FROM ({tables.sql_values(list(notes.TRADE_OFFS.items()))}) t(level, trade_off), (VALUES ('desktop', CAST(512000000 AS BIGINT)), ('mobile', CAST(160000000 AS BIGINT))) l(profile, stream_pixels)""",
+    "capability_dim": f"""WITH {PICTURES} SELECT format, format IN ('jpeg', 'png', 'gif', 'tiff', 'bmp') AS decode, format = 'png' AS encode, false AS progressive, false AS chroma, CAST(536870912 AS BIGINT) AS max_input_bytes, CAST(128000000 AS BIGINT) AS max_pixels, count(*) AS pictures, count(*) FILTER (w * h * 9 <= 128000000) AS within
+        FROM pictures JOIN (VALUES (0, 'jpeg'), (1, 'png'), (2, 'webp'), (3, 'gif'), (4, 'tiff'), (5, 'bmp'), (6, 'ico'), (7, 'avif'), (8, 'heic'), (9, 'heif')) f(k, format) ON k = id % 10 GROUP BY format""",
+    "trade_off_dim": f"""WITH {PICTURES} SELECT level, trade_off, profile, stream_pixels, stream_pixels AS stream_bytes, count(*) FILTER (w * h * 36 <= stream_pixels) AS streamed FROM ({tables.sql_values(list(notes.TRADE_OFFS.items()))}) t(level, trade_off), (VALUES ('desktop', CAST(512000000 AS BIGINT)), ('mobile', CAST(160000000 AS BIGINT))) l(profile, stream_pixels), pictures WHERE level = CASE n % 3 WHEN 0 THEN 'luma444' WHEN 1 THEN 'luma422' ELSE 'luma420' END GROUP BY ALL""",
     "json_responses": """SELECT doc_id AS ordinal, CASE WHEN doc_id % 5 = 0 THEN '{"status":"skipped","output_name":"f' || doc_id || '.png","input_bytes":' || octet_length(encode(text)) || ',"output_bytes":0,"error":"unreadable"}'
         ELSE '{"status":"ok","output_name":"f' || doc_id || '.png","input_bytes":' || octet_length(encode(text)) || ',"output_bytes":' || octet_length(encode(text)) || ',"width":' || doc_id % 100 || ',"height":7,"data_base64":"' || to_base64(encode(text)) || '"}' END AS response FROM documents""",
 }

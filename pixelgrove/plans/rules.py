@@ -21,16 +21,36 @@ def _values(spark, rows, ddl):
     return spark.createDataFrame(rows, ddl)
 
 
+def _numbered(spark, values, name):
+    """A short list with its places, small enough to be broadcast."""
+    return F.broadcast(_values(spark, list(enumerate(values)), f"k int, {name} string"))
+
+
+def _names(spark, sf_dir):
+    """Names of files, a source and what it calls a document, with how many documents have them."""
+    docs = table(spark, sf_dir, "documents").groupBy("source", (F.col("doc_id") % len(NAMES)).cast("int").alias("k")).agg(F.count("*").alias("files"))
+    return docs.join(_numbered(spark, NAMES, "own"), "k").select(F.concat(F.coalesce("source", F.lit("")), F.lit("/"), "own").alias("name"), "files")
+
+
 def format_dim(spark, sf_dir):
-    return tables.formats(spark).drop("can_decode")
+    """Formats, with the pictures that are to be written as each."""
+    wanted = pictures(spark, sf_dir).groupBy((F.col("id") % 10).cast("int").alias("ordinal")).agg(F.count("*").alias("pictures"), F.sum(F.col("w") * F.col("h")).alias("pixels"))
+    return F.broadcast(tables.formats(spark).drop("can_decode")).join(wanted, "ordinal")
 
 
 def chroma_dim(spark, sf_dir):
-    return tables.chroma(spark)
+    """Chroma levels, with the samples of colour that the pictures written at each keep."""
+    level = F.element_at(F.array(*[F.lit(r[0]) for r in tables.CHROMA]), (F.col("n") % 3 + 1).cast("int"))
+    wanted = pictures(spark, sf_dir).groupBy(level.alias("level")).agg(F.count("*").alias("pictures"), F.sum(F.col("w") * F.col("h")).alias("pixels"))
+    return wanted.join(F.broadcast(tables.chroma(spark)), "level").select("level", "label", "samples", "of_samples", "pictures", F.expr("pixels * samples div of_samples").alias("kept"))
 
 
 def detect_format(spark, sf_dir):
-    return _values(spark, HEADS, "name string, head string").select("name", predicates.detect_format(F.unhex("head")).alias("format"))
+    """Documents behind first bytes of files: what each is taken for, by its own bytes and not by its kind."""
+    heads = F.broadcast(_values(spark, [(k, n, h) for k, (n, h) in enumerate(HEADS)], "k int, name string, head string"))
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % len(HEADS)).cast("int").alias("k"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
+    files = docs.join(heads, "k").select("name", F.concat(F.unhex("head"), F.substring("body", 1, 64)).alias("start"), (F.length(F.unhex("head")) + F.octet_length("body")).alias("size"))
+    return files.groupBy("name", predicates.detect_format(F.substring("start", 1, 64)).alias("format")).agg(F.count("*").alias("files"), F.sum("size").cast("long").alias("bytes"))
 
 
 def sniff_documents(spark, sf_dir):
@@ -40,13 +60,11 @@ def sniff_documents(spark, sf_dir):
 
 
 def extension_filter(spark, sf_dir):
-    df = _values(spark, [(n,) for n in NAMES], "name string")
-    return df.select("name", predicates.has_image_extension(F.col("name")).alias("listed"), predicates.format_of_extension(F.col("name")).alias("format"))
+    return _names(spark, sf_dir).select("name", predicates.has_image_extension(F.col("name")).alias("listed"), predicates.format_of_extension(F.col("name")).alias("format"), "files")
 
 
 def sanitise_names(spark, sf_dir):
-    df = _values(spark, [(n,) for n in NAMES], "name string")
-    return df.select("name", names.sanitise_stem(F.col("name")).alias("stem"), names.sanitise_component(F.col("name")).alias("component"), names.is_reserved(F.col("name")).alias("reserved"))
+    return _names(spark, sf_dir).select("name", names.sanitise_stem(F.col("name")).alias("stem"), names.sanitise_component(F.col("name")).alias("component"), names.is_reserved(F.col("name")).alias("reserved"), "files")
 
 
 def sanitise_pages(spark, sf_dir):
@@ -63,7 +81,9 @@ def limits_classify(spark, sf_dir):
 
 
 def sensitive_tags(spark, sf_dir):
-    return _values(spark, [(t,) for t in TAGS], "tag string").select("tag", predicates.is_sensitive(F.col("tag")).alias("sensitive"))
+    """Tags that the orders' photos carry, which of them are sensitive, and on how many photos."""
+    carried = table(spark, sf_dir, "orders").groupBy((F.col("o_orderkey") % len(TAGS)).cast("int").alias("k")).agg(F.count("*").alias("photos"))
+    return carried.join(_numbered(spark, TAGS, "tag"), "k").select("tag", predicates.is_sensitive(F.col("tag")).alias("sensitive"), "photos")
 
 
 def animation_decide(spark, sf_dir):
@@ -128,7 +148,7 @@ def _names_sql(source: str, name: str, select: str) -> str:
         d AS (SELECT *, CASE WHEN s1 = '' THEN 'image' WHEN {_RESERVED_SQL.format('s2')} THEN '_' || s2 ELSE s2 END AS stem, CASE WHEN c1 = '' THEN 'file' WHEN {_RESERVED_SQL.format('c1')} THEN '_' || c1 ELSE c1 END AS component FROM c) SELECT {select} FROM d"""
 
 
-_NAME_ROWS = f"SELECT * FROM ({tables.sql_values([(n,) for n in NAMES])}) t(name)"
+_NAME_ROWS = f"SELECT coalesce(source, '') || '/' || own AS name, count(*) AS files FROM documents JOIN ({tables.sql_values(list(enumerate(NAMES)))}) t(k, own) ON k = doc_id % {len(NAMES)} GROUP BY source, own"
 _LIMIT_SQL = """CASE WHEN greatest(w, h) > s THEN 'suspicious_dimensions' WHEN w * h{0} > {1}p THEN 'pixel_budget_exceeded' ELSE 'ok' END"""
 
 QUERIES = {
@@ -136,16 +156,17 @@ QUERIES = {
     "sensitive_tags": sensitive_tags, "animation_decide": animation_decide, "sandbox_classify": sandbox_classify, "contract_drift": contract_drift, "bench_gate": bench_gate,
 }
 SQL = {
-    "format_dim": f"WITH f(ordinal, {_FORMAT_COLUMNS}) AS ({tables.sql_values([(i, *r) for i, r in enumerate(tables.FORMATS)])}) SELECT ordinal, {_FORMAT_COLUMNS.removesuffix(', can_decode')}, format = 'jpeg' AS supports_progressive, format = 'jpeg' AS supports_chroma, NOT lossless AS supports_quality, NOT lossless AS supports_byte_target, supports_animation AS accepts_multiple_frames FROM f",
-    "chroma_dim": f"SELECT * FROM ({tables.sql_values(tables.CHROMA)}) t(level, label, samples, of_samples)",
-    "detect_format": f"WITH t(name, head) AS ({tables.sql_values(HEADS)}) SELECT name, {_detect_sql('head')} AS format FROM t",
+    "format_dim": f"WITH {PICTURES}, f(ordinal, {_FORMAT_COLUMNS}) AS ({tables.sql_values([(i, *r) for i, r in enumerate(tables.FORMATS)])}) SELECT ordinal, {_FORMAT_COLUMNS.removesuffix(', can_decode')}, format = 'jpeg' AS supports_progressive, format = 'jpeg' AS supports_chroma, NOT lossless AS supports_quality, NOT lossless AS supports_byte_target, supports_animation AS accepts_multiple_frames, count(*) AS pictures, CAST(sum(w * h) AS BIGINT) AS pixels FROM f JOIN pictures ON id % 10 = ordinal GROUP BY ALL",
+    "chroma_dim": f"WITH {PICTURES}, t(k, level, label, samples, of_samples) AS (VALUES (0, 'luma444', '4:4:4', 4, 4), (1, 'luma422', '4:2:2', 2, 4), (2, 'luma420', '4:2:0', 2, 2)), s AS (SELECT n % 3 AS k, count(*) AS pictures, CAST(sum(w * h) AS BIGINT) AS pixels FROM pictures GROUP BY 1) SELECT level, label, samples, of_samples, pictures, pixels * samples // of_samples AS kept FROM t JOIN s USING (k)",
+    "detect_format": f"WITH t(k, name, head) AS ({tables.sql_values([(k, *r) for k, r in enumerate(HEADS)])}), d AS (SELECT name, head || hex(coalesce(text, '')) AS h FROM documents JOIN t ON k = doc_id % {len(HEADS)}) SELECT name, {_detect_sql('h')} AS format, count(*) AS files, CAST(sum(length(h)) // 2 AS BIGINT) AS bytes FROM d GROUP BY ALL",
     "sniff_documents": "SELECT 'not_an_image' AS format, count(*) AS files, CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes FROM documents",
-    "extension_filter": f"WITH t AS ({_NAME_ROWS}), e AS (SELECT name, {_EXT} AS ext FROM t) SELECT name, coalesce(ext IN ({', '.join(repr(e) for e in tables.EXTENSIONS)}), false) AS listed, CASE ext " + " ".join(f"WHEN '{e}' THEN '{f}'" for e, f in tables.EXTENSIONS.items()) + " END AS format FROM e",
-    "sanitise_names": _names_sql(_NAME_ROWS, "name", f"name, stem, component, {_RESERVED_SQL.format('name')} AS reserved"),
+    "extension_filter": f"""WITH t AS ({_NAME_ROWS}), e AS (SELECT name, files, {_EXT} AS ext FROM t), f AS (SELECT name, files, CASE WHEN ext IN ('jpg', 'jpeg', 'jpe') THEN 'jpeg' WHEN ext IN ('tif', 'tiff') THEN 'tiff' WHEN ext IN ('png', 'webp', 'gif', 'bmp', 'ico', 'avif', 'heic', 'heif') THEN ext END AS format FROM e)
+        SELECT name, format IS NOT NULL AS listed, format, files FROM f""",
+    "sanitise_names": _names_sql(_NAME_ROWS, "name", f"name, stem, component, {_RESERVED_SQL.format('name')} AS reserved, files"),
     "sanitise_pages": _names_sql("SELECT page_id, url FROM pages", "url", "page_id, stem || '.webp' AS output_name, component"),
     "limits_classify": f"""WITH {PICTURES}, l(profile, b, p, s) AS ({tables.sql_values(tables.LIMITS)}), x AS (SELECT profile, n, w * 3 AS w, h * 3 AS h, p, s FROM pictures, l)
         SELECT profile, {_LIMIT_SQL.format('', '')} AS still, {_LIMIT_SQL.format('', '4 * ')} AS streamed, {_LIMIT_SQL.format(' * greatest(n, 1)', '')} AS animated, count(*) AS pictures FROM x GROUP BY 1, 2, 3, 4""",
-    "sensitive_tags": f"WITH t(tag) AS ({tables.sql_values([(t,) for t in TAGS])}) SELECT tag, regexp_matches(upper(tag), '^GPS|{'|'.join(predicates.SENSITIVE)}') AS sensitive FROM t",
+    "sensitive_tags": f"WITH t(k, tag) AS ({tables.sql_values(list(enumerate(TAGS)))}) SELECT tag, regexp_matches(upper(tag), '^GPS|SERIAL|OWNER|ARTIST|COPYRIGHT|MAKERNOTE|LENS|BODY|THUMBNAIL') AS sensitive, count(*) AS photos FROM t JOIN orders ON o_orderkey % {len(TAGS)} = k GROUP BY ALL",
     "animation_decide": f"""WITH {PICTURES}, f(format, animated) AS ({tables.sql_values([(r[0], r[6]) for r in tables.FORMATS])}), p(policy) AS (VALUES ('keep'), ('first_frame')), c AS (SELECT n AS frames, count(*) AS pictures FROM pictures GROUP BY n),
         a AS (SELECT *, CASE WHEN frames <= 1 THEN 'still' WHEN animated THEN 'preserved' WHEN policy = 'first_frame' THEN 'flattened' ELSE 'refused' END AS action FROM c, f, p), o AS (SELECT *, CASE action WHEN 'preserved' THEN frames WHEN 'refused' THEN 0 ELSE least(frames, 1) END AS frames_out FROM a)
         SELECT format, policy, frames, action, frames_out, greatest(0, frames - frames_out) AS dropped, pictures FROM o""",

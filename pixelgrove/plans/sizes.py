@@ -94,8 +94,14 @@ def preset_fanout(spark, sf_dir):
 
 
 def presets(spark, sf_dir):
-    """The catalogue; 0 where a preset sets no height or ceiling."""
-    return tables.presets(spark).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("height", "max_bytes")})
+    """The catalogue, 0 where a preset sets no height or ceiling, with the pictures that ask for each and those of them that are smaller on a side."""
+    names = [r[0] for r in tables.PRESETS]
+    of = F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int"))
+    catalogue = tables.presets(spark).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("height", "max_bytes")})
+    asked = pictures(spark, sf_dir).select(of.alias("preset"), "w", "h").join(F.broadcast(catalogue), "preset")
+    small = (F.col("w") < F.col("width")) | (F.col("h") < F.col("height"))
+    sums = asked.groupBy("preset").agg(F.count("*").alias("pictures"), F.sum(F.when(small, 1).otherwise(0)).alias("smaller"))
+    return sums.join(F.broadcast(catalogue), "preset")
 
 
 def _fanout_sql() -> str:
@@ -132,5 +138,5 @@ SQL = {f"resolve_{k}": _resolve_sql(s) for k, s in _SPECS.items()} | {
     "working_set": _working_sql(),
     "pool_size": f"WITH {PICTURES} SELECT CAST(least(greatest(1, least(n * 3, 8)), greatest(1, floor(4294967296e0 / greatest(24 * w * h * 3, 33554432)))) AS BIGINT) AS pool, count(*) AS pictures, round(sum(w * h / 1e6), 3) AS megapixels FROM pictures GROUP BY 1",
     "preset_fanout": _fanout_sql(),
-    "presets": f"WITH p(preset, category, width, height, fit, format, quality, max_bytes, crops) AS ({tables.sql_values(tables.PRESETS)}) SELECT preset, category, CAST(width AS BIGINT) AS width, coalesce(CAST(height AS BIGINT), 0) AS height, fit, format, CAST(quality AS INTEGER) AS quality, CASE WHEN format IN ('jpeg', 'webp', 'avif') THEN coalesce(CAST(max_bytes AS BIGINT), 0) ELSE 0 END AS max_bytes, crops, NOT crops AND category <> 'social' AS no_upscale FROM p",
+    "presets": f"WITH {PICTURES}, p(k, preset, category, width, height, fit, format, quality, max_bytes, crops) AS ({tables.sql_values([(k, *r) for k, r in enumerate(tables.PRESETS)])}) SELECT preset, category, CAST(width AS BIGINT) AS width, coalesce(CAST(height AS BIGINT), 0) AS height, fit, format, CAST(quality AS INTEGER) AS quality, CASE WHEN format IN ('jpeg', 'webp', 'avif') THEN coalesce(CAST(max_bytes AS BIGINT), 0) ELSE 0 END AS max_bytes, crops, NOT crops AND category <> 'social' AS no_upscale, count(*) AS pictures, count(*) FILTER (w < width OR h < coalesce(height, 0)) AS smaller FROM p JOIN pictures ON k = id % {len(tables.PRESETS)} GROUP BY ALL",
 }

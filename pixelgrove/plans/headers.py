@@ -72,9 +72,22 @@ def exif_summary(spark, sf_dir):
     return df.select("id", *[(F.array_join(c, ",") if n == "sensitive_tags" else c).alias(n) for n, c in found.items()], F.col("exif.problem").isNotNull().alias("damaged"))
 
 
-def _box(name: str, *parts: Column) -> Column:
-    body = F.concat(*parts)
-    return F.concat(_number(8 + F.octet_length(body), 4), F.lit(name.encode()), body)
+def _part(data: bytes | Column, size: int | None = None) -> tuple[Column, Column | int]:
+    """Bytes with their number, which is known before they are made."""
+    return (F.lit(data), len(data)) if isinstance(data, bytes) else (data, size)
+
+
+def _either(condition: Column, a: tuple, b: tuple) -> tuple:
+    same = isinstance(a[1], int) and isinstance(b[1], int) and a[1] == b[1]
+    return F.when(condition, a[0]).otherwise(b[0]), a[1] if same else F.when(condition, a[1]).otherwise(b[1])
+
+
+def _box(name: str, *parts: tuple) -> tuple:
+    """A box of parts. Its length comes from theirs, not from its content, which would be made once more at each level."""
+    size = 8 + sum(n for _, n in parts if isinstance(n, int))
+    for n in (n for _, n in parts if not isinstance(n, int)):
+        size = n + size
+    return F.concat(_number(size, 4), F.lit(name.encode()), *[c for c, _ in parts]), size
 
 
 def _heifs(spark, sf_dir):
@@ -83,21 +96,22 @@ def _heifs(spark, sf_dir):
     Every fifth is cut to half its sides, all are turned by a number of quarters, every seventh is coded otherwise,
     every third is described by EXIF; every 11th ends within its list of items.
     """
-    key, zero = F.col("o_orderkey"), _raw(0, 0, 0, 0)
+    key, zero, none = F.col("o_orderkey"), _part(bytes(4)), _part(b"")
     w, h = 1 + key * 37 % 8000, 1 + F.col("o_custkey") * 7919 % 6000
-    other, described, clipped, nothing = key % 7 == 0, key % 3 == 1, key % 5 == 0, F.lit(b"")
-    infe = lambda item, kind: _box("infe", _raw(2, 0, 0, 0), _number(item, 2), _raw(0, 0), kind, _raw(0))
-    items = F.concat(infe(1, F.when(other, F.lit(b"av01")).otherwise(F.lit(b"hvc1"))), F.when(described, infe(2, F.lit(b"Exif"))).otherwise(nothing))
-    iinf = _box("iinf", zero, _number(F.when(described, 2).otherwise(1), 2), items)
-    iref = F.when(described, _box("iref", zero, _box("cdsc", _raw(0, 2, 0, 1, 0, 1)))).otherwise(nothing)
-    hvc = _box("hvcC", F.lit(bytes(17)), F.when(key % 2 == 0, _raw(0xF8)).otherwise(_raw(0xFA)), F.lit(bytes(5)))
-    coded = F.when(other, _box("av1C", _raw(0x81, 0), F.when(key % 2 == 0, _raw(0)).otherwise(_raw(0x40)), _raw(0))).otherwise(hvc)
+    other, described, clipped, even = key % 7 == 0, key % 3 == 1, key % 5 == 0, key % 2 == 0
+    four = lambda value: (_number(value, 4), 4)
+    infe = lambda item, kind: _box("infe", _part(bytes([2, 0, 0, 0, 0, item, 0, 0])), kind, _part(b"\0"))
+    iinf = _box("iinf", zero, _either(described, _part(b"\0\2"), _part(b"\0\1")), infe(1, _either(other, _part(b"av01"), _part(b"hvc1"))), _either(described, infe(2, _part(b"Exif")), none))
+    iref = _either(described, _box("iref", zero, _box("cdsc", _part(bytes([0, 2, 0, 1, 0, 1])))), none)
+    hvc = _box("hvcC", _part(bytes(17)), _either(even, _part(b"\xf8"), _part(b"\xfa")), _part(bytes(5)))
+    coded = _either(other, _box("av1C", _part(b"\x81\0"), _either(even, _part(b"\0"), _part(b"\x40")), _part(b"\0")), hvc)
     half = lambda side: F.floor((side + 1) / 2).cast("long")
-    clap = _box("clap", _number(half(w), 4), _number(1, 4), _number(half(h), 4), _number(1, 4), F.lit(bytes(16)))
-    ipco = _box("ipco", _box("ispe", zero, _number(w, 4), _number(h, 4)), coded, clap, _box("irot", _number(key % 4, 1)))
-    ipma = _box("ipma", zero, _number(1, 4), _number(1, 2), F.when(clipped, _raw(4, 0x81, 0x82, 0x83, 0x84)).otherwise(_raw(3, 0x81, 0x82, 0x84)))
-    meta = _box("meta", zero, _box("pitm", zero, _number(1, 2)), iinf, iref, _box("iprp", ipco, ipma))
-    df = table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(_box("ftyp", F.lit(b"heic"), zero, F.lit(b"mif1heic")), meta).alias("content"))
+    clap = _box("clap", four(half(w)), four(1), four(half(h)), four(1), _part(bytes(16)))
+    ipco = _box("ipco", _box("ispe", zero, four(w), four(h)), coded, clap, _box("irot", (_number(key % 4, 1), 1)))
+    ipma = _box("ipma", zero, four(1), _part(b"\0\1"), _either(clipped, _part(b"\4\x81\x82\x83\x84"), _part(b"\3\x81\x82\x84")))
+    meta = _box("meta", zero, _box("pitm", zero, _part(b"\0\1")), iinf, iref, _box("iprp", ipco, ipma))
+    ftyp = _box("ftyp", _part(b"heic"), zero, _part(b"mif1heic"))
+    df = table(spark, sf_dir, "orders").select(key.alias("id"), F.concat(ftyp[0], meta[0]).alias("content"))
     return df.withColumn("content", F.when(F.col("id") % 11 == 0, F.expr("substring(content, 1, 60)")).otherwise(F.col("content")))
 
 

@@ -90,9 +90,11 @@ def request_documents(spark, sf_dir):
 def batch_documents(spark, sf_dir):
     """A batch for each order of up to two files: taken whole, or refused."""
     df = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", f"{_BATCH_JSON} AS json")
-    verdicts, files = d.batch_requests(df, files=2)
-    sums = files.groupBy("id").agg(F.count("*").alias("passed"), F.sum(F.length("bytes")).alias("length"))
-    return verdicts.join(sums, "id", "left").groupBy("error", "field", F.array_join("unknown", ",").alias("unknown")).agg(F.count("*").alias("batches"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("passed").alias("passed"), F.sum("length").alias("length"))
+    rows = d.batch_rows(df, files=2)
+    passed = F.when(F.size("contents") > 0, F.size("contents"))
+    length = F.when(passed.isNotNull(), F.aggregate("contents", F.lit(0).cast("long"), lambda n, f: n + F.octet_length(f["bytes"])))
+    slim = rows.select("error", "field", F.array_join("unknown", ",").alias("unknown"), "files", "bytes", passed.alias("passed"), length.alias("length"))
+    return slim.groupBy("error", "field", "unknown").agg(F.count("*").alias("batches"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"), F.sum("passed").alias("passed"), F.sum("length").alias("length"))
 
 
 QUERIES = {"colour_decisions": colour_decisions, "colour_refusals": colour_refusals, "settings_check": settings_check, "animation_refusals": animation_refusals, "email_search": email_search, "opaque_rasters": opaque_rasters, "request_documents": request_documents, "batch_documents": batch_documents}

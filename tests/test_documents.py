@@ -79,6 +79,17 @@ def test_batches(spark):
     assert (got["good"]["files"], got["good"]["bytes"], got["none"]["files"]) == (2, 3, 0)
 
 
+def test_a_text_is_no_list(spark):
+    doc = MANY | {"files": [{"name": "x", "bytes": "[1,2]"}, {"name": "y", "bytes": [7, None]}]}
+    assert d.batch_requests(spark.createDataFrame(rows({"a": doc}), "id string, json string, extra string"))[0].first()["field"] == "files[0].bytes"
+
+
+def test_files_parse_a_document_once(spark):
+    """No filter goes below what makes it, where it would parse and judge again."""
+    _, files = d.batch_requests(spark.createDataFrame([], "id string, json string"))
+    assert files._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
+
+
 @pytest.mark.parametrize("read", [lambda df: d.single_requests(df), lambda df: d.batch_requests(df)[0], lambda df: d.batch_requests(df)[1]])
 def test_empty_table(spark, read):
     assert read(spark.createDataFrame([], "id string, json string")).count() == 0

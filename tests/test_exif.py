@@ -139,3 +139,9 @@ def test_cut_and_lying_boxes():
     for _ in range(200):
         nested = box(b"iprp", nested)
     assert len(list(heif.boxes(nested))) <= heif.MOST_LEVELS + 1
+
+
+def test_entry_rows_read_a_file_once(spark):
+    df = spark.createDataFrame([(1, None)], "id int, content binary")
+    assert exif.entry_rows(df)._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert exif.entry_rows(df).count() == 0

@@ -19,11 +19,10 @@ from ..functions import geometry as g
 from ..functions import predicates, tables
 from ..operators import pixels
 from ..operators.target import cut
-from .headers import header_sizes
-from .images import gif_frames
+from .images import heads
 
-#: Bytes of frames that leave a task at a time; a larger frame leaves alone.
-_BATCH_BYTES = 16 << 20
+#: Bytes of frames that leave a task at a time, a larger frame alone, and what a row weighs beside its pixels.
+_BATCH_BYTES, _ROW_BYTES = 4 << 20, 1 << 10
 _BROKEN = (ValueError, IndexError, struct.error)
 
 
@@ -119,33 +118,38 @@ def canvases(data: bytes) -> Iterator[tuple[int, bytes]]:
         delay, disposal, clear, at = 0, 0, -1, behind
 
 
-def frame_rows(files: DataFrame) -> DataFrame:
-    """id, frame, delay_ms, width, height, data, problem from files (id, content, most): their first ``most`` frames.
+def frame_rows(files: DataFrame, crop: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """id, frame, delay_ms, width, height, data, problem from files (id, content, most, ow, oh, kernel): their first ``most`` frames.
 
-    A file that breaks off gives the frames before that and a row with ``problem``, whose data is null.
+    Each is cropped and brought to ow by oh where it is decoded. A file that breaks off gives the frames before that and a row
+    with ``problem``, whose data is null; so is that of a frame which the crop runs out of.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held = [], 0
         frame = lambda: pd.DataFrame(rows, columns=["id", "frame", "delay_ms", "width", "height", "data", "problem"])
         for b in batches:
-            for key, content, most in zip(b["id"], b["content"], b["most"], strict=True):
+            for key, content, most, ow, oh, kernel in zip(b["id"], b["content"], b["most"], b["ow"], b["oh"], b["kernel"], strict=True):
                 k = 0
                 try:
                     shown = canvases(content)
+                    w, h = struct.unpack_from("<HH", content, 6)
                     while k < most and (found := next(shown, None)):
-                        rows.append((key, k, found[0], *struct.unpack_from("<HH", content, 6), found[1], None))
-                        k, held = k + 1, held + len(found[1])
+                        made = pixels.reshape(np.frombuffer(found[1], np.uint8).reshape(h, w, 4), crop, 1, ow, oh, kernel)
+                        rows.append((key, k, found[0], ow, oh, None if made is None else made.tobytes(), None if made is not None else "no raster"))
+                        k, held = k + 1, held + _ROW_BYTES + (0 if made is None else made.nbytes)
                         if held > _BATCH_BYTES:
                             yield frame()
                             rows, held = [], 0
                 except _BROKEN as e:
                     rows.append((key, k, 0, 0, 0, None, f"frame {k} cannot be decoded: {e}"))
+                    held += _ROW_BYTES
         if rows:
             yield frame()
 
     kind = files.schema["id"].dataType.simpleString()
-    return files.select("id", "content", F.col("most").cast("long")).mapInPandas(run, f"id {kind}, frame long, delay_ms long, width long, height long, data binary, problem string")
+    sides = [F.col(c).cast("int").alias(c) for c in ("ow", "oh")]
+    return files.select("id", "content", F.col("most").cast("long"), *sides, "kernel").mapInPandas(run, f"id {kind}, frame long, delay_ms long, width int, height int, data binary, problem string")
 
 
 def regroup(frames: DataFrame, claimed: DataFrame) -> DataFrame:
@@ -172,7 +176,7 @@ def export(files: DataFrame, spec: g.Resize | None = None, *, fmt: str = "gif",
     _, _, max_pixels, max_side = next(r for r in tables.LIMITS if r[0] == profile)
     several = next(r[6] for r in tables.FORMATS if r[0] == fmt)
     box = (crop.x, crop.y, crop.width, crop.height) if crop else None
-    df = header_sizes(gif_frames(files.select("id", "content")))
+    df = heads(files.select("id", "content"))
     most, side, w, h = F.lit(max_pixels), F.lit(max_side), F.col("width").cast("long"), F.col("height").cast("long")
     gif = F.coalesce(F.substring("content", 1, 6).isin(b"GIF87a", b"GIF89a"), F.lit(False))
     action = predicates.animation_action(F.col("frames"), F.lit(several), F.lit(policy))
@@ -184,11 +188,9 @@ def export(files: DataFrame, spec: g.Resize | None = None, *, fmt: str = "gif",
         .otherwise(predicates.animation_error(F.col("to.width"), F.col("to.height"), kept, most, side))
     )
     df = df.withColumns({"error": error, "most": kept})
-    raw = frame_rows(df.filter("error IS NULL").select("id", "content", "most"))
     sizes = df.filter("error IS NULL").select("id", "to")
-    shaped = raw.withColumn("to", g.output_size(F.col("width"), F.col("height"), crop=box, spec=spec))
-    kernel = g.chosen_filter(F.col("width"), F.col("height"), spec) if spec else F.lit("nearest")
-    done = cut(pixels.resize_rasters(shaped, F.col("to.width"), F.col("to.height"), kernel, crop=box, carry=("frame", "delay_ms", "problem")).withColumn("problem", F.coalesce("problem", F.when(F.col("data").isNull(), "no raster"))))
+    kernel = g.chosen_filter(w, h, spec) if spec else F.lit("nearest")
+    done = cut(frame_rows(df.filter("error IS NULL").select("id", "content", "most", F.col("to.width").alias("ow"), F.col("to.height").alias("oh"), kernel.alias("kernel")), box))
     claimed = df.select("id", F.col("frames").alias("frames_in"), "action", "error", F.col("most").alias("wanted"), "to")
     checked = regroup(done, claimed.select("id", F.col("wanted").alias("frames_in")).join(sizes.select("id"), "id", "left_semi"))
     out = claimed.join(checked.select("id", "whole", "frames_out", "duration_ms"), "id", "left")

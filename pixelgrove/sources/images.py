@@ -15,7 +15,8 @@ from ..functions.names import file_name_of, output_name
 from ..operators.batch import envelope, verdicts
 from . import folders
 from .folders import MOST_DEPTH
-from .headers import header_sizes
+from .headers import header_size, header_sizes
+from .profiles import read_profile
 
 FILE_SCHEMA = StructType().add("path", "string").add("modificationTime", "timestamp").add("length", "long").add("content", "binary")
 
@@ -102,43 +103,61 @@ def decoded(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return df.select(path.alias("path"), F.col("image.width").alias("width"), F.col("image.height").alias("height"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
 
 
+def gif_scan(data: bytes) -> tuple[int, bool]:
+    """Frames of a GIF file, and whether it breaks off."""
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
+        return 0, True
+    at, frames = 13 + (3 << (data[10] & 7) + 1 if data[10] & 0x80 else 0), 0
+
+    def blocks(at: int) -> int:
+        while at < len(data) and data[at]:
+            at += data[at] + 1
+        return at + 1
+
+    while at < len(data):
+        kind = data[at]
+        if kind == 0x3B:
+            return frames, False
+        if kind == 0x21:
+            at = blocks(at + 2)
+        elif kind == 0x2C:
+            frames += 1  # a picture counts from its separator on, cut or not
+            if at + 10 > len(data):
+                return frames, True
+            at = blocks(at + 10 + (3 << (data[at + 9] & 7) + 1 if data[at + 9] & 0x80 else 0) + 1)
+        elif kind == 0:
+            at += 1
+        else:
+            return frames, True
+    return frames, True
+
+
 def gif_frames(df: DataFrame, content: str = "content") -> DataFrame:
     """df with frames and truncated of GIF bytes: blocks are walked, nothing is decoded."""
 
-    def scan(data: bytes) -> tuple[int, bool]:
-        if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
-            return 0, True
-        at, frames = 13 + (3 << (data[10] & 7) + 1 if data[10] & 0x80 else 0), 0
-
-        def blocks(at: int) -> int:
-            while at < len(data) and data[at]:
-                at += data[at] + 1
-            return at + 1
-
-        while at < len(data):
-            kind = data[at]
-            if kind == 0x3B:
-                return frames, False
-            if kind == 0x21:
-                at = blocks(at + 2)
-            elif kind == 0x2C:
-                frames += 1  # a picture counts from its separator on, cut or not
-                if at + 10 > len(data):
-                    return frames, True
-                at = blocks(at + 10 + (3 << (data[at + 9] & 7) + 1 if data[at + 9] & 0x80 else 0) + 1)
-            elif kind == 0:
-                at += 1
-            else:
-                return frames, True
-        return frames, True
-
     @F.pandas_udf("frames int, truncated boolean")
     def run(c: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan(x or b"") for x in c], columns=["frames", "truncated"])
+        return pd.DataFrame([gif_scan(x or b"") for x in c], columns=["frames", "truncated"])
 
     return df.withColumn("__scan", run(F.col(content))).select("*", "__scan.frames", "__scan.truncated").drop("__scan")
 
 
+def heads(df: DataFrame, content: str = "content") -> DataFrame:
+    """df with width, height, frames, truncated, icc_present, colour_space of files, read in one pass.
+
+    Marked as not deterministic, so that a filter on what follows from heads stays above: below, files would be made and read again.
+    """
+
+    @F.pandas_udf("width long, height long, frames int, truncated boolean, icc_present boolean, colour_space string")
+    def read(c: pd.Series) -> pd.DataFrame:
+        rows = [(*(header_size(x or b"") or (None, None)), *gif_scan(x or b""), *read_profile(x)[:2]) for x in c]
+        found = pd.DataFrame(rows, columns=["width", "height", "frames", "truncated", "icc_present", "colour_space"])
+        return found.astype({"width": "Int64", "height": "Int64"})
+
+    names = ("width", "height", "frames", "truncated", "icc_present", "colour_space")
+    return df.withColumn("__heads", read.asNondeterministic()(F.col(content))).select("*", *[f"__heads.{n}" for n in names]).drop("__heads")
+
+
 def zip_archives(outputs: DataFrame, batch: str = "batch") -> DataFrame:
     """One archive for each batch of (batch, ordinal, name, bytes) that the envelope lets pass.
 

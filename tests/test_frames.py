@@ -104,3 +104,11 @@ def test_regroup_counts_a_repeated_frame_once(spark):
     got = {r["id"]: (r["frames_out"], r["duration_ms"], r["whole"]) for r in fr.regroup(frames, claimed).collect()}
     assert got == {"a": (2, 30, True), "b": (0, 0, False), "c": (0, 0, False), "d": (0, 0, False)}
     assert fr.regroup(frames.limit(0), claimed.limit(0)).count() == 0
+
+
+def test_frames_are_sized_where_they_are_decoded(files):
+    """One Python pass from a file to its sized frames: whole canvases do not travel between two."""
+    df = files.filter("id = 'whole'").selectExpr("id", "content", "2 AS most", "4 AS ow", "4 AS oh", "'nearest' AS kernel")
+    rows = fr.frame_rows(df)
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    assert [(r["frame"], r["width"], len(r["data"]), r["problem"]) for r in rows.orderBy("frame").collect()] == [(0, 4, 64, None), (1, 4, 64, None)]

@@ -19,13 +19,13 @@ from ..functions import geometry as g
 from ..functions import predicates, tables
 from ..functions.names import output_name
 from ..sources import rasters
-from ..sources.headers import header_sizes
-from ..sources.images import gif_frames
-from ..sources.profiles import with_profile
+from ..sources.images import heads
 from . import batch, pixels
 from .process import png_bytes
 from .target import cut
 
+#: Bytes of rasters that leave a task at a time, and what a row weighs beside its pixels.
+_BATCH_BYTES, _ROW_BYTES = 4 << 20, 1 << 10
 #: What a row asks for; any part may be null.
 REQUEST = (
     "struct<crop:struct<x:bigint,y:bigint,width:bigint,height:bigint>,orientation:int,resize:struct<width:bigint,height:bigint,fit:string,filter:string,no_upscale:boolean>,"
@@ -52,7 +52,7 @@ def judged(jobs: DataFrame, profile: str = "desktop", *, skip_upscales: bool = T
     """
     _, max_bytes, max_pixels, max_side = next(r for r in tables.LIMITS if r[0] == profile)
     # The format stands below the header reads and geometry between them, so that no generated method has it all.
-    df = header_sizes(jobs.select("ordinal", "name", "content", F.col("request").cast(REQUEST).alias("request"), predicates.detect_format(F.substring("content", 1, 64)).alias("format")))
+    df = heads(jobs.select("ordinal", "name", "content", F.col("request").cast(REQUEST).alias("request"), predicates.detect_format(F.substring("content", 1, 64)).alias("format")))
     r = lambda path: F.col(f"request.{path}")
     w, h = F.col("width"), F.col("height")
     crop, resize, turn = r("crop").isNotNull(), r("resize").isNotNull(), F.coalesce(r("orientation"), F.lit(1))
@@ -64,7 +64,7 @@ def judged(jobs: DataFrame, profile: str = "desktop", *, skip_upscales: bool = T
     sw, sh = F.col("sw"), F.col("sh")
     spec = g.Resize(r("resize.width"), r("resize.height"), r("resize.fit"), F.coalesce(r("resize.filter"), F.lit("lanczos3")), F.coalesce(r("resize.no_upscale"), F.lit(True)))
     df = df.withColumns({"to": F.when(resize, g.of_spec(sw, sh, spec)).otherwise(g.size(sw, sh)), "kernel": F.when(resize, g.chosen_filter(sw, sh, spec)).otherwise("nearest"), "wanted": F.when(resize & F.lit(skip_upscales), g.refused_upscale(sw, sh, spec))})
-    df = with_profile(gif_frames(df.drop("sw", "sh")))
+    df = df.drop("sw", "sh")
     keep, embed = F.coalesce(r("colour.keep_source_pixels"), F.lit(False)), F.coalesce(r("colour.embed_profile"), F.lit(False))
     space, target = F.col("colour_space"), F.coalesce(r("colour.working_space"), F.lit("srgb"))
     wrong = c.colour_error(space, target, keep, embed, F.lit(True), F.col("icc_present"))
@@ -103,13 +103,21 @@ def results(todo: DataFrame) -> DataFrame:
     """ordinal, width, height, data of judged rows: decoded, brought to their colour space, cropped, turned and resized, each by its own request."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, held = [], 0
+        frame = lambda: pd.DataFrame(done, columns=["ordinal", "width", "height", "data"])
         for b in batches:
-            # A raster may be large: each leaves on its own.
             for r in b.itertuples():
                 rows = _decoded(r.content, r.from_space, r.to_space)
                 box = None if pd.isna(r.x) else (int(r.x), int(r.y), int(r.w), int(r.h))
                 rows = None if rows is None else pixels.reshape(rows, box, int(r.turn), int(r.to_width), int(r.to_height), r.kernel)
-                yield pd.DataFrame({"ordinal": [r.ordinal], "width": [r.to_width], "height": [r.to_height], "data": [None if rows is None else rows.tobytes()]})
+                done.append((r.ordinal, r.to_width, r.to_height, None if rows is None else rows.tobytes()))
+                held += _ROW_BYTES + (0 if rows is None else rows.nbytes)
+                # Rasters may be large: they leave once they weigh enough together, and a large one at once.
+                if held > _BATCH_BYTES:
+                    yield frame()
+                    done, held = [], 0
+        if done:
+            yield frame()
 
     flat = todo.select("ordinal", "content", "from_space", "to_space", "turn", "kernel", *[F.col(f"to.{s}").alias(f"to_{s}") for s in ("width", "height")], F.col("box.x").alias("x"), F.col("box.y").alias("y"), F.col("box.width").alias("w"), F.col("box.height").alias("h"))
     return flat.mapInPandas(run, "ordinal long, width long, height long, data binary")

@@ -105,3 +105,10 @@ def test_batch_equals_one_by_one(spark):
     loose = {r["ordinal"]: (r["skipped"], r["error"]) for r in memory.process_batch(df, deduplicate=False, skip_unprocessable=False, skip_upscales=False).collect()}
     assert loose[1] == (None, None) and loose[9] == (None, None) and loose[6] == (None, "decode") and loose[7][1] == "suspicious_dimensions" and loose[8][1] == "heic_not_built"
     assert memory.process_batch(df.limit(0)).count() == 0
+
+
+def test_judging_reads_a_file_once(spark):
+    """A filter on what was judged does not go below the reading of heads."""
+    jobs = spark.createDataFrame([], f"ordinal long, name string, content binary, request {memory.REQUEST}")
+    ready = memory.results(memory.judged(jobs).filter("raised IS NULL"))
+    assert ready._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1

@@ -93,3 +93,10 @@ def test_files_parse_a_document_once(spark):
 @pytest.mark.parametrize("read", [lambda df: d.single_requests(df), lambda df: d.batch_requests(df)[0], lambda df: d.batch_requests(df)[1]])
 def test_empty_table(spark, read):
     assert read(spark.createDataFrame([], "id string, json string")).count() == 0
+
+
+def test_fields_have_fixed_paths(spark):
+    """A path that comes from a row is read for every value."""
+    out = d.single_requests(spark.createDataFrame([], "id string, json string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "try_variant_get(doc#" in plan and "path, VariantType" not in plan

@@ -9,7 +9,7 @@ null; an optional one may be both. Fields that no list has are ignored, and name
 from __future__ import annotations
 
 from functools import reduce
-from operator import and_
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,46 +54,78 @@ def _is_object(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith("OBJECT<"), F.lit(False))
 
 
+def _place(field: str) -> str:
+    """The column that :func:`_opened` makes of an object; "" is the document."""
+    return "in_" + field.replace(".", "_")
+
+
+def _own(fields: list[tuple], parent: str) -> list[tuple]:
+    """(name, field, kind) of the fields that stand right in an object."""
+    return [(f.rpartition(".")[2], f, k) for f, k, _ in fields if f.rpartition(".")[0] == parent]
+
+
+def _opened(df: DataFrame, fields: list[tuple]) -> DataFrame:
+    """df with a column for the document and for each object among the fields: its own fields as variants, null where it is no object.
+
+    An object is read in one pass over what it has. Paths are for what is there: one that leads nowhere costs an exception a value.
+    """
+    objects = ["", *[f for f, k, _ in fields if k == _OBJECT]]
+    depth = lambda f: f.count(".") + bool(f)
+    for level in range(max(map(depth, objects)) + 1):
+        new = {}
+        for field in (f for f in objects if depth(f) == level):
+            parent, _, name = field.rpartition(".")
+            kinds = ",".join(f"{n}:" + ("array<variant>" if k == "list" else "variant") for n, _, k in _own(fields, field))
+            new[_place(field)] = F.try_variant_get(F.col(_place(parent))[name] if field else F.col("doc"), "$", f"struct<{kinds}>")
+        df = df.withColumns(new)
+    return df
+
+
 def _held(doc: Column, fields: list[tuple]) -> Column:
     """What the document holds at each field, as an array of schemas: null where the field is left out, "" for what should be a list and is none.
 
-    Paths are fixed, so they are read once a plan and not once a value. A list may be long: its elements are not looked at.
+    Of objects and lists, which may be long, it is only said that they are such.
     """
     def one(field: str, kind) -> Column:
-        value = F.try_variant_get(doc, f"$.{field}", "variant")
-        if kind != "list":
-            return F.schema_of_variant(value)
-        return F.when(F.try_variant_get(doc, f"$.{field}", "array<variant>").isNotNull(), "ARRAY<").when(value.isNotNull(), "")
+        parent, _, name = field.rpartition(".")
+        value = F.col(_place(parent))[name]
+        if kind == "list":
+            return F.when(value.isNotNull(), "ARRAY<").when(F.try_variant_get(doc, f"$.{field}", "variant").isNotNull(), "")
+        schema = F.schema_of_variant(value)
+        return F.when(F.col(_place(field)).isNotNull(), "OBJECT<").otherwise(schema) if kind == _OBJECT else schema
 
     return F.array(*[one(f, k) for f, k, _ in fields])
 
 
-def _first_error(doc: Column, held: Column, fields: list[tuple]) -> Column:
-    """struct(error, field, expected) of the first bad field, null if there is none; ``held`` is what :func:`_held` gives.
+def _first_error(raw: Column, held: Column, fields: list[tuple]) -> Column:
+    """struct(error, field, expected) of the first bad field, null if there is none; ``raw`` holds the values by :func:`_type`, ``held`` is what :func:`_held` gives.
 
-    One CASE stops at the first fault and says its number, by which the fault is looked up among fixed ones. It is walked as
-    an expression, by way of a lambda: its generated code would be longer than what the JVM compiles.
+    One CASE an object stops at its first fault and says its number, by which the fault is looked up among fixed ones; an object
+    that is left out is passed by. It is walked as an expression, by way of a lambda: its generated code would be longer
+    than what the JVM compiles.
     """
     at = {f: k for k, (f, _, _) in enumerate(fields)}
     kept_apart = {f for f, _, o in fields if o is OPTIONAL or o is None}
     starts = {_TEXT: "STRING", _FLAG: "BOOLEAN", _OBJECT: "OBJECT<", "list": "ARRAY<"}
-    code, faults = F, []
-    for field, kind, otherwise in fields:
-        here, parent = F.get(held, at[field]), field.rpartition(".")[0]
-        inside = [F.get(held, at[parent]).startswith("OBJECT<")] if parent in kept_apart else []
-        right = here.startswith("STRING" if isinstance(kind, tuple) else "BIGINT" if isinstance(kind, int) else starts[kind])
-        if isinstance(kind, int):
-            right &= F.try_variant_get(doc, f"$.{field}", "long").between(0, kind)
-        elif isinstance(kind, tuple):
-            right &= F.try_variant_get(doc, f"$.{field}", "string").isin(*kind)
-        if otherwise is OPTIONAL:
-            right |= here == "VOID"
-        for error, wrong in (("missing", here.isNull()), ("wrong_type", ~right)):
-            if error == "missing" and otherwise is not REQUIRED:
-                continue
-            code = code.when(reduce(and_, [*inside, wrong]), F.lit(len(faults)))
-            faults.append(F.struct(F.lit(error).alias("error"), F.lit(field).alias("field"), F.lit(_expected(kind)).alias("expected")))
-    return F.get(F.transform(F.array(code), lambda k: F.get(F.array(*faults), k)), 0)
+    found, faults = [], []
+    for parent, group in groupby(fields, lambda f: f[0].rpartition(".")[0]):
+        code = F
+        for field, kind, otherwise in group:
+            here = F.get(held, at[field])
+            right = here.startswith("STRING" if isinstance(kind, tuple) else "BIGINT" if isinstance(kind, int) else starts[kind])
+            if isinstance(kind, int):
+                right &= reduce(lambda c, n: c[n], field.split("."), raw).between(0, kind)
+            elif isinstance(kind, tuple):
+                right &= reduce(lambda c, n: c[n], field.split("."), raw).isin(*kind)
+            if otherwise is OPTIONAL:
+                right |= here == "VOID"
+            for error, wrong in (("missing", here.isNull()), ("wrong_type", ~right)):
+                if error == "missing" and otherwise is not REQUIRED:
+                    continue
+                code = code.when(wrong, F.lit(len(faults)))
+                faults.append(F.struct(F.lit(error).alias("error"), F.lit(field).alias("field"), F.lit(_expected(kind)).alias("expected")))
+        found.append(F.when(F.get(held, at[parent]).startswith("OBJECT<"), code) if parent in kept_apart else code)
+    return F.get(F.transform(F.array(F.coalesce(*found)), lambda k: F.get(F.array(*faults), k)), 0)
 
 
 def _type(fields: list[tuple], prefix: str = "") -> str:
@@ -128,15 +160,15 @@ def _unknown(doc: Column, fields: list[tuple]) -> Column:
 
 
 def _checked(df: DataFrame, column: str, fields: list[tuple]) -> DataFrame:
-    """df with doc, request, unknown and bad: struct(error, field, expected)."""
+    """df with doc, in_ (as :func:`_opened` makes it of the document), request, unknown and bad: struct(error, field, expected)."""
     size = F.octet_length(column)
-    df = df.withColumn("doc", F.when(size <= MOST_DOCUMENT, F.try_parse_json(column))).withColumn("held", _held(F.col("doc"), fields))
+    df = _opened(df.withColumn("doc", F.when(size <= MOST_DOCUMENT, F.try_parse_json(column))), fields)
+    df = df.withColumns({"held": _held(F.col("doc"), fields), "raw": F.try_variant_get("doc", "$", _type(fields)), "is_object": F.col(_place("")).isNotNull()})
     top = lambda e, x: F.struct(F.lit(e).alias("error"), F.lit("$").alias("field"), F.lit(x).alias("expected"))
-    is_object = F.coalesce(F.ltrim(F.col(column)).startswith("{"), F.lit(False))
-    bad = F.when(size > MOST_DOCUMENT, top("too_large", "")).when(F.col("doc").isNull(), top("not_json", "")).when(~is_object, top("wrong_type", "an object")).otherwise(_first_error(F.col("doc"), F.col("held"), fields))
-    raw = F.try_variant_get("doc", "$", _type(fields))
-    df = df.withColumns({"bad": bad, "raw": raw, "unknown": _unknown(F.col("doc"), fields)})
-    return df.withColumn("request", _filled(F.col("raw"), fields)).drop("raw", "held")
+    found = _first_error(F.col("raw"), F.col("held"), fields)
+    bad = F.when(size > MOST_DOCUMENT, top("too_large", "")).when(F.col("doc").isNull(), top("not_json", "")).when(~F.col("is_object"), top("wrong_type", "an object")).otherwise(found)
+    df = df.withColumns({"bad": bad, "unknown": _unknown(F.col("doc"), fields)})
+    return df.withColumn("request", _filled(F.col("raw"), fields)).drop("raw", "held", "is_object", *[_place(f) for f, k, _ in fields if k == _OBJECT])
 
 
 def sentence(error: Column, field: Column, expected: Column, size: Column) -> Column:
@@ -153,16 +185,16 @@ def single_requests(df: DataFrame, column: str = "json") -> DataFrame:
 
     ``strip_metadata`` at the top wins over the pipeline's. Null documents and empty ones are ``not_json``.
     """
-    checked = _checked(df, column, SINGLE)
     text = F.trim(F.try_variant_get("doc", "$.data_base64", "string"))
-    data = F.try_to_binary(text, F.lit("base64"))
-    error = F.coalesce("bad.error", F.when(data.isNull(), "not_base64").when(F.length(data) == 0, "no_data"))
-    out = checked.withColumns({"bytes": data, "error": error, "field": F.coalesce("bad.field", F.when(error.isNotNull(), "data_base64"))})
+    # By steps: a picture that one step names several times is decoded as often.
+    checked = _checked(df, column, SINGLE).withColumn("bytes", F.try_to_binary(text, F.lit("base64")))
+    out = checked.withColumn("error", F.coalesce("bad.error", F.when(F.col("bytes").isNull(), "not_base64").when(F.length("bytes") == 0, "no_data")))
+    out = out.withColumn("field", F.coalesce("bad.field", F.when(F.col("error").isNotNull(), "data_base64")))
     strip = F.coalesce("request.strip_metadata", "request.pipeline.strip_metadata")
     request = F.col("request").dropFields("strip_metadata").withField("pipeline.strip_metadata", strip)
     ok = F.col("error").isNull()
     says = sentence(F.col("error"), F.col("field"), F.col("bad.expected"), F.octet_length(column))
-    return out.withColumns({"sentence": says, "request": F.when(ok, request), "bytes": F.when(ok, F.col("bytes"))}).drop("doc", "bad")
+    return out.withColumns({"sentence": says, "request": F.when(ok, request), "bytes": F.when(ok, F.col("bytes"))}).drop("doc", _place(""), "bad")
 
 
 def batch_rows(df: DataFrame, key: str = "id", column: str = "json", *, files: int = ENVELOPE[0], file_bytes: int = ENVELOPE[1], total_bytes: int = ENVELOPE[2]) -> DataFrame:
@@ -202,7 +234,7 @@ def batch_rows(df: DataFrame, key: str = "id", column: str = "json", *, files: i
         return F.struct(total.alias("total"), F.coalesce(state["bad"], file["bad"], broken).alias("bad"))
 
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(None).cast("struct<error:string,field:string,expected:string>").alias("bad"))
-    out = checked.withColumn("list", F.transform(F.transform(F.transform(F.when(F.col("bad").isNull(), F.try_variant_get("doc", "$.files", "array<variant>")), taken), numbered), read)).withColumn("end", F.aggregate("list", start, judged))
+    out = checked.withColumn("list", F.transform(F.transform(F.transform(F.when(F.col("bad").isNull(), F.col(_place(""))["files"]), taken), numbered), read)).withColumn("end", F.aggregate("list", start, judged))
     out = out.withColumn("bad", F.coalesce("bad", "end.bad"))
     error, field, expected = F.col("bad.error"), F.col("bad.field"), F.col("bad.expected")
     says = (

@@ -100,3 +100,31 @@ def test_fields_have_fixed_paths(spark):
     out = d.single_requests(spark.createDataFrame([], "id string, json string"))
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "try_variant_get(doc#" in plan and "path, VariantType" not in plan
+
+
+def test_an_object_is_read_in_one_pass(spark):
+    """Not by a path for each field: one that leads nowhere costs an exception a value. What is left are the document, its four objects, the values and the picture."""
+    out = d.single_requests(spark.createDataFrame([], "id string, json string")).drop("unknown")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") == 7
+
+
+def test_values_beside_wrong_types(spark):
+    """A value that cannot be read takes no other with it, so the first fault is still the first."""
+    docs = {"both": changed(changed(ONE, "quality", [1]), "pipeline.crop.x", -1), "later": changed(changed(ONE, "quality", {}), "name", 7), "list": changed(ONE, "pipeline.resize", [1]), "text": changed(ONE, "pipeline.crop", "{}")}
+    got = d.single_requests(spark.createDataFrame(rows(docs), "id string, json string, extra string")).collect()
+    assert {r["id"]: r["field"] for r in got} == {"both": "pipeline.crop.x", "later": "quality", "list": "pipeline.resize", "text": "pipeline.crop"}
+
+
+def test_white_space_in_front(spark):
+    out = d.single_requests(spark.createDataFrame([("a", "\n\t" + json.dumps(ONE)), ("b", "\r\n [1]")], "id string, json string"))
+    assert {r["id"]: (r["error"], r["field"]) for r in out.collect()} == {"a": (None, None), "b": ("wrong_type", "$")}
+
+
+@pytest.mark.parametrize("name", ["request_documents", "batch_documents"])
+def test_documents_are_dealt_before_they_are_checked(spark, tmp_path, name):
+    """A file with one row group is one task to read, not to check."""
+    from pixelgrove.plans import requests
+
+    spark.range(100).selectExpr("id AS o_orderkey", "id AS o_custkey", "'O' AS o_orderstatus").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    plan = requests.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("parseJson") < plan.index("RepartitionByExpression [o_orderkey")
